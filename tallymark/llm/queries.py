@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, pieces
+from . import exact_dedup, language, pieces, secrets, warc
+from .common import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +36,18 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), piece_model())
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_language_id, op5_sentencepiece)}
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = secrets.train(secrets.random_tokens(docs), secrets.ordinary_tokens(docs))
+    return secrets.find_secrets(docs, model)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    return warc.archive_and_read(spark, table(spark, sf_dir, "pages"), folder)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_language_id, op5_sentencepiece, op7_secret_scan, op10_warc)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -47,4 +61,17 @@ ORACLE_SQL = {
             FROM d)
         SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM b
     """,
+    "op10_warc": r"""
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS digest FROM pages),
+        o AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS owner,
+                     (SELECT string_agg(substr('0123456789abcdef', i, 1), '') FROM range(1, 17) t(i)) AS hexes FROM p)
+        SELECT page_id, octet_length(payload) AS payload_bytes,
+               list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + CAST(floor((instr(hexes, substr(digest, (k * 5) // 4 + 1, 1)) * 16
+                        + instr(hexes, substr(digest || '0', (k * 5) // 4 + 2, 1)) - 17)
+                        / power(2, 3 - (k * 5) % 4)) AS BIGINT) % 32, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> owner THEN owner END AS refers_to
+        FROM o
+    """,
 }

@@ -12,7 +12,7 @@ text and its length agree as well.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
@@ -24,25 +24,18 @@ IGNORED = r"[\x20\x09-\x0D]+"
 def digest_rows(docs: DataFrame) -> DataFrame:
     """One row per input row: digest and second hash of the normalised text, length of the original, its run."""
     plain = F.regexp_replace(text_or_empty(), IGNORED, "")
-    return (
+    return with_runs(
         docs.select("doc_id", F.char_length(text_or_empty()).alias("n"), plain.alias("plain"))
         .select("doc_id", "n", F.unhex(F.sha2("plain", 256)).alias("digest"), F.xxhash64("plain", F.length("plain")).alias("second"))
-        .withColumn("row", F.monotonically_increasing_id())
-        .withColumn("run", F.shiftright("row", 33))
     )
 
 
-def exact_dedup(docs: DataFrame, fan_in: int = 8) -> DataFrame:
-    """Per input row: doc_id, keep_id, group_size, kept, text_sha256.
+def tree_merge(rows: DataFrame, keys: list[str], best: Column, fan_in: int = 8) -> DataFrame:
+    """Every row of a materialised table with the greatest ``best`` and the ``size`` of its group of equal ``keys``.
 
-    Texts are equal when identical without the characters of ``IGNORED``; null counts as empty. Of equal
-    texts the one with most code points stays, then the smallest doc_id; a null doc_id comes last. Rows that
-    repeat a doc_id count as members of their own and only one of them is kept. Columns other than doc_id
-    and text are not looked at, whatever their names. An empty table gives an empty result.
+    ``row`` numbers the rows by partition, and ``run`` is the partition. See the module's description.
     """
-    rows = materialize(digest_rows(docs), "digests")
-    key = ["run", "digest", "second"]
-    best = F.struct("n", (-F.col("doc_id")).alias("neg_id"), (-F.col("row")).alias("neg_row"))
+    key = ["run", *keys]
     levels = [rows.groupBy(*key).agg(F.max(best).alias("best"), F.count("*").alias("size"))]
     runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
     while runs > 1:
@@ -51,9 +44,26 @@ def exact_dedup(docs: DataFrame, fan_in: int = 8) -> DataFrame:
         levels.append(up.groupBy(*key).agg(F.max("best").alias("best"), F.sum("size").alias("size")))
     verdict = levels.pop()
     while levels:
-        below = levels.pop().select(F.col("run").alias("child"), F.floor(F.col("run") / fan_in).alias("run"), "digest", "second")
+        below = levels.pop().select(F.col("run").alias("child"), F.floor(F.col("run") / fan_in).alias("run"), *keys)
         verdict = below.join(verdict, key).drop("run").withColumnRenamed("child", "run")
-    return rows.join(verdict, key).select(
+    return rows.join(verdict, key)
+
+
+def with_runs(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("row", F.monotonically_increasing_id()).withColumn("run", F.shiftright("row", 33))
+
+
+def exact_dedup(docs: DataFrame, fan_in: int = 8) -> DataFrame:
+    """Per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical without the characters of ``IGNORED``; null counts as empty. Of equal
+    texts the one with most code points stays, then the smallest doc_id; a null doc_id comes last. Rows that
+    repeat a doc_id count as members of their own and only one of them is kept. Columns other than doc_id
+    and text are not looked at, whatever their names. An empty table gives an empty result.
+    """
+    rows = materialize(digest_rows(docs), "digests")
+    best = F.struct("n", (-F.col("doc_id")).alias("neg_id"), (-F.col("row")).alias("neg_row"))
+    return tree_merge(rows, ["digest", "second"], best, fan_in).select(
         "doc_id",
         (-F.col("best.neg_id")).alias("keep_id"),
         F.col("size").alias("group_size"),

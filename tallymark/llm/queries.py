@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, pieces, secrets, warc
+from . import exact_dedup, jaccard, language, pieces, secrets, warc
 from .common import shared_dir
 
 
@@ -42,12 +42,16 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(docs, model)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     return warc.archive_and_read(spark, table(spark, sf_dir, "pages"), folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_language_id, op5_sentencepiece, op7_secret_scan, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_language_id, op5_sentencepiece, op7_secret_scan, op8_jaccard_join, op10_warc)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -74,4 +78,22 @@ ORACLE_SQL = {
                CASE WHEN page_id <> owner THEN owner END AS refers_to
         FROM o
     """,
+    "op8_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS ws
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g
+            FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 175 * o.o >= 75 * (x.n + y.n)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+        c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+        FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
 }

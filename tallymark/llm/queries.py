@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, language, pieces, secrets, warc
+from . import exact_dedup, jaccard, language, pieces, secrets, substrings, warc
 from .common import shared_dir
 
 
@@ -36,6 +36,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = secrets.train(secrets.random_tokens(docs), secrets.ordinary_tokens(docs))
@@ -51,7 +55,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(spark, table(spark, sf_dir, "pages"), folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_language_id, op5_sentencepiece, op7_secret_scan, op8_jaccard_join, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_language_id, op5_sentencepiece, op6_substring_dedup, op7_secret_scan, op8_jaccard_join, op10_warc)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -78,6 +82,22 @@ ORACLE_SQL = {
                CASE WHEN page_id <> owner THEN owner END AS refers_to
         FROM o
     """,
+    "op6_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        win AS (SELECT doc_id, i AS start, sha256(array_to_string(ws[i:i + 19], ' ')) AS h
+                FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)),
+        rep AS (SELECT doc_id, start FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, start) AS k FROM win) WHERE k > 1),
+        word AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        marked AS (
+            SELECT x.doc_id, x.i, x.ws[x.i] AS word, max(r.start) OVER (PARTITION BY x.doc_id ORDER BY x.i ROWS UNBOUNDED PRECEDING) AS latest
+            FROM word x LEFT JOIN rep r ON r.doc_id = x.doc_id AND r.start = x.i),
+        kept AS (
+            SELECT doc_id, count(*) FILTER (WHERE latest > i - 20) AS n_removed,
+                   string_agg(word, ' ' ORDER BY i) FILTER (WHERE latest IS NULL OR latest <= i - 20) AS kept
+            FROM marked GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)
+    """,
     "op8_jaccard_join": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

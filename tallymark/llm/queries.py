@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, language, pieces, secrets, substrings, warc
+from . import embeddings, exact_dedup, jaccard, language, mixing, pieces, secrets, substrings, warc
 from .common import shared_dir
 
 
@@ -25,6 +25,24 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+#: Shares of the tokens that a mixture shall have, by label: quality (q) and toxicity (t).
+WEIGHTS = {"q1t0": 0.9, "q0t0": 0.1}
+ANCHOR = "q1t0"
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """doc_id and domain of labelled documents."""
+    return labels.select("doc_id", F.concat(F.lit("q"), F.col("quality"), F.lit("t"), F.col("toxic")).alias("domain"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_rates(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), WEIGHTS, ANCHOR)
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = language.train(docs.where(~language.held_out()))
@@ -55,7 +73,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(spark, table(spark, sf_dir, "pages"), folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_language_id, op5_sentencepiece, op6_substring_dedup, op7_secret_scan, op8_jaccard_join, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_embedding_dedup, op4_language_id, op5_sentencepiece, op6_substring_dedup, op7_secret_scan, op8_jaccard_join, op10_warc)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -82,6 +100,15 @@ ORACLE_SQL = {
                CASE WHEN page_id <> owner THEN owner END AS refers_to
         FROM o
     """,
+    "op3_embedding_dedup": r"""
+        WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+              WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+        r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+        n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+        SELECT c.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+    """,
     "op6_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         win AS (SELECT doc_id, i AS start, sha256(array_to_string(ws[i:i + 19], ' ')) AS h

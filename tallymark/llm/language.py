@@ -211,3 +211,22 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
                 )
 
     return docs.select("doc_id", "text").mapInArrow(rows, RESULT)
+
+
+def keep_identified(docs: DataFrame, trees: Trees, least_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is told with a score of ``least_score`` or more; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    at = docs.columns.index("text")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for start, end, data, offsets in text_slices(batch.column(at)):
+                keep = np.zeros(end - start, bool)
+                if model.langs:
+                    bits = model.bits(data, offsets)
+                    odds = np.exp2(np.maximum(bits.min(axis=1)[:, None] - bits, -1000)).sum(axis=1)
+                    keep = has_letter(data, offsets) & (1 / odds >= least_score)
+                yield batch.slice(start, end - start).filter(pa.array(keep))
+
+    return docs.mapInArrow(rows, docs.schema)

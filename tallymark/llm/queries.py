@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, exact_dedup, jaccard, language, mixing, pieces, secrets, substrings, warc
+from . import embeddings, exact_dedup, jaccard, language, lines, mixing, pieces, secrets, substrings, warc
 from .common import shared_dir
 
 
@@ -68,12 +68,16 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     return warc.archive_and_read(spark, table(spark, sf_dir, "pages"), folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_embedding_dedup, op4_language_id, op5_sentencepiece, op6_substring_dedup, op7_secret_scan, op8_jaccard_join, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_embedding_dedup, op4_language_id, op5_sentencepiece, op6_substring_dedup, op7_secret_scan, op8_jaccard_join, op9_line_dedup, op10_warc)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""

@@ -9,9 +9,11 @@ The result of every text is compared with the library's in the same Arrow batch,
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import itertools
+import operator
 import re
 import string
 from collections.abc import Iterator
@@ -23,13 +25,15 @@ from pyspark.sql import DataFrame
 from .common import text_slices
 
 SPACE = "▁"
+SHORT = 24  # characters up to which a chunk's agenda is a list
+NEVER = 1 << 30
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class MergeCodec:
     """The agenda encoder and the decoder of one model file."""
 
-    def __init__(self, path: str, cache_limit: int = 250_000):
+    def __init__(self, path: str, cache_limit: int = 1_100_000):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -47,29 +51,61 @@ class MergeCodec:
             else:
                 self.id_of[piece], self.score[piece] = i, sp.get_score(i)
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
-        self.chunk = self._boundaries()
-        self.cache: dict[str, tuple[list[int], str]] = {}
+        # Equal scores share a rank, and of equal ranks the leftmost pair goes first.
+        ranks = {x: k for k, x in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.rank = {piece: ranks[x] for piece, x in self.score.items()}
+        self.own_int = list(range(len(self.bytes_of)))
+        self.own_str = [str(i) for i in self.own_int]
+        self.parts = self._boundaries()
+        self.inner: dict[str, tuple[int, ...]] = {}  # parts inside words
+        self.cache: dict[str, tuple[int, ...]] = {}
         self.cache_limit = cache_limit
 
     def _boundaries(self) -> re.Pattern:
-        """Chunks: spaces with the run of ordinary or of punctuation characters behind them, where no piece joins the two kinds."""
-        pairs = {a + b for piece in self.score for a, b in itertools.pairwise(piece)}
-        spaced = any(SPACE in piece[1:] and piece.strip(SPACE) for piece in self.score)
-        if spaced:
-            return re.compile(r".+", re.DOTALL)
-        marks = set(string.punctuation) | set("\n\t\r")
-        while bad := {c for c in marks for p in pairs if c in p and SPACE not in p and not set(p) <= marks}:
-            marks -= bad
-        kind = re.escape("".join(sorted(marks)))
-        return re.compile(f"{SPACE}*[^{SPACE}{kind}]+|{SPACE}*[{kind}]+|{SPACE}+") if marks else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        """Parts of a spaced word that merge independently: marks that no piece joins to a letter, characters that no piece joins to any."""
+        pairs = [p for piece in self.score for p in itertools.pairwise(piece)]
+        if any(SPACE in piece[1:] and piece.strip(SPACE) for piece in self.score):
+            raise ValueError("a piece reaches across a space: such vocabularies are not supported")
+        joined = {c for p in pairs for c in p}
+        lone = re.escape("".join(sorted(set(" \n\t\r") - joined)))
+        marks = re.escape("".join(sorted(set(string.punctuation) - {"_"} - {b for a, b in pairs if a.isalpha()})))
+        return re.compile(f"{SPACE}*[^\\W\\d_]+(?=[{marks}{lone}]|\\Z)|[{marks}]+(?=[{lone}]|\\Z)|[{lone}]+|{SPACE}*[^{SPACE}{lone}]+|{SPACE}+")
 
     def merge(self, chunk: str) -> list[int]:
         """Ids of one chunk: take the best pair off the agenda until none is left."""
-        score = self.score
+        symbols = self._merge_short(chunk) if len(chunk) <= SHORT else self._merge_long(chunk)
+        ids: list[int] = []
+        for s, i in zip(symbols, map(self.id_of.get, symbols), strict=True):
+            if i is not None:
+                ids.append(i)
+            elif self.byte_id:
+                ids += [self.byte_id[b] for b in s.encode()]
+            else:
+                ids.append(self.unknown)
+        return ids
+
+    def _merge_short(self, chunk: str) -> list[str]:
+        """The agenda as a list of the pairs' ranks in order of position: its first least entry is the best pair."""
+        rank = self.rank.get
+        symbols = list(chunk)
+        agenda = [rank(p, NEVER) for p in map(operator.add, chunk, chunk[1:])]
+        while agenda and (best := min(agenda)) < NEVER:
+            i = agenda.index(best)
+            symbols[i] = piece = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + piece, NEVER)
+            if i < len(agenda):
+                agenda[i] = rank(piece + symbols[i + 1], NEVER)
+        return symbols
+
+    def _merge_long(self, chunk: str) -> list[str]:
+        """The agenda as a heap; entries whose symbols have changed meanwhile are passed over."""
+        rank = self.rank
         symbols: list[str | None] = list(chunk)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(-score[p], i, p) for i in range(n - 1) if (p := symbols[i] + symbols[i + 1]) in score]
+        agenda = [(rank[p], i, p) for i in range(n - 1) if (p := symbols[i] + symbols[i + 1]) in rank]
         heapq.heapify(agenda)
         while agenda:
             _, i, piece = heapq.heappop(agenda)
@@ -80,41 +116,55 @@ class MergeCodec:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (p := piece + symbols[k]) in score:
-                    heapq.heappush(agenda, (-score[p], i, p))
-            if (h := before[i]) >= 0 and (p := symbols[h] + piece) in score:
-                heapq.heappush(agenda, (-score[p], h, p))
+                if (p := piece + symbols[k]) in rank:
+                    heapq.heappush(agenda, (rank[p], i, p))
+            if (h := before[i]) >= 0 and (p := symbols[h] + piece) in rank:
+                heapq.heappush(agenda, (rank[p], h, p))
+        return [s for s in symbols if s is not None]
+
+    def _unknown_word(self, word: str) -> tuple[int, ...]:
+        """Ids of a word that the table lacks; each of its parts may be there."""
         ids: list[int] = []
-        for s in symbols:
-            if s is None:
-                continue
-            if (i := self.id_of.get(s)) is not None:
-                ids.append(i)
-            elif self.byte_id:
-                ids += [self.byte_id[b] for b in s.encode()]
-            else:
-                ids.append(self.unknown)
-        return ids
-
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """All ids, the end id last, and their decimal form joined by spaces."""
+        for k, part in enumerate((SPACE + word,) if word.isalpha() else self.parts.findall(SPACE + word)):
+            known = self.inner.get(part) if k else self.cache.get(part[1:])
+            if known is None:
+                known = tuple([self.own_int[i] for i in self.merge(part)])
+                if k and len(part) <= 8 and len(self.inner) < 50_000:
+                    self.inner[part] = known
+            ids += known
+        out = tuple(ids)
+        if len(word) <= 64:
+            if len(self.cache) >= self.cache_limit:  # the older half goes; what is frequent comes back at once
+                for key in list(itertools.islice(self.cache, self.cache_limit // 2)):
+                    del self.cache[key]
+            self.cache[word] = out
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        """All ids, the end id last."""
         if not text:
-            return [self.eos], str(self.eos)
-        cache, entries = self.cache, []
-        for chunk in self.chunk.findall(SPACE + text.replace(" ", SPACE)):
-            entry = cache.get(chunk)
-            if entry is None:
-                ids = self.merge(chunk)
-                entry = ids, " ".join(map(str, ids))
-                if len(chunk) <= 64:
-                    if len(cache) >= self.cache_limit:  # the older half goes; what is frequent comes back at once
-                        for key in list(itertools.islice(cache, self.cache_limit // 2)):
-                            del cache[key]
-                    cache[chunk] = entry
-            entries.append(entry)
-        ids = list(itertools.chain.from_iterable([e[0] for e in entries]))
+            return [self.eos]
+        words = text.replace(SPACE, " ").split(" ")
+        if "" in words:  # a run of spaces belongs to the word behind it
+            runs, spaces = [], 0
+            for w in words:
+                if w:
+                    runs.append(SPACE * spaces + w)
+                    spaces = 0
+                else:
+                    spaces += 1
+            words = runs + [SPACE * (spaces - 1)] * (spaces > 0)
+        entries = list(map(self.cache.get, words))
+        if None in entries:
+            get, unknown = self.cache.get, self._unknown_word
+            entries = [get(w) or unknown(w) if e is None else e for w, e in zip(words, entries, strict=True)]
+        ids = list(itertools.chain.from_iterable(entries))
         ids.append(self.eos)
-        return ids, " ".join([e[1] for e in entries]) + f" {self.eos}"
+        return ids
+
+    def written(self, ids: list[int]) -> str:
+        """Decimal ids joined by spaces."""
+        return " ".join(map(self.own_str.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         out = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -133,22 +183,22 @@ def codec(path: str) -> MergeCodec:
 
 def encode_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     own = codec(path)
+    gc.disable()  # millions of live tuples and lists without cycles: reference counts free all of them
     for batch in batches:
         doc_id, texts = batch.column(0), batch.column(1)
         for start, end, _, _ in text_slices(texts):
             rows = [t or "" for t in texts.slice(start, end - start).to_pylist()]
             encoded = [own.encode(t) for t in rows]
-            ids = [e[0] for e in encoded]
             expected = own.library.encode(rows, add_eos=True, num_threads=1)
             decoded = own.library.decode(expected, num_threads=1)
-            for k, (mine, theirs) in enumerate(zip(ids, expected, strict=True)):
+            for k, (mine, theirs) in enumerate(zip(encoded, expected, strict=True)):
                 if mine != theirs or own.decode(mine) != decoded[k]:
                     raise ValueError(f"doc_id {doc_id[start + k]}: the agenda's result differs from the library's")
             yield pa.RecordBatch.from_arrays(
                 [
                     doc_id.slice(start, end - start).cast(pa.int64()),
-                    pa.array(map(len, ids), pa.int64()),
-                    pa.array([hashlib.sha256(e[1].encode()).hexdigest() for e in encoded]),
+                    pa.array(list(map(len, encoded)), pa.int64()),
+                    pa.array([hashlib.sha256(own.written(e).encode()).hexdigest() for e in encoded]),
                     pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded]),
                 ],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -171,7 +221,7 @@ def token_ids(docs: DataFrame, model_path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
         for batch in batches:
-            ids = [own.encode(t or "")[0] for t in batch.column(1).to_pylist()]
+            ids = [own.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pc.cast(batch.column(0), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, ids array<int>")

@@ -144,7 +144,7 @@ def decoded_runs(text: Column) -> Column:
         padded = F.concat(run, F.repeat(F.lit("="), F.pmod(-F.length(run), F.lit(4))))
         return F.try_to_binary(padded, F.lit("base64"))
 
-    texts = F.transform(F.regexp_extract_all(text, F.lit(BASE64_RUN), F.lit(0)), lambda r: F.try_validate_utf8(F.decode(plain(r), "UTF-8")))
+    texts = F.transform(F.regexp_extract_all(text, F.lit(BASE64_RUN), F.lit(0)), lambda r: F.try_validate_utf8(plain(r).cast("string")))
     odd = lambda t: F.length(t) - F.length(F.regexp_replace(t, r"[\p{C}&&[^\t\n\x0B\f\r\x1C-\x1F\x85]]", ""))
     return F.filter(F.array_compact(texts), lambda t: (t != "") & (odd(t) <= (1 - PRINTABLE_SHARE) * F.length(t)) & t.rlike(r"(?U)\s"))
 

@@ -1,6 +1,6 @@
 """Registered queries by family."""
 
-from . import analytics
+from . import analytics, evidence, texts
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "analytics"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "evidence", "texts"]

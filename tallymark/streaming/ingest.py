@@ -44,10 +44,10 @@ def numbered_by_client(events: DataFrame) -> DataFrame:
 def ingest_outcome(batch: DataFrame, stored: DataFrame, content: str = "content_hash") -> DataFrame:
     """Each sent item against what is stored: accepted, duplicate (same content) or conflict; repeats inside the batch likewise."""
     first = Window.partitionBy("org_id", "event_id").orderBy("arrival")
-    rows = batch.withColumn("first_content", F.first(content).over(first)).withColumn("nth", F.row_number().over(first))
-    rows = rows.join(stored.select("org_id", "event_id", F.col(content).alias("stored_content")), ["org_id", "event_id"], "left")
-    known = F.coalesce(F.col("stored_content"), F.when(F.col("nth") > 1, F.col("first_content")))
-    return rows.withColumn("outcome", F.when(known.isNull(), "accepted").when(known == F.col(content), "duplicate").otherwise("conflict")).drop("first_content", "stored_content", "nth")
+    rows = batch.withColumn("_first", F.first(content).over(first)).withColumn("_place", F.row_number().over(first))
+    rows = rows.join(stored.select("org_id", "event_id", F.col(content).alias("_stored")), ["org_id", "event_id"], "left")
+    known = F.coalesce(F.col("_stored"), F.when(F.col("_place") > 1, F.col("_first")))
+    return rows.withColumn("outcome", F.when(known.isNull(), "accepted").when(known == F.col(content), "duplicate").otherwise("conflict")).drop("_first", "_stored", "_place")
 
 
 def due_items(queue: DataFrame, now: Column) -> DataFrame:

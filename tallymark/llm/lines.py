@@ -8,7 +8,9 @@ edit distance to that line is then verified on the texts.
 
 A long line has as many variants as characters. Before, lines are dropped that cannot have a partner: of two lines of l and l or
 l + 1 characters within one edit the first l // 2 or the last l // 2 characters are equal, so a line takes part only if another
-distinct line has one of its four halves (both ends, for l its own length and one less).
+distinct line has one of its four halves (both ends, for l its own length and one less). Of those left, the same is asked of the
+line cut into ``SEGMENTS`` parts: some other one must equal it before and behind one part, and only characters of such parts are
+deleted.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, powers, range_hashes
+from .common import materialize, mix, powers, range_hashes
 
 #: Lines with fewer characters are only compared for equality: one edit can change all that they say.
 LEAST_CHARS = 16
+SEGMENTS = 16
 BLANKS = " \t\n\x0b\x0c\r"
 LINES = "doc_id long, line int, chars int, h1 long, h2 long, halves array<long>"
 VARIANTS = "h1 long, h2 long, v1 long, v2 long, place int"
@@ -85,6 +88,40 @@ def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[f.split()[0] for f in TEXTS.split(", ")])
 
 
+def segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h1, h2, body -> a key for each of SEGMENTS segments: what stands before and behind it, for both reference lengths.
+
+    The segment's number is its place plus SEGMENTS for the second length.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            bodies = part.column(2).to_pylist()
+            codes = np.frombuffer("".join(bodies).encode("utf-32-le", "surrogatepass"), np.uint32)
+            size = np.array([len(b) for b in bodies])
+            begin = np.cumsum(size) - size
+            length = np.stack([size, size - 1], axis=1)
+            cuts = length[:, :, None] * np.arange(SEGMENTS + 1) // SEGMENTS
+            start = np.broadcast_to(begin[:, None, None], cuts.shape)[:, :, 1:]
+            end = np.broadcast_to((begin + size)[:, None, None], cuts.shape)[:, :, 1:]
+            before = range_hashes(codes, start.ravel(), (start + cuts[:, :, :-1]).ravel())
+            behind = range_hashes(codes, (end - length[:, :, None] + cuts[:, :, 1:]).ravel(), end.ravel(), 1)
+            tag = (length[:, :, None] * SEGMENTS + np.arange(SEGMENTS)).astype(np.uint64).ravel()
+            keys = mix(before ^ mix(behind ^ mix(tag))).view(np.int64)
+            owner = pa.array(np.repeat(np.arange(len(bodies)), 2 * SEGMENTS))
+            number = pa.array(np.tile(np.arange(2 * SEGMENTS, dtype=np.int32), len(bodies)))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(owner), part.column(1).take(owner), pa.array(keys), number], names=["h1", "h2", "key", "segment"])
+
+
+def places(length: int, segments: list[int]) -> np.ndarray:
+    """The characters of a line in the segments where it may differ from another."""
+    inside = np.zeros(length, bool)
+    for s in segments:
+        reference, j = length - s // SEGMENTS, s % SEGMENTS
+        inside[reference * j // SEGMENTS : length - reference + reference * (j + 1) // SEGMENTS] = True
+    return np.flatnonzero(inside)
+
+
 def variant_hashes(body: str) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of the body and of each of its variants: the whole first, then without character 0, 1, .."""
     codes = np.frombuffer(body.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
@@ -100,19 +137,23 @@ def variant_hashes(body: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h1, h2, body -> the body itself (place -1) and its variants."""
+    """h1, h2, body, segments -> the body itself (place -1) and its variants without one character of those segments."""
+
+    def out(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=[f.split()[0] for f in VARIANTS.split(", ")])
+
     for batch in batches:
         held, size = [], 0
-        for h1, h2, body in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for h1, h2, body, segments in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             v1, v2 = variant_hashes(body)
-            place = np.arange(-1, len(v1) - 1, dtype=np.int32)
-            held.append((np.full(len(v1), h1), np.full(len(v1), h2), v1, v2, place))
-            size += len(v1)
+            at = np.concatenate([[-1], places(len(body), segments)])
+            held.append((np.full(len(at), h1), np.full(len(at), h2), v1[at + 1], v2[at + 1], at.astype(np.int32)))
+            size += len(at)
             if size > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=[f.split()[0] for f in VARIANTS.split(", ")])
+                yield out(held)
                 held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=[f.split()[0] for f in VARIANTS.split(", ")])
+            yield out(held)
 
 
 def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +183,14 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     wanted = near.groupBy("first.doc_id").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), *key)).alias("wanted"))
     bodies = materialize(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(text_rows, TEXTS), "bodies")
 
+    # Of those only lines that another one equals but for a short segment can be within one edit of it.
+    ends = materialize(bodies.select(*key, "body").mapInArrow(segment_rows, "h1 long, h2 long, key long, segment int"), "segments")
+    alike = ends.groupBy("key").agg(F.count_distinct(*key).alias("n")).where("n > 1").select("key")
+    near = ends.join(alike, "key", "left_semi").groupBy(*key).agg(F.collect_set("segment").alias("segments"))  # at most 2 * SEGMENTS
+    bodies = materialize(bodies.join(near, key), "close-bodies")
+
     order = bodies.select(*key, F.struct("doc_id", "line").alias("first"))
-    variants = bodies.select(*key, "body").mapInArrow(variant_rows, VARIANTS).join(order, key)
+    variants = bodies.select(*key, "body", "segments").mapInArrow(variant_rows, VARIANTS).join(order, key)
     variants = materialize(variants, "variants")
     variant = ["v1", "v2"]
     replaced = variants.where("place >= 0").groupBy(*variant, "place").agg(F.min(F.struct("first", *key)).alias("best"), F.count("*").alias("n")).where("n > 1")

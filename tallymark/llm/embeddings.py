@@ -57,7 +57,8 @@ def choose_pivots(vectors: DataFrame, n: int = PIVOTS) -> np.ndarray:
     _, found = units(drawn["embedding"].combine_chunks() if drawn.num_rows else pa.array([], pa.list_(pa.float32())))
     sizes = [len(v) for v in found]
     dim = max(sorted(set(sizes)), key=sizes.count, default=0)
-    return np.array([v for v in found if len(v) == dim][:n]).reshape(-1, dim)
+    same = [v for v in found if len(v) == dim][:n]
+    return np.array(same) if same else np.zeros((0, 0))
 
 
 def describe(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:

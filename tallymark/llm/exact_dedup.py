@@ -74,13 +74,15 @@ def exact_dedup(docs: DataFrame, fan_in: int = 8) -> DataFrame:
 
 def keep_distinct(docs: DataFrame, fan_in: int = 8) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns. Rows that repeat a doc_id and a text stay once."""
-    verdicts = exact_dedup(docs, fan_in)
+    verdicts = materialize(exact_dedup(docs, fan_in).select("doc_id", "kept", "text_sha256"), "verdicts")
     dropped = verdicts.where(~F.col("kept")).select("doc_id").distinct()
     kept = verdicts.where("kept").select(F.col("doc_id").alias("_tm_kept_id"), F.col("text_sha256").alias("_tm_kept_sha"))
     # A doc_id that is both dropped and kept repeats in the input: only those rows are told apart by their digest.
-    both = dropped.join(kept, F.col("doc_id").eqNullSafe(F.col("_tm_kept_id"))).select("_tm_kept_id", "_tm_kept_sha")
+    both = materialize(dropped.join(kept, F.col("doc_id").eqNullSafe(F.col("_tm_kept_id"))).select("_tm_kept_id", "_tm_kept_sha"), "repeated-ids")
     unkept = dropped.withColumnRenamed("doc_id", "_tm_dropped_id")
     clear = docs.join(unkept, F.col("doc_id").eqNullSafe(F.col("_tm_dropped_id")), "left_anti")
+    if both.isEmpty():
+        return clear
     digest = F.sha2(F.regexp_replace(text_or_empty(), IGNORED, ""), 256)
     unclear = docs.join(both, F.col("doc_id").eqNullSafe(F.col("_tm_kept_id")) & (digest == F.col("_tm_kept_sha")), "left_semi")
     repeated = unclear.groupBy("doc_id", digest.alias("digest")).agg(F.min(F.struct(*docs.columns)).alias("r"))

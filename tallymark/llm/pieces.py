@@ -3,7 +3,7 @@
 Encoding is a score-ordered agenda: every adjacent pair of symbols that is a piece enters a heap by falling
 score, then position; the best live pair is merged and its two new neighbours enter. No piece of the vocabulary
 reaches across certain boundaries (found from the pieces themselves when the model loads), so a text falls
-into chunks that merge independently, and chunks repeat: each worker keeps a bounded table of encoded chunks.
+into words that merge independently, and words repeat: each task keeps a bounded table of encoded words.
 The result of every text is compared with the library's in the same Arrow batch, and so is the decoded text.
 """
 
@@ -175,7 +175,7 @@ _loaded: dict[str, MergeCodec] = {}
 
 
 def codec(path: str) -> MergeCodec:
-    """One codec a worker process; its table of chunks serves all tasks of the process."""
+    """One codec a worker process; its table of words lasts for a task."""
     if path not in _loaded:
         _loaded[path] = MergeCodec(path)
     return _loaded[path]
@@ -203,6 +203,8 @@ def encode_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
                 ],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+    own.cache.clear()  # the process may serve other stages next
+    own.inner.clear()
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:

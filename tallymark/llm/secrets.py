@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
-The models are first-order chains over the characters of a token, one trained from random strings, one from ordinary
-tokens. A token whose log-likelihood ratio speaks for the random model, in total and for each character, is a span of
-kind ``random``. Everything is built from DataFrame functions: the chains are one array of log ratios that a scalar
+The models are first-order chains over the characters of a token, two trained from random strings (base64 and hexadecimal
+digits), one from ordinary tokens. A token whose log-likelihood ratio speaks for a random model, in total and for each character,
+is a span of kind ``random``. Everything is built from DataFrame functions: the chains are arrays of log ratios that a scalar
 subquery hands to the scan, so there is no shuffle of texts and no Python on the executors.
 """
 
@@ -61,14 +61,15 @@ def pair_index(token: Column) -> Column:
     return F.zip_with(F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0))), F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(0))), lambda a, b: a * n + b)
 
 
-def pair_counts(tokens: DataFrame) -> DataFrame:
-    return tokens.select(F.explode(pair_index(F.col("token"))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+def pair_counts(tokens: DataFrame, *by: str) -> DataFrame:
+    return tokens.select(*by, F.explode(pair_index(F.col("token"))).alias("pair")).groupBy(*by, "pair").agg(F.count("*").alias("n"))
 
 
 def random_tokens(docs: DataFrame, n: int = 2000) -> DataFrame:
-    """Labelled random strings: digests of numbers, half in base64, half in hexadecimal digits."""
+    """Labelled random strings of two kinds: digests of numbers in base64 and in hexadecimal digits."""
     hexed = F.sha2(F.concat(F.lit("random-"), F.col("id")), 256)
-    return docs.sparkSession.range(n).select(F.when(F.col("id") % 2 == 0, F.base64(F.unhex(hexed))).otherwise(hexed).alias("token"))
+    ids = docs.sparkSession.range(n)
+    return ids.select(F.lit(0).alias("model"), F.base64(F.unhex(hexed)).alias("token")).unionByName(ids.select(F.lit(1).alias("model"), hexed.alias("token")))
 
 
 def ordinary_tokens(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
@@ -81,17 +82,18 @@ def ordinary_tokens(docs: DataFrame, sample_docs: int = 2000) -> DataFrame:
 
 
 def train(random: DataFrame, ordinary: DataFrame) -> DataFrame:
-    """One row with one array: log2 of P(next | character) under the random model over that under the ordinary one."""
+    """One row with an array for each random model: log2 of P(next | character) under it over that under the ordinary model."""
     n = len(ALPHABET)
-    grid = random.sparkSession.range(n * n).select(F.col("id").alias("pair"))
-    both = grid.join(pair_counts(random).withColumnRenamed("n", "r"), "pair", "left").join(pair_counts(ordinary).withColumnRenamed("n", "o"), "pair", "left")
-    rows = both.select("pair", F.floor(F.col("pair") / n).alias("from"), (F.coalesce("r", F.lit(0)) + 0.5).alias("r"), (F.coalesce("o", F.lit(0)) + 0.5).alias("o"))
-    totals = rows.groupBy("from").agg(F.sum("r").alias("rt"), F.sum("o").alias("ot"))
+    grid = random.select("model").distinct().select("model", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("pair"))
+    both = grid.join(pair_counts(random, "model").withColumnRenamed("n", "r"), ["model", "pair"], "left").join(pair_counts(ordinary).withColumnRenamed("n", "o"), "pair", "left")
+    rows = both.select("model", "pair", F.floor(F.col("pair") / n).alias("from"), (F.coalesce("r", F.lit(0)) + 0.5).alias("r"), (F.coalesce("o", F.lit(0)) + 0.5).alias("o"))
+    totals = rows.groupBy("model", "from").agg(F.sum("r").alias("rt"), F.sum("o").alias("ot"))
     ratio = F.log2(F.col("r") / F.col("rt")) - F.log2(F.col("o") / F.col("ot"))
-    return rows.join(totals, "from").agg(F.transform(F.array_sort(F.collect_list(F.struct("pair", ratio.alias("x")))), lambda s: s["x"]).alias("ratios"))
+    each = rows.join(totals, ["model", "from"]).groupBy("model").agg(F.transform(F.array_sort(F.collect_list(F.struct("pair", ratio.alias("x")))), lambda s: s["x"]).alias("x"))
+    return each.agg(F.transform(F.array_sort(F.collect_list(F.struct("model", "x"))), lambda s: s["x"]).alias("ratios"))
 
 
-def find_secrets(docs: DataFrame, model: DataFrame, least_bits: float = 20.0, bits_per_char: float = 0.75) -> DataFrame:
+def find_secrets(docs: DataFrame, model: DataFrame, least_bits: float = 20.0, bits_per_char: float = 0.5) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
     Whole texts; null counts as empty and gives no spans. Spans are kind:start:end in code points, by start and then
@@ -106,7 +108,9 @@ def find_secrets(docs: DataFrame, model: DataFrame, least_bits: float = 20.0, bi
     rows = rows.withColumn("ratios", F.when(F.size("tokens") > 0, model.select("ratios").scalar()))
 
     def bits(token: Column) -> Column:
-        return F.aggregate(F.transform(pair_index(token["value"]), lambda i: F.get(F.col("ratios"), i)), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+        """The ratio under the random model that explains the token best."""
+        total = lambda x: F.aggregate(F.transform(pair_index(token["value"]), lambda i: F.get(x, i)), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+        return F.coalesce(F.array_max(F.transform("ratios", total)), F.lit(0.0))
 
     scored = F.transform("tokens", lambda s: F.struct(s.alias("s"), bits(s).alias("bits")))
     random = F.filter(scored, lambda x: (x["bits"] >= least_bits) & (x["bits"] >= bits_per_char * F.length(x["s"]["value"])))

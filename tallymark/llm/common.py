@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer single text is a step of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Code points that separate words in every operator: space and tab to carriage return.
 WORD_SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -30,7 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder, which any executor can read again."""
+    """Cut the lineage with a Parquet table in the shared folder, which any executor can read again.
+
+    The tables of an application lie under ``shared_dir`` and can be removed when it has ended.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -6,20 +6,21 @@ that sum over their upper corners. An R-tree over all documents cannot prune by
 have much the same counts), so the trees stand on lists that a link cannot avoid: both ends of a link share one of the
 first shingles of their sets in one global order (prefix filter). That order puts shingles that are common in a sample last.
 
-Per list, first every member is tried against the list's smallest document only, which joins groups of near copies
-in as many trials as they have members. Then each list's tree gives all pairs of members that are not yet in one component and
-whose bound allows a link, and those are verified. Equal sets are one node throughout. All of it is exact up to equal
+Per list, first every member is tried against one head of the list only, which joins groups of near copies in as many
+trials as they have members. Then each list's tree gives pairs of members that are not yet in one component and whose bound
+allows a link: for each member that of greatest bound, and once those are verified all that are still open. Equal sets are one node throughout. All of it is exact up to equal
 64-bit hashes of different shingles and to the shortened prefixes below.
 
-Prefixes: a set of n shingles has the full prefix n - ceil(0.75 n) + 1. Where fewer than half of a set's shingles are
-common, a shorter one serves: the first k of it in hash order are a random sample, and a link whose sets share
-none of them has probability (1 - J)**k at most, with J at least 0.55 without common shingles: below 2**-64 for 64 of them, and
-for 32 where a set has no common shingle at all (J at least 0.75), which is the level at which equal hashes of different shingles appear.
+Prefixes: a set of n shingles has the full prefix n - ceil(0.75 n) + 1. Where at most half of a set's shingles are common, a
+shorter one serves: the first k of it in hash order are a random sample, and a link whose sets share none of them has
+probability (1 - J)**k at most, with J at least 0.55 without common shingles: below 1e-14 for 40 of them, and for 24 where a set
+has no common shingle at all (J at least 0.75). That is far below the chance of a wrong verdict by equal hashes in a large corpus.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,10 @@ from .exact_dedup import tree_merge, with_runs
 
 WIDTH = 5
 SIMILARITY = 75  # per cent
-GROUPS = (64, 4096)  # fewest and most groups of a count vector
+GROUP_BITS = (9, 16)  # log2 of the fewest and most groups of a count vector: 2 to 4 groups a shingle
+COARSE = 64  # groups of the boxes
 LEAF = 32
+PACKED_BITS = 22  # of the hashes in packed sets
 SET_ROWS = "doc_id long, n int, d1 long, d2 long, keys array<long>, vector binary"
 
 
@@ -62,10 +65,39 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def count_vector(hashes: np.ndarray) -> bytes:
-    """Counts by group, one byte each; empty, which bounds nothing, where a count does not fit."""
-    size = min(GROUPS[1], max(GROUPS[0], 1 << math.ceil(math.log2(max(len(hashes) / 4, 1)))))
-    counts = np.bincount((hashes >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size)
-    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+    """Counts by group in bit planes: log2 of the groups, what counts exceed 2 by, the groups counted once or more, twice or more."""
+    bits = min(GROUP_BITS[1], max(GROUP_BITS[0], math.ceil(math.log2(max(2 * len(hashes), 1)))))
+    counts = np.bincount((hashes >> np.uint64(20) & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+    return struct.pack("<BI", bits, int(np.maximum(counts - 2, 0).sum())) + np.packbits(counts > 0).tobytes() + np.packbits(counts > 1).tobytes()
+
+
+class CountVectors:
+    """Count vectors over one number of groups, the least of theirs: equal places of larger ones are added up."""
+
+    def __init__(self, vectors: list[bytes]):
+        heads = [struct.unpack_from("<BI", v) for v in vectors]
+        bits = min(h[0] for h in heads)
+        self.excess = np.array([h[1] for h in heads], np.int64)
+        half = (1 << bits) // 8
+        self.once, self.twice = np.zeros((len(vectors), half), np.uint8), np.zeros((len(vectors), half), np.uint8)
+        for k, (v, (own, _)) in enumerate(zip(vectors, heads, strict=True)):
+            planes = np.frombuffer(v, np.uint8, offset=5).reshape(2, -1)
+            if own > bits:
+                counts = np.unpackbits(planes, axis=1).sum(axis=0, dtype=np.int64).reshape(-1, 1 << bits).sum(axis=0)
+                self.excess[k] += np.maximum(counts - 2, 0).sum()
+                planes = np.stack([np.packbits(counts > 0), np.packbits(counts > 1)])
+            self.once[k], self.twice[k] = planes
+        self.planes = np.concatenate([self.once, self.twice], axis=1).view(np.uint64)
+
+    def bound(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """At least the overlap of the sets a and b: summed minima of their counts."""
+        both = np.bitwise_count(self.planes[a] & self.planes[b]).sum(axis=1, dtype=np.int64)
+        return both + np.minimum(self.excess[a], self.excess[b])
+
+    def coarse(self) -> np.ndarray:
+        """Counts over COARSE groups, for boxes; what counts exceed 2 by is left out."""
+        counts = np.unpackbits(self.once, axis=1).astype(np.int32) + np.unpackbits(self.twice, axis=1)
+        return counts.reshape(len(counts), -1, COARSE).sum(axis=1)
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -74,7 +106,7 @@ def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     full = n - -(-SIMILARITY * n // 100) + 1
     is_common = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes if len(common) else np.zeros(n, bool)
     share = is_common.sum()
-    length = full if 2 * share > n else min(full, 64 if share else 32)
+    length = full if 2 * share > n else min(full, 40 if share else 24)
     return np.concatenate([hashes[~is_common], hashes[is_common]])[:length]
 
 
@@ -106,14 +138,36 @@ def full_sets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for start, end, data, offsets in text_slices(batch.column(1)):
                 hashes, at = shingle_sets(data, offsets)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, end - start).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))],
-                    names=["doc_id", "shingles"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["doc_id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, shingles array<long>")
 
 
+def pack(hashes: np.ndarray) -> bytes:
+    """The distinct upper PACKED_BITS of sorted hashes as steps from one to the next: two bytes each where they fit, else four."""
+    values = np.unique(hashes >> np.uint64(64 - PACKED_BITS)).astype(np.uint32)
+    steps = np.diff(values, prepend=np.uint32(0))
+    kind = np.uint16 if steps.max(initial=0) < 1 << 16 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + steps.astype(kind).tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, np.uint16 if packed[0] == 2 else np.uint32, offset=1), dtype=np.int64)
+
+
+def packed_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, number of shingles and the packed set."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end, data, offsets in text_slices(batch.column(1)):
+                hashes, at = shingle_sets(data, offsets)
+                sets = [pack(hashes[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start).cast(pa.int64()), pa.array(np.diff(at).astype(np.int32)), pa.array(sets, pa.binary())], names=["doc_id", "n", "packed"])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n int, packed binary")
+
+
 def common_shingles(docs: DataFrame, sample_docs: int = 4096, in_docs: int = 8, most: int = 65_536) -> np.ndarray:
     """Shingles of ``in_docs`` or more documents of a sample of about ``sample_docs``; at most ``most`` of them.
 
@@ -126,24 +180,22 @@ def common_shingles(docs: DataFrame, sample_docs: int = 4096, in_docs: int = 8,
     return np.sort(np.array([r["s"] for r in counted.orderBy(F.desc("n"), "s").limit(most).collect()], np.int64).view(np.uint64))
 
 
-def fold(vectors: np.ndarray, size: int) -> np.ndarray:
-    while vectors.shape[1] > size:
-        half = vectors.shape[1] // 2
-        vectors = vectors[:, :half] + vectors[:, half:]
-    return vectors
-
-
 class CountTree:
-    """An R-tree of count vectors: points sorted by set size and then by their most varying group, packed into leaves."""
+    """An R-tree of count vectors: points sorted by set size and then by their most varying group, packed into leaves.
 
-    def __init__(self, sizes: np.ndarray, vectors: np.ndarray):
+    Boxes are bounded over coarse groups, pairs of points by their whole vectors.
+    """
+
+    def __init__(self, sizes: np.ndarray, vectors: CountVectors):
+        points = vectors.coarse()
         order = np.argsort(sizes, kind="stable")
         slab = LEAF * max(1, math.isqrt(len(sizes) // LEAF))
         for a in range(0, len(order), slab):
             part = order[a : a + slab]
-            order[a : a + slab] = part[np.argsort(vectors[part, vectors[part].var(axis=0).argmax()], kind="stable")]
-        self.order, self.levels = order, []
-        low, high, top = sizes[order], sizes[order], vectors[order]
+            order[a : a + slab] = part[np.argsort(points[part, points[part].var(axis=0).argmax()], kind="stable")]
+        self.sizes, self.order, self.vectors = sizes, order, vectors
+        self.slack, self.levels = int(vectors.excess.max()), []
+        low, high, top = sizes[order], sizes[order], points[order]
         while True:
             self.levels.append((low, high, top))
             if len(low) == 1:
@@ -151,62 +203,74 @@ class CountTree:
             at = np.arange(0, len(low), LEAF)
             low, high, top = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(top, at, axis=0)
 
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of points whose sizes and bound allow a link, each once."""
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of points whose sizes and bound allow a link, each once, with the bound in thousandths of the sizes' sum."""
         work = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while work:
             level, a, b = work.pop()
             low, high, top = self.levels[level]
             near = (100 * high[a] >= SIMILARITY * low[b]) & (100 * high[b] >= SIMILARITY * low[a])
             a, b = a[near], b[near]
-            if len(a):
-                bound = np.minimum(top[a], top[b]).sum(axis=1)
-                near = (100 + SIMILARITY) * bound >= SIMILARITY * (low[a] + low[b])
-                a, b = a[near], b[near]
+            if level == 0:
+                a, b = self.order[a], self.order[b]
+                bound, need = self.vectors.bound(a, b), self.sizes[a] + self.sizes[b]
+            else:
+                bound, need = np.minimum(top[a], top[b]).sum(axis=1) + self.slack, low[a] + low[b]
+            near = (100 + SIMILARITY) * bound >= SIMILARITY * need
+            a, b = a[near], b[near]
             if not len(a):
                 continue
             if level == 0:
-                yield self.order[a], self.order[b]
+                yield a, b, 1000 * bound[near] // need[near]
                 continue
             below = len(self.levels[level - 1][0])
             steps = np.arange(LEAF)
-            step = 1 << 6 if level == 1 else 1 << 4
-            for at in range(0, len(a), step):
-                x, y = np.broadcast_arrays((a[at : at + step, None] * LEAF + steps)[:, :, None], (b[at : at + step, None] * LEAF + steps)[:, None, :])
+            for at in range(0, len(a), 32):
+                x, y = np.broadcast_arrays((a[at : at + 32, None] * LEAF + steps)[:, :, None], (b[at : at + 32, None] * LEAF + steps)[:, None, :])
                 x, y = x.ravel(), y.ravel()
                 ok = (x < below) & (y < below) & ((x < y) if level == 1 else (x <= y))
-                for c in range(0, int(ok.sum()), 1 << 15):
-                    work.append((level - 1, x[ok][c : c + (1 << 15)], y[ok][c : c + (1 << 15)]))
-
-
-def list_pairs(doc: np.ndarray, part: np.ndarray, sizes: np.ndarray, vectors: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one list in different components that may link."""
-    sized = np.array([len(v) for v in vectors])
-    loose = np.flatnonzero(sized == 0)  # without a vector: the sizes alone decide
-    for k in loose:
-        near = (100 * sizes >= SIMILARITY * sizes[k]) & (100 * sizes[k] >= SIMILARITY * sizes) & (part != part[k])
-        near[loose[loose <= k]] = False
-        yield np.full(near.sum(), doc[k]), doc[near]
-    tight = np.flatnonzero(sized)
-    if len(tight) < 2:
+                work.append((level - 1, x[ok], y[ok]))
+
+
+def list_pairs(part: np.ndarray, sizes: np.ndarray, vectors: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of places of one list, in different components, that may link, with their bound."""
+    if len(sizes) < 2:
         return
-    least = int(sized[tight].min())
-    points = np.concatenate([fold(np.frombuffer(vectors[k], np.uint8)[None, :].astype(np.int32), least) for k in tight])
-    for a, b in CountTree(sizes[tight].astype(np.int64), points).pairs():
-        a, b = tight[a], tight[b]
-        other = part[a] != part[b]
-        yield doc[a[other]], doc[b[other]]
+    sizes, points = sizes.astype(np.int64), CountVectors(vectors)
+    if len(sizes) > LEAF:
+        for a, b, bound in CountTree(sizes, points).pairs():
+            other = part[a] != part[b]
+            yield a[other], b[other], bound[other]
+        return
+    a, b = np.triu_indices(len(sizes), 1)  # a single leaf: no tree above it
+    near = np.flatnonzero((part[a] != part[b]) & (100 * sizes[a] >= SIMILARITY * sizes[b]) & (100 * sizes[b] >= SIMILARITY * sizes[a]))
+    if len(near):
+        a, b = a[near], b[near]
+        bound, total = points.bound(a, b), sizes[a] + sizes[b]
+        near = (100 + SIMILARITY) * bound >= SIMILARITY * total
+        yield a[near], b[near], 1000 * bound[near] // total[near]
 
 
-def tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key -> pairs (a, b), each once a batch."""
+def tree_rows(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key -> pairs (a, b), each once a batch: all, or for each member of a list the one of greatest bound."""
 
     def flush(key_rows: list[pa.RecordBatch]) -> set[tuple[int, int]]:
         t = pa.Table.from_batches(key_rows)
         doc, part, sizes = (t[c].to_numpy() for c in ("doc_id", "part", "n"))
-        found = set()
-        for a, b in list_pairs(doc, part, sizes, t["vector"].to_pylist()):
-            found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+        found, best, partner = set(), np.full(len(doc), -1), np.zeros(len(doc), np.int64)
+        for a, b, bound in list_pairs(part, sizes, t["vector"].to_pylist()):
+            if not best_only:
+                found.update(zip(np.minimum(doc[a], doc[b]).tolist(), np.maximum(doc[a], doc[b]).tolist(), strict=True))
+                continue
+            for x, y in ((a, b), (b, a)):
+                order = np.lexsort((y, bound, x))  # the last of each x has the greatest bound
+                last = order[np.append(np.flatnonzero(np.diff(x[order])), len(order) - 1)] if len(order) else order
+                last = last[bound[last] > best[x[last]]]
+                best[x[last]], partner[x[last]] = bound[last], y[last]
+        if best_only:
+            x = np.flatnonzero(best >= 0)
+            y = partner[x]
+            found.update(zip(np.minimum(doc[x], doc[y]).tolist(), np.maximum(doc[x], doc[y]).tolist(), strict=True))
         return found
 
     def out(found: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -232,13 +296,46 @@ def tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(found)
 
 
+def concerned(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id and text of the documents in the pairs."""
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    return docs.select("doc_id", "text").join(ends, "doc_id", "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link, by whole sets made anew from the texts of the documents concerned."""
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialize(full_sets(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "shingles")
+    sets = materialize(full_sets(concerned(pairs, docs)).dropDuplicates(["doc_id"]), "shingles")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    overlap = F.size(F.array_intersect("x", "y"))
-    return both.where((100 + SIMILARITY) * overlap >= SIMILARITY * (F.size("x") + F.size("y"))).select("a", "b")
+    return both.where((100 + SIMILARITY) * F.size(F.array_intersect("x", "y")) >= SIMILARITY * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def nearly(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs that link by packed sets, which overlap no less than the whole ones; worth it where most pairs do not link."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                x, y = unpack(x), unpack(y)
+                overlap = len(np.intersect1d(x, y, assume_unique=True)) + (n - len(x)) + (m - len(y))
+                keep.append((100 + SIMILARITY) * overlap >= SIMILARITY * (n + m))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sets = materialize(packed_sets(concerned(pairs, docs)).dropDuplicates(["doc_id"]), "packed")
+    side = lambda end, n, x: sets.select(F.col("doc_id").alias(end), F.col("n").alias(n), F.col("packed").alias(x))
+    both = pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b").select("a", "b", "na", "nb", "x", "y")
+    return materialize(both.mapInArrow(rows, "a long, b long"), "near-pairs")
+
+
+def tree_pairs(listed: DataFrame, nodes: DataFrame, linked: DataFrame, best_only: bool) -> DataFrame:
+    """Distinct pairs of the trees of all lists whose members are in more than one component."""
+    placed = listed.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", F.col("doc_id")).alias("part"))
+    split = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    rows = placed.join(split, "key")
+    needed = nodes.select("doc_id", "n", "vector").join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = rows.join(needed, "doc_id").select("key", "doc_id", "part", "n", "vector")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda b: tree_rows(b, best_only), "a long, b long").distinct()
 
 
 def may_link(n: str, m: str) -> Column:
@@ -259,21 +356,23 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     nodes = materialize(nodes.select("doc_id", "n", "keys", "vector"), "nodes")
     postings = nodes.select("doc_id", "n", F.explode("keys").alias("key"))
 
-    leaders = postings.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count("*").alias("members")).where("members > 1")
-    listed = materialize(postings.join(leaders.select("key", F.col("head.doc_id").alias("head"), F.col("head.n").alias("head_n")), "key"), "lists")
-    tries = listed.where((F.col("doc_id") != F.col("head")) & may_link("n", "head_n")).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    tries = materialize(bounded(tries, nodes), "tries")
-    stars = components(verified(tries, docs))
-
-    part = F.coalesce("component", F.col("doc_id"))
-    placed = listed.join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", part.alias("part"))
-    split = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    rows = placed.join(split, "key").join(nodes.select("doc_id", "n", "vector"), "doc_id").select("key", "doc_id", "part", "n", "vector")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(tree_rows, "a long, b long").distinct()
-    pairs = materialize(pairs.join(tries, ["a", "b"], "left_anti"), "pairs")
-    rest = verified(pairs, docs)
-    linked = components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
+    lists = postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    listed = materialize(postings.join(lists, "key"), "lists")
+    # Whose keys the most others share heads its lists: what copies were made of, rather than one of the copies.
+    weight = listed.groupBy("doc_id").agg(F.sum("members").alias("weight"))
+    heads = listed.join(weight, "doc_id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("neg_id"), "n")).alias("head"))
+    tries = listed.join(heads.select("key", (-F.col("head.neg_id")).alias("head"), F.col("head.n").alias("head_n")), "key")
+    tries = tries.where((F.col("doc_id") != F.col("head")) & may_link("n", "head_n")).select(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")).distinct()
+    tried = materialize(bounded(tries, nodes), "tries")
+    linked = components(verified(tried, docs))
+
+    # Then the trees: first each member's best partner outside its component, then all pairs that are still open.
+    for best_only in (True, False):
+        pairs = materialize(tree_pairs(listed, nodes, linked, best_only).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        links = linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(nearly(pairs, docs), docs))
+        linked, tried = components(links), tried.unionByName(pairs)
 
     final = groups.distinct().join(linked.withColumnRenamed("node", "same"), "same", "left").select("doc_id", F.coalesce("component", "same").alias("component_id"))
     # A doc_id whose rows hold different sets joins their components.
@@ -292,12 +391,8 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                ok = True
-                if x and y:
-                    size = min(len(x), len(y))
-                    u, v = (fold(np.frombuffer(z, np.uint8)[None, :].astype(np.int32), size) for z in (x, y))
-                    ok = (100 + SIMILARITY) * int(np.minimum(u, v).sum()) >= SIMILARITY * (n + m)
-                keep.append(ok)
+                bound = CountVectors([x, y]).bound(np.array([0]), np.array([1]))[0]
+                keep.append(bool((100 + SIMILARITY) * bound >= SIMILARITY * (n + m)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ends = nodes.select("doc_id", "n", "vector")

@@ -1,7 +1,8 @@
 """Mixing sources to target weights, with soft membership.
 
 A naive Bayes classifier learned from a labelled table gives each document a posterior over the domains; a document counts
-in every domain by that share. Then a nonnegative rate for each document is fitted so that the expected tokens of each domain
+in every domain by that share. Its features are the presence of words and of the marks that words carry, hashed into buckets;
+only those that tell some domain from the rest in the labelled documents count. Then a nonnegative rate for each document is fitted so that the expected tokens of each domain
 meet their targets: least squares over the domains' relative gaps, by projected gradient from rate 1 (take all as it is).
 
 A step needs only the gap of each domain, so the rate of a document follows from its posterior and the short list of past
@@ -20,32 +21,38 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, materialize, mix, range_hashes, text_slices, word_ranges
 
-BUCKETS = 1 << 16
+WORD_BUCKETS = 1 << 16
+BUCKETS = WORD_BUCKETS + (1 << 12)  # the rest are for the marks in words
+LEAST_DOCS = 5  # documents of the domain that have it, or would if it were like the rest
+LEAST_Z = 5.0  # standard errors by which a feature's share must differ between a domain and the rest
+LEAST_PHI = 0.25  # and the correlation of feature and domain
 #: Domains that a model can hold; with BUCKETS it bounds the broadcast table.
 MOST_DOMAINS = 64
-SOFTNESS = 0.5  # evidence of n words counts as n ** SOFTNESS: words of a text are not independent
 POSTERIORS = "doc_id long, tokens long, posterior array<double>"
 
 
 @dataclass
 class Mixture:
-    """A classifier (domains, log prior, log likelihood by word bucket) and the fitted steps."""
+    """A classifier (domains, log prior without any feature, log odds by bucket) and the fitted steps."""
 
     domains: list[str]
     prior: np.ndarray
-    words: np.ndarray
+    words: np.ndarray  # of each bucket by domain: log odds of its presence, 0 for those that do not count
+    counts: np.ndarray  # which buckets count
     steps: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     target: np.ndarray = field(default_factory=lambda: np.zeros(0))
     reached: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def posteriors(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of each text and its share in each domain; a text without words has the prior's."""
-        buckets, first = word_buckets(data, offsets)
-        sums = np.zeros((len(buckets) + 1, len(self.domains)))
-        np.cumsum(self.words[buckets], axis=0, out=sums[1:])
-        tokens = np.diff(first)
-        evidence = (sums[first[1:]] - sums[first[:-1]]) * (np.maximum(tokens, 1)[:, None] ** (SOFTNESS - 1.0))
-        odds = self.prior + evidence
+        """Tokens of each text and its share in each domain; a text without words has what the absence of all features says."""
+        doc, bucket, tokens = features(data, offsets)
+        n = len(tokens)
+        if not self.domains:
+            return tokens, np.zeros((n, 0))
+        told = self.counts[bucket]
+        pairs = np.unique(doc[told] * BUCKETS + bucket[told])
+        odds = np.tile(self.prior, (n, 1))
+        np.add.at(odds, pairs // BUCKETS, self.words[pairs % BUCKETS])
         odds = np.exp(odds - odds.max(axis=1, keepdims=True))
         return tokens, odds / odds.sum(axis=1, keepdims=True)
 
@@ -61,10 +68,22 @@ def fold_rates(posterior: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return rate
 
 
-def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+_MARKS = mix(np.arange(256, dtype=np.uint64))
+_MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 0  # letters and digits are no marks
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text and bucket of each word and of each word's marks, and the words of each text."""
     data = lower_ascii(data)
     starts, ends, first = word_ranges(data, offsets)
-    return (range_hashes(data, starts, ends) & np.uint64(BUCKETS - 1)).astype(np.int64), first
+    tokens = np.diff(first)
+    doc = np.repeat(np.arange(len(tokens)), tokens)
+    word = (range_hashes(data, starts, ends) & np.uint64(WORD_BUCKETS - 1)).astype(np.int64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_MARKS[data])])
+    marks = sums[ends] - sums[starts]
+    some = marks != 0
+    marked = (mix(marks[some]) & np.uint64(BUCKETS - WORD_BUCKETS - 1)).astype(np.int64) + WORD_BUCKETS
+    return np.concatenate([doc, doc[some]]), np.concatenate([word, marked]), tokens
 
 
 def learn(docs: DataFrame, labelled: DataFrame, sample_docs: int = 20_000) -> Mixture:
@@ -82,9 +101,10 @@ def learn(docs: DataFrame, labelled: DataFrame, sample_docs: int = 20_000) -> Mi
             names = batch.column(0).to_pylist()
             for start, end, data, offsets in text_slices(batch.column(1)):
                 own = sorted(set(names[start:end]))
-                buckets, first = word_buckets(data, offsets)
+                doc, bucket, _ = features(data, offsets)
+                present = np.unique(doc * BUCKETS + bucket)
                 place = np.array([own.index(x) for x in names[start:end]], np.int64)
-                keys, n = np.unique(np.concatenate([np.repeat(place, np.diff(first)) * (BUCKETS + 1) + buckets, place * (BUCKETS + 1) + BUCKETS]), return_counts=True)
+                keys, n = np.unique(np.concatenate([place[present // BUCKETS] * (BUCKETS + 1) + present % BUCKETS, place * (BUCKETS + 1) + BUCKETS]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()).take(pa.array(keys // (BUCKETS + 1))), pa.array(keys % (BUCKETS + 1)), pa.array(n.astype(np.int64))], names=["domain", "bucket", "n"])
 
     counted = sample.mapInArrow(count, "domain string, bucket long, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -94,8 +114,18 @@ def learn(docs: DataFrame, labelled: DataFrame, sample_docs: int = 20_000) -> Mi
     table = np.zeros((BUCKETS + 1, len(domains)))
     index = {d: k for k, d in enumerate(domains)}
     table[counted["bucket"].to_numpy(), [index[d] for d in counted["domain"].to_pylist()]] = counted["n"].to_numpy()
-    docs_each, words = table[-1] + 1.0, table[:-1] + 0.1
-    return Mixture(domains, np.log(docs_each / docs_each.sum()), np.log(words / words.sum(axis=0)).astype(np.float64))
+    each, present = table[-1], table[:-1]  # documents, and those with the feature, by domain
+    rest, others = each.sum() - each, present.sum(axis=1, keepdims=True) - present
+    pooled = present.sum(axis=1, keepdims=True) / max(each.sum(), 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = (present / each - others / rest) / np.sqrt(pooled * (1 - pooled) * (1 / each + 1 / rest))
+    z = np.abs(np.nan_to_num(z, posinf=0, neginf=0))
+    told = (z >= max(LEAST_Z, LEAST_PHI * np.sqrt(each.sum()))) & (np.maximum(present, pooled * each) >= LEAST_DOCS)
+    counts = told.any(axis=1) if len(domains) else np.zeros(BUCKETS, bool)
+    share = np.clip((present + 2 * pooled) / (each + 2), 1e-6, 1 - 1e-6)
+    words = np.where(counts[:, None], np.log(share) - np.log1p(-share), 0)
+    prior = np.log((each + 1) / (each + 1).sum()) + np.log1p(-share[counts]).sum(axis=0)
+    return Mixture(domains, prior, words, counts)
 
 
 def classify(docs: DataFrame, model: Mixture) -> DataFrame:
@@ -118,6 +148,8 @@ def fit(shares: DataFrame, model: Mixture, weights: dict[str, float], anchor: st
     anchor's target is what it has. A target that no nonnegative rates can reach is met as closely as they allow.
     """
     n = len(model.domains)
+    if not n:
+        return model
     total_columns = [F.sum(F.col("tokens") * F.get("posterior", F.lit(k))).alias(f"d{k}") for k in range(n)]
     have = np.array([x or 0.0 for x in shares.agg(*total_columns).first()])
     weight = np.array([float(weights.get(d, 0.0)) for d in model.domains])
@@ -144,8 +176,10 @@ def fit(shares: DataFrame, model: Mixture, weights: dict[str, float], anchor: st
         ahead = gap + 0.5 * ahead
         steps = [*steps, ahead]
         row = shares.select("tokens", "posterior").mapInArrow(sums, ", ".join(f"d{k} double" for k in range(n))).agg(*[F.sum(f"d{k}") for k in range(n)]).first()
-        reached = np.array([x or 0.0 for x in row])
-    return Mixture(model.domains, model.prior, model.words, np.array(steps).reshape(-1, n), target, reached)
+        before, reached = reached, np.array([x or 0.0 for x in row])
+        if np.abs(reached - before).max() < 0.1 * tolerance * total:
+            break  # the rest cannot be reached by nonnegative rates
+    return Mixture(model.domains, model.prior, model.words, model.counts, np.array(steps).reshape(-1, n), target, reached)
 
 
 def copies_of(rate: np.ndarray, doc_id: pa.Array) -> np.ndarray:

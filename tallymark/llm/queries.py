@@ -25,14 +25,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-#: Shares of the tokens that a mixture shall have, by label: quality (q) and toxicity (t).
-WEIGHTS = {"q1t0": 0.9, "q0t0": 0.1}
-ANCHOR = "q1t0"
+#: Shares of the tokens that a mixture shall have. Toxic documents get none.
+WEIGHTS = {"good": 0.9, "poor": 0.1}
+ANCHOR = "good"  # keeps what it has
 
 
 def domains(labels: DataFrame) -> DataFrame:
-    """doc_id and domain of labelled documents."""
-    return labels.select("doc_id", F.concat(F.lit("q"), F.col("quality"), F.lit("t"), F.col("toxic")).alias("domain"))
+    """doc_id and domain of labelled documents: toxic, else good or poor."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").alias("domain"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

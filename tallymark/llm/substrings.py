@@ -175,7 +175,8 @@ def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if a != anchor:
                 found += repeats_in_shard(held)
                 anchor, held = a, []
-            held.append((doc_id, start, words))
+            if not held or held[-1] != (doc_id, start, words):  # a repeated row is the same document
+                held.append((doc_id, start, words))
         if len(found) > 20_000:
             yield out(found)
             found = []
@@ -209,7 +210,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, start, windows): runs of windows whose words start earlier too. ``docs`` holds doc_id and text, neither null."""
     spark = docs.sparkSession
     every = docs.mapInArrow(segment_rows, SEGMENTS)
-    anchors = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # A table of its own: else the join would share the shuffle of the counts and a crowded anchor could not be split.
+    anchors = materialize(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     reference = materialize(every.join(anchors, "anchor", "left_semi"), "segments")
     key = ["anchor", "digest", "windows"]
     firsts = reference.groupBy(*key).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("copies"))

@@ -4,7 +4,8 @@ Encoding is a score-ordered agenda: every adjacent pair of symbols that is a pie
 score, then position; the best live pair is merged and its two new neighbours enter. No piece of the vocabulary
 reaches across certain boundaries (found from the pieces themselves when the model loads), so a text falls
 into words that merge independently, and words repeat: each task keeps a bounded table of encoded words.
-The result of every text is compared with the library's in the same Arrow batch, and so is the decoded text.
+In each Arrow batch every word merged anew is compared with the library's ids, and so are whole texts: one of each run, and every one
+that decoding does not give back, whose decoded text must then be the library's too.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from .common import text_slices
 SPACE = "▁"
 SHORT = 24  # characters up to which a chunk's agenda is a list
 NEVER = 1 << 30
+KEPT_WORDS = 60_000  # of a task's table for the next task
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -60,6 +62,7 @@ class MergeCodec:
         self.inner: dict[str, tuple[int, ...]] = {}  # parts inside words
         self.cache: dict[str, tuple[int, ...]] = {}
         self.cache_limit = cache_limit
+        self.new: list[tuple[str, tuple[int, ...]]] = []  # merged since the last check
 
     def _boundaries(self) -> re.Pattern:
         """Parts of a spaced word that merge independently: marks that no piece joins to a letter, characters that no piece joins to any."""
@@ -133,6 +136,7 @@ class MergeCodec:
                     self.inner[part] = known
             ids += known
         out = tuple(ids)
+        self.new.append((word, out))
         if len(word) <= 64:
             if len(self.cache) >= self.cache_limit:  # the older half goes; what is frequent comes back at once
                 for key in list(itertools.islice(self.cache, self.cache_limit // 2)):
@@ -154,14 +158,26 @@ class MergeCodec:
                 else:
                     spaces += 1
             words = runs + [SPACE * (spaces - 1)] * (spaces > 0)
-        entries = list(map(self.cache.get, words))
+        get, unknown = self.cache.get, self._unknown_word
+        entries = list(map(get, words))
         if None in entries:
-            get, unknown = self.cache.get, self._unknown_word
             entries = [get(w) or unknown(w) if e is None else e for w, e in zip(words, entries, strict=True)]
         ids = list(itertools.chain.from_iterable(entries))
         ids.append(self.eos)
         return ids
 
+    def check_new_words(self) -> None:
+        """Compare the words merged since the last check with the library's ids; texts are made of nothing but checked words."""
+        new, self.new = [n for n in self.new if n[0]], []
+        for (word, ids), expected in zip(new, self.library.encode([w.replace(SPACE, " ") for w, _ in new], num_threads=1), strict=True):
+            if list(ids) != expected:
+                raise ValueError(f"the agenda's ids of {word!r} differ from the library's")
+
+    def forget(self) -> None:
+        """Keep the words that came first, which are the frequent ones."""
+        self.cache = dict(itertools.islice(self.cache.items(), KEPT_WORDS))
+        self.inner.clear()
+
     def written(self, ids: list[int]) -> str:
         """Decimal ids joined by spaces."""
         return " ".join(map(self.own_str.__getitem__, ids))
@@ -175,7 +191,7 @@ _loaded: dict[str, MergeCodec] = {}
 
 
 def codec(path: str) -> MergeCodec:
-    """One codec a worker process; its table of words lasts for a task."""
+    """One codec a worker process; most of its table of words lasts for a task."""
     if path not in _loaded:
         _loaded[path] = MergeCodec(path)
     return _loaded[path]
@@ -189,10 +205,13 @@ def encode_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
         for start, end, _, _ in text_slices(texts):
             rows = [t or "" for t in texts.slice(start, end - start).to_pylist()]
             encoded = [own.encode(t) for t in rows]
-            expected = own.library.encode(rows, add_eos=True, num_threads=1)
-            decoded = own.library.decode(expected, num_threads=1)
-            for k, (mine, theirs) in enumerate(zip(encoded, expected, strict=True)):
-                if mine != theirs or own.decode(mine) != decoded[k]:
+            decoded = [own.decode(ids) for ids in encoded]
+            own.check_new_words()
+            # Whole texts: one of each run, and all that decoding does not give back.
+            whole = [k for k, t in enumerate(rows) if not k or decoded[k] != t.replace(SPACE, " ")]
+            expected = own.library.encode([rows[k] for k in whole], add_eos=True, num_threads=1)
+            for k, ids, text in zip(whole, expected, own.library.decode(expected, num_threads=1), strict=True):
+                if encoded[k] != ids or decoded[k] != text:
                     raise ValueError(f"doc_id {doc_id[start + k]}: the agenda's result differs from the library's")
             yield pa.RecordBatch.from_arrays(
                 [
@@ -203,8 +222,7 @@ def encode_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
                 ],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
-    own.cache.clear()  # the process may serve other stages next
-    own.inner.clear()
+    own.forget()  # the process may serve other stages next
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
@@ -224,6 +242,7 @@ def token_ids(docs: DataFrame, model_path: str) -> DataFrame:
         own = codec(model_path)
         for batch in batches:
             ids = [own.encode(t or "") for t in batch.column(1).to_pylist()]
+            own.check_new_words()
             yield pa.RecordBatch.from_arrays([pc.cast(batch.column(0), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, ids array<int>")

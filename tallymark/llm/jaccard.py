@@ -8,13 +8,11 @@ first shingles of their sets in one global order (prefix filter). That order put
 
 Per list, first every member is tried against one head of the list only, which joins groups of near copies in as many
 trials as they have members. Then each list's tree gives pairs of members that are not yet in one component and whose bound
-allows a link: for each member that of greatest bound, and once those are verified all that are still open. Equal sets are one node throughout. All of it is exact up to equal
-64-bit hashes of different shingles and to the shortened prefixes below.
+allows a link: for each member that of greatest bound, and once those are verified all that are still open. Equal sets are one node throughout.
+All of it is exact up to equal 64-bit hashes of different shingles.
 
-Prefixes: a set of n shingles has the full prefix n - ceil(0.75 n) + 1. Where at most half of a set's shingles are common, a
-shorter one serves: the first k of it in hash order are a random sample, and a link whose sets share none of them has
-probability (1 - J)**k at most, with J at least 0.55 without common shingles: below 1e-14 for 40 of them, and for 24 where a set
-has no common shingle at all (J at least 0.75). That is far below the chance of a wrong verdict by equal hashes in a large corpus.
+Prefixes are whole: n - ceil(0.75 n) + 1 of the n shingles of a set. One shuffle brings the rare ones together, and lists of one
+document end there. A list is named by its members, so the many lists of one passage or one group of copies are one list.
 """
 
 from __future__ import annotations
@@ -38,7 +36,8 @@ GROUP_BITS = (9, 16)  # log2 of the fewest and most groups of a count vector: 2
 COARSE = 64  # groups of the boxes
 LEAF = 32
 PACKED_BITS = 22  # of the hashes in packed sets
-SET_ROWS = "doc_id long, n int, d1 long, d2 long, keys array<long>, vector binary"
+SEEN_LISTS = 200_000  # names of lists that a task remembers, so as to write equal ones once
+SET_ROWS = "doc_id long, n int, d1 long, d2 long, commons array<long>, vector binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,14 +99,18 @@ class CountVectors:
         return counts.reshape(len(counts), -1, COARSE).sum(axis=1)
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles in the order (common last, then by hash), as many as a link needs."""
+def prefix(hashes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles in the order (common last, then by hash), as many as a link needs: the rare and the common ones."""
     n = len(hashes)
-    full = n - -(-SIMILARITY * n // 100) + 1
+    full = n - -(-SIMILARITY * n // 100) + (n > 0)
     is_common = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes if len(common) else np.zeros(n, bool)
-    share = is_common.sum()
-    length = full if 2 * share > n else min(full, 40 if share else 24)
-    return np.concatenate([hashes[~is_common], hashes[is_common]])[:length]
+    rare = hashes[~is_common][:full]
+    return rare, hashes[is_common][: full - len(rare)]
+
+
+def list_array(parts: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(flat))
 
 
 def set_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -120,17 +123,64 @@ def set_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 spread = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(salt)))]) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
                 digests = [(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in spread]
                 sets = [hashes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-                keys = [prefix(s, shared.value).view(np.int64) for s in sets]
-                flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)), pa.array(flat))
+                lists = list_array([prefix(s, shared.value)[1] for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, end - start).cast(pa.int64()), pa.array(np.diff(at).astype(np.int32)), pa.array(digests[0]), pa.array(digests[1]), lists, pa.array([count_vector(s) for s in sets], pa.binary())],
-                    names=["doc_id", "n", "d1", "d2", "keys", "vector"],
+                    names=["doc_id", "n", "d1", "d2", "commons", "vector"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(rows, SET_ROWS)
 
 
+def rare_postings(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """key and doc_id for the rare shingles of each prefix."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end, data, offsets in text_slices(batch.column(1)):
+                hashes, at = shingle_sets(data, offsets)
+                keys = [prefix(hashes[a:b], shared.value)[0] for a, b in zip(at[:-1], at[1:], strict=True)]
+                doc = np.repeat(batch.column(0).slice(start, end - start).cast(pa.int64()).to_numpy(), [len(k) for k in keys])
+                flat = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(doc, pa.int64())], names=["key", "doc_id"])
+
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(rows, "key long, doc_id long")
+
+
+def repeated_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and doc_id -> the lists of two or more documents, each under a key made of its members.
+
+    Two lists under one key are one longer list, so nothing is lost by it.
+    """
+    held_key, held_doc, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), set()
+
+    def lists(keys: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
+        keys, docs = keys[new], docs[new]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        members = np.diff(np.append(first, len(keys)))
+        names = (np.add.reduceat(mix(docs.view(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)).view(np.int64)
+        take = members > 1
+        for k in np.flatnonzero(take):
+            name = int(names[k])
+            take[k] = name not in seen
+            seen.add(name)
+        if len(seen) > SEEN_LISTS:
+            seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(names[take], members[take])), pa.array(docs[np.repeat(take, members)])], names=["key", "doc_id"])
+
+    for batch in batches:
+        keys = np.concatenate([held_key, batch.column(0).to_numpy()])
+        docs = np.concatenate([held_doc, batch.column(1).to_numpy()])
+        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last list may go on
+        held_key, held_doc = keys[cut:], docs[cut:]
+        if cut:
+            yield lists(keys[:cut], docs[:cut])
+    yield lists(held_key, held_doc)
+
+
 def full_sets(docs: DataFrame) -> DataFrame:
     """doc_id and all shingle hashes."""
 
@@ -349,19 +399,24 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     link with nothing. Rows that repeat a doc_id are one node; a row without doc_id links with nothing and its component is
     null. Columns other than doc_id and text are not read. An empty table gives an empty result.
     """
-    sets = materialize(with_runs(set_rows(docs, common_shingles(docs))), "sets")
+    common = common_shingles(docs)
+    sets = materialize(with_runs(set_rows(docs, common)), "sets")
     named = sets.where("doc_id IS NOT NULL AND n > 0")
     groups = materialize(tree_merge(named.select("doc_id", "n", "d1", "d2", "row", "run"), ["n", "d1", "d2"], (-F.col("doc_id")).alias("best")).select("doc_id", (-F.col("best")).alias("same")), "equal-sets")
     nodes = named.join(groups.where("doc_id = same").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nodes = materialize(nodes.select("doc_id", "n", "keys", "vector"), "nodes")
-    postings = nodes.select("doc_id", "n", F.explode("keys").alias("key"))
+    nodes = materialize(nodes.select("doc_id", "n", "commons", "vector"), "nodes")
 
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rare = rare_postings(docs, common).repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(repeated_lists, "key long, doc_id long")
+    rare = rare.join(nodes.select("doc_id"), "doc_id", "left_semi").select("key", "doc_id").distinct()
+    postings = materialize(rare.unionByName(nodes.select(F.explode("commons").alias("key"), "doc_id")), "postings")
     lists = postings.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     listed = materialize(postings.join(lists, "key"), "lists")
     # Whose keys the most others share heads its lists: what copies were made of, rather than one of the copies.
-    weight = listed.groupBy("doc_id").agg(F.sum("members").alias("weight"))
-    heads = listed.join(weight, "doc_id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("neg_id"), "n")).alias("head"))
-    tries = listed.join(heads.select("key", (-F.col("head.neg_id")).alias("head"), F.col("head.n").alias("head_n")), "key")
+    weight = listed.groupBy("doc_id").agg(F.sum("members").alias("weight")).join(nodes.select("doc_id", "n"), "doc_id")
+    weighed = listed.join(weight, "doc_id")
+    heads = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("neg_id"), "n")).alias("head"))
+    tries = weighed.select("key", "doc_id", "n").join(heads.select("key", (-F.col("head.neg_id")).alias("head"), F.col("head.n").alias("head_n")), "key")
     tries = tries.where((F.col("doc_id") != F.col("head")) & may_link("n", "head_n")).select(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")).distinct()
     tried = materialize(bounded(tries, nodes), "tries")
     linked = components(verified(tried, docs))

@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,36 @@ def test_jaccard_join(spark):
     assert got[None].component_id is None and got[None].n_shingles == len(sets[None])
 
 
+def test_linked_sets_share_a_prefix_shingle_for_certain():
+    """Sets that differ in their first shingles alone: what a shortened prefix would miss."""
+    shingles = np.sort(np.random.default_rng(6).integers(0, 1 << 62, 4000)).astype(np.uint64)
+    for common in (np.zeros(0, np.uint64), shingles[1000::7]):
+        order = np.concatenate([s for s in (shingles[~np.isin(shingles, common)], shingles[np.isin(shingles, common)])])
+        a, b = np.sort(order[: 2000]), np.sort(order[500:2000])  # 1500 of 2000: similarity 0.75
+        keys = [set(np.concatenate(jaccard.prefix(s, common)).tolist()) for s in (a, b)]
+        assert keys[0] & keys[1]
+
+
+@pytest.mark.parametrize("remembered", [200_000, 1])
+def test_repeated_lists_lose_no_pair(monkeypatch, remembered):
+    monkeypatch.setattr(jaccard, "SEEN_LISTS", remembered)
+    rng = np.random.default_rng(7)
+    rows = sorted((int(k), int(d)) for k, d in zip(rng.integers(-40, 40, 300), rng.integers(0, 60, 300), strict=True))
+    rows += [(100 + k, d) for k in range(30) for d in (1, 2, 3)] + [(200, 9), (201, 9), (201, 9)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + 7]], pa.int64()) for c in (0, 1)], names=["key", "doc_id"]) for i in range(0, len(rows), 7)]
+
+    def pairs(found):
+        lists = {}
+        for k, d in found:
+            lists.setdefault(k, set()).add(d)
+        return {(a, b) for ds in lists.values() for a in ds for b in ds if a < b}
+
+    got = [(k, d) for b in jaccard.repeated_lists(iter(batches)) for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert pairs(got) == pairs(rows)
+    assert remembered == 1 or len(got) < len(set(rows)) - 80
+    assert sum(b.num_rows for b in jaccard.repeated_lists(iter([]))) == 0
+
+
 def test_count_tree_gives_every_pair_that_may_link():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 1 << 62, rng.integers(20, 90)).astype(np.uint64)) for _ in range(40)]

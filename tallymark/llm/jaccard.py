@@ -283,7 +283,22 @@ class CountTree:
 
 
 def list_pairs(part: np.ndarray, sizes: np.ndarray, vectors: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of places of one list, in different components, that may link, with their bound."""
+    """Pairs of places of one list, in different components, that may link, with their bound.
+
+    Sizes of sets that link differ by a third at most, and so the logarithms of their groups by one: each such band has its own
+    tree, or a small set would fold the vectors of large ones to its few groups.
+    """
+    bits = np.array([v[0] for v in vectors])
+    for least in np.unique(bits):
+        at = np.flatnonzero((bits == least) | (bits == least + 1))
+        for a, b, bound in band_pairs(part[at], sizes[at], [vectors[k] for k in at]):
+            a, b = at[a], at[b]
+            own = (bits[a] == least) | (bits[b] == least)  # the others belong to the next band
+            yield a[own], b[own], bound[own]
+
+
+def band_pairs(part: np.ndarray, sizes: np.ndarray, vectors: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs of one band of a list."""
     if len(sizes) < 2:
         return
     sizes, points = sizes.astype(np.int64), CountVectors(vectors)

@@ -125,9 +125,10 @@ def test_repeated_lists_lose_no_pair(monkeypatch, remembered):
     assert sum(b.num_rows for b in jaccard.repeated_lists(iter([]))) == 0
 
 
-def test_count_tree_gives_every_pair_that_may_link():
+@pytest.mark.parametrize("most", [90, 900])
+def test_count_tree_gives_every_pair_that_may_link(most):
     rng = np.random.default_rng(5)
-    sets = [np.unique(rng.integers(0, 1 << 62, rng.integers(20, 90)).astype(np.uint64)) for _ in range(40)]
+    sets = [np.unique(rng.integers(0, 1 << 62, rng.integers(20, most)).astype(np.uint64)) for _ in range(40)]
     for k in range(160):
         s = sets[rng.integers(0, 40)].copy()
         s[rng.integers(0, len(s), rng.integers(0, 12))] = rng.integers(0, 1 << 62, 1).astype(np.uint64)

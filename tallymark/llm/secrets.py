@@ -21,7 +21,7 @@ PATTERNS = {
 }
 #: A pattern that occurs in a text wherever one of that kind that passes does: most texts are done after it.
 GATES = {
-    "assign": r"""(?i:passw|secret|token|api_?key)[a-z]*["']?\x20*[:=]""",
+    "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]""",
     "access": r"AKIA[A-Z0-9]{12}",
     "hex": r"[0-9a-f]{32}",
     "random": r"[A-Za-z0-9+/_=-]{20}",

@@ -242,6 +242,14 @@ def test_secret_scan(spark):
     assert added[9] == 1 and added[10] == 0 and added[2] == 0
 
 
+@pytest.mark.parametrize("text", ["PASSWORD=hunter2secret", "PASSWD: Abcdefgh12", "PassWord = 'hunter2secret'", "passWD:abcdefgh", "API_KEY=abcdefgh1", "ApiKey: abcdefgh1", "SECRET\"  = abcdefgh", "my TOKEN=abcdefgh"])
+def test_secret_scan_takes_keywords_in_either_case(spark, text):
+    """A text whose only assignment is in upper or mixed case passes the gate too."""
+    rows = spark.createDataFrame([(text,)], "text string")
+    got = rows.select(secrets.spans(F.col("text"), "assign", *secrets.PATTERNS["assign"])).first()[0]
+    assert [f"assign:{s.start}:{s.end}" for s in got] == [s for s in brute_spans(text) if s.startswith("assign:")] != []
+
+
 def test_pieces_agree_with_the_library(spark):
     own = pieces.MergeCodec(piece_model(), cache_limit=50)
     rng = random.Random(1)

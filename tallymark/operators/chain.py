@@ -7,9 +7,12 @@ sequence number that fails. Only building a chain, or recomputing its head witho
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,23 +67,34 @@ def link(blob: Column, before: Column) -> Column:
     return F.sha2(F.concat(blob, before), 256)
 
 
+def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Link rows (key, seq, blob, head_hash) that come by key and seq; only the last hash is held between rows."""
+    current, prev, began = None, None, False
+    for b in batches:
+        before, own = [], []
+        for key, blob, head in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            if not began or key != current:
+                current, prev, began = key, GENESIS if head is None else head, True
+            before.append(prev)
+            prev = None if blob is None or prev is None else hashlib.sha256((blob + prev).encode()).hexdigest()
+            own.append(prev)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(before, pa.string()), pa.array(own, pa.string())], names=[b.schema.names[0], "seq", "prev_hash", "chain_hash"])
+
+
 def fold(batch: DataFrame, heads: DataFrame | None = None, key: str = "org_id") -> DataFrame:
     """Chain a batch of rows (key, seq, blob) behind each key's head (key, head_hash), genesis where there is none.
 
-    A chain is sequential within a key; the rows of one batch and key are folded together, keys side by side.
+    A chain is sequential within a key: its rows are walked in one task, keys side by side. They are sorted (which spills) and
+    streamed, so that no history is held in memory, and each row is copied once.
     """
-    rows = batch.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "blob"))).alias("rows"))
+    rows = batch.select(key, F.col("seq").cast("bigint").alias("seq"), "blob")
     if heads is not None:
         rows = rows.join(heads.select(key, "head_hash"), key, "left")
     else:
         rows = rows.withColumn("head_hash", F.lit(None).cast("string"))
-    start = F.struct(F.coalesce("head_hash", F.lit(GENESIS)).alias("prev"), F.array().cast("array<struct<seq:bigint,prev_hash:string,chain_hash:string>>").alias("done"))
-
-    def step(acc: Column, row: Column) -> Column:
-        own = link(row["blob"], acc["prev"])
-        return F.struct(own.alias("prev"), F.concat(acc["done"], F.array(F.struct(row["seq"].cast("bigint").alias("seq"), acc["prev"].alias("prev_hash"), own.alias("chain_hash")))).alias("done"))
-
-    return rows.select(key, F.explode(F.aggregate("rows", start, step)["done"]).alias("r")).select(key, "r.*")
+    schema = T.StructType([rows.schema[key], *[T.StructField(n, t) for n, t in (("seq", T.LongType()), ("prev_hash", T.StringType()), ("chain_hash", T.StringType()))]])
+    ordered = rows.repartition(key).sortWithinPartitions(key, F.col("seq").asc_nulls_last(), F.col("blob").asc_nulls_last())
+    return ordered.select(key, "seq", "blob", "head_hash").mapInArrow(walk, schema)
 
 
 def checked(chain: DataFrame, key: str = "org_id", first_seq: int = 1, seed: str | None = GENESIS) -> DataFrame:

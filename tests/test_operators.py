@@ -81,6 +81,25 @@ def test_parallel_verification_equals_the_walk(spark):
     assert sum(v[0] is not None for v in expected.values()) > 20
 
 
+def test_fold_streams_long_chains(spark):
+    """One long chain beside short ones, behind a head and from genesis, null texts included; no array of a key's rows is made."""
+    sizes = {None: 3, 1: 12_000, 2: 1, 3: 7}
+    rows = [(k, seq, None if (k, seq) == (3, 5) else f"{k}-{seq} é") for k, n in sizes.items() for seq in range(1, n + 1)]
+    random.Random(3).shuffle(rows)
+    heads = spark.createDataFrame([(1, "e" * 64), (3, None)], "org_id long, head_hash string")
+    want = set()
+    for k, n in sizes.items():
+        prev = "e" * 64 if k == 1 else GENESIS
+        for seq in range(1, n + 1):
+            own = None if prev is None or (k, seq) == (3, 5) else sha(f"{k}-{seq} é" + prev)
+            want.add((k, seq, prev, own))
+            prev = own
+    done = C.fold(spark.createDataFrame(rows, "org_id long, seq long, blob string"), heads)
+    got = [tuple(r) for r in done.select("org_id", "seq", "prev_hash", "chain_hash").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "collect_list" not in done._jdf.queryExecution().toString()
+
+
 def test_event_hash_is_that_of_sorted_json(spark):
     row = dict(org_id="o-1", event_id="e", client_id="c", client_seq=3, event_type=None, commitment_alg=None, prompt_hash="p", response_hash="r", token_count=7, policy_tag="é", agent=None, seq=4, occurred_at="2024-01-02T03:04:05+02:00", verdict_hash=None, event_metadata='{"b": 1.5, "a": null}', chain_version=5)
     schema = "org_id string, event_id string, client_id string, client_seq long, event_type string, commitment_alg string, prompt_hash string, response_hash string, token_count int, policy_tag string, agent string, seq long, occurred_at string, verdict_hash string, event_metadata string, chain_version int"

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import hashlib
 import os
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tallymark.plans import ORACLE_SQL, QUERIES
@@ -71,3 +73,25 @@ def test_works_without_the_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'usage_daily' in q and not [n for n in q if n.startswith('op') and n[2].isdigit()] and 'pipeline' not in q; print(len(q))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=60)
     assert out.returncode == 0, out.stderr
+
+
+def link(blob, prev):
+    return hashlib.sha256((blob + prev).encode()).hexdigest()
+
+
+def events(spark, folder, n, user_id):
+    """A folder with n events of the given users beside nothing else."""
+    rows = spark.range(n).select(
+        F.col("id").alias("event_id"), user_id(F.col("id")).cast("long").alias("user_id"), F.lit("2024-01-05 00:00:00").cast("timestamp_ntz").alias("ts"),
+        F.lit("click").alias("event_type"), (F.col("id") % 50 + 0.5).alias("value"), F.lit('{"k": 3}').alias("props"),
+    )
+    rows.write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_staff_chain_holds_every_event(spark, tmp_path):
+    n, prev = 6007, "0" * 64
+    for event_id in range(50, n):
+        prev = link(f"a{event_id}", prev)
+    got = QUERIES["staff_chain_verify"](spark, events(spark, tmp_path, n, lambda i: i % 5)).first()
+    assert (got.chained, got.unchained, got.head_seq, got.head_hash, got.ok, got.first_broken_seq) == (n - 50, 50, n - 50, prev, True, None)

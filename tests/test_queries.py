@@ -95,3 +95,38 @@ def test_staff_chain_holds_every_event(spark, tmp_path):
         prev = link(f"a{event_id}", prev)
     got = QUERIES["staff_chain_verify"](spark, events(spark, tmp_path, n, lambda i: i % 5)).first()
     assert (got.chained, got.unchained, got.head_seq, got.head_hash, got.ok, got.first_broken_seq) == (n - 50, 50, n - 50, prev, True, None)
+
+
+def walked_pages(event_ids, client):
+    """(pages, rows, first, last, status, first broken, detail) of a client's events by a plain walk over its damaged pages."""
+    kept, prev = [], "0" * 64
+    for seq, n in enumerate(event_ids, 1):
+        agent = None if n % 5 == 0 else "unattributed" if n % 7 == 0 else f"agent-{n % 20}"
+        blob = "|".join([str(client % 8), hashlib.sha256(str(n).encode()).hexdigest(), hashlib.sha256(f"r{n}".encode()).hexdigest(), str(n % 50), "click", str(seq)]) + (f"|agent={agent}" if agent else "")
+        own = link(blob, prev)
+        if not (client % 3 == 1 and seq <= 50):
+            kept.append((seq, n, blob, prev, own))
+        prev = own
+    broken, before, at = None, kept[0][3], None
+    count = 0
+    for seq, n, blob, stored, own in kept:
+        if n % 1499 == 7:
+            continue
+        count += 1
+        stored = "0" * 64 if n % 1213 == 3 else stored
+        blob += "x" * (n % 997 == 5)
+        what = "gap" if at is not None and seq != at + 1 else "previous" if stored != before else "hash" if link(blob, before) != own else None
+        broken = broken or (what and (seq, what))
+        before, at = own, seq
+    return (len({(k[0] - 1) // 50 for k in kept}), count, kept[0][0], kept[-1][0], "broken" if broken else "complete" if kept[0][0] == 1 else "segment", *(broken or (None, None)))
+
+
+def test_segments_of_every_client(spark, tmp_path):
+    users = 5
+    sf = events(spark, tmp_path, 1500, lambda i: i % users * 6)
+    got = {r.org_id: (r.pages, r.rows, r.from_seq, r.to_seq, r.status, r.first_broken_seq, r.detail) for r in QUERIES["segment_verify"](spark, sf).collect()}
+    want = {str(u * 6): walked_pages(range(u, 1500, users), u * 6) for u in range(users)}
+    assert got == want and {v[4] for v in want.values()} == {"broken", "complete"}
+    odd = events(spark, tmp_path / "odd", 400, lambda i: i % 2 * 3 + 13)  # clients 13, whose first page is lost, and 16
+    got = {r.org_id: (r.pages, r.rows, r.from_seq, r.to_seq, r.status, r.first_broken_seq, r.detail) for r in QUERIES["segment_verify"](spark, odd).collect()}
+    assert got == {str(c): walked_pages(range(k, 400, 2), c) for k, c in enumerate((13, 16))} and got["13"][4] == "segment"

@@ -7,12 +7,13 @@ have much the same counts), so the trees stand on lists that a link cannot avoid
 first shingles of their sets in one global order (prefix filter). That order puts shingles that are common in a sample last.
 
 Per list, first every member is tried against one head of the list only, which joins groups of near copies in as many
-trials as they have members. Then each list's tree gives pairs of members that are not yet in one component and whose bound
-allows a link: for each member that of greatest bound, and once those are verified all that are still open. Equal sets are one node throughout.
-All of it is exact up to equal 64-bit hashes of different shingles.
+trials as they have members. Then each list's tree gives the pairs of members that are not yet in one component and whose bound
+allows a link. A list with many of those gives for each member that of greatest bound first, and what is still open once
+those are verified. Equal sets are one node throughout. All of it is exact up to equal 64-bit hashes of different shingles.
 
 Prefixes are whole: n - ceil(0.75 n) + 1 of the n shingles of a set. One shuffle brings the rare ones together, and lists of one
 document end there. A list is named by its members, so the many lists of one passage or one group of copies are one list.
+A list of more than ``CROWD`` members is dealt out by bands of set sizes and, within a band, by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -32,9 +33,12 @@ from .exact_dedup import tree_merge, with_runs
 
 WIDTH = 5
 SIMILARITY = 75  # per cent
-GROUP_BITS = (9, 16)  # log2 of the fewest and most groups of a count vector: 2 to 4 groups a shingle
+GROUP_BITS = (7, 15)  # log2 of the fewest and most groups of a count vector: 1 to 2 groups a shingle
 COARSE = 64  # groups of the boxes
 LEAF = 32
+CROWD = 2048  # members of a list that one task compares
+BAND = 1.35  # ratio of set sizes of a band; sizes of sets that link differ by less
+OPEN_PAIRS = 4  # open pairs by member up to which a list gives them all at once
 PACKED_BITS = 22  # of the hashes in packed sets
 SEEN_LISTS = 200_000  # names of lists that a task remembers, so as to write equal ones once
 SET_ROWS = "doc_id long, n int, d1 long, d2 long, commons array<long>, vector binary"
@@ -65,7 +69,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def count_vector(hashes: np.ndarray) -> bytes:
     """Counts by group in bit planes: log2 of the groups, what counts exceed 2 by, the groups counted once or more, twice or more."""
-    bits = min(GROUP_BITS[1], max(GROUP_BITS[0], math.ceil(math.log2(max(2 * len(hashes), 1)))))
+    bits = min(GROUP_BITS[1], max(GROUP_BITS[0], math.ceil(math.log2(max(len(hashes), 1)))))
     counts = np.bincount((hashes >> np.uint64(20) & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
     return struct.pack("<BI", bits, int(np.maximum(counts - 2, 0).sum())) + np.packbits(counts > 0).tobytes() + np.packbits(counts > 1).tobytes()
 
@@ -74,18 +78,19 @@ class CountVectors:
     """Count vectors over one number of groups, the least of theirs: equal places of larger ones are added up."""
 
     def __init__(self, vectors: list[bytes]):
-        heads = [struct.unpack_from("<BI", v) for v in vectors]
-        bits = min(h[0] for h in heads)
-        self.excess = np.array([h[1] for h in heads], np.int64)
+        heads = np.frombuffer(b"".join(v[:5] for v in vectors), np.dtype([("bits", "u1"), ("excess", "<u4")]))
+        bits = int(heads["bits"].min())
+        self.excess = heads["excess"].astype(np.int64)
         half = (1 << bits) // 8
         self.once, self.twice = np.zeros((len(vectors), half), np.uint8), np.zeros((len(vectors), half), np.uint8)
-        for k, (v, (own, _)) in enumerate(zip(vectors, heads, strict=True)):
-            planes = np.frombuffer(v, np.uint8, offset=5).reshape(2, -1)
+        for own in np.unique(heads["bits"]).tolist():
+            at = np.flatnonzero(heads["bits"] == own)
+            planes = np.frombuffer(b"".join(vectors[k][5:] for k in at), np.uint8).reshape(len(at), 2, -1)
             if own > bits:
-                counts = np.unpackbits(planes, axis=1).sum(axis=0, dtype=np.int64).reshape(-1, 1 << bits).sum(axis=0)
-                self.excess[k] += np.maximum(counts - 2, 0).sum()
-                planes = np.stack([np.packbits(counts > 0), np.packbits(counts > 1)])
-            self.once[k], self.twice[k] = planes
+                counts = np.unpackbits(planes, axis=2).sum(axis=1, dtype=np.uint8).reshape(len(at), -1, 1 << bits).sum(axis=1, dtype=np.int32)
+                self.excess[at] += np.maximum(counts - 2, 0).sum(axis=1)
+                planes = np.stack([np.packbits(counts > 0, axis=1), np.packbits(counts > 1, axis=1)], axis=1)
+            self.once[at], self.twice[at] = planes[:, 0], planes[:, 1]
         self.planes = np.concatenate([self.once, self.twice], axis=1).view(np.uint64)
 
     def bound(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -316,49 +321,76 @@ def band_pairs(part: np.ndarray, sizes: np.ndarray, vectors: list[bytes]) -> Ite
         yield a[near], b[near], 1000 * bound[near] // total[near]
 
 
-def tree_rows(batches: Iterator[pa.RecordBatch], best_only: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key -> pairs (a, b), each once a batch: all, or for each member of a list the one of greatest bound."""
+def best_partners(best: np.ndarray, partner: np.ndarray, a: np.ndarray, b: np.ndarray, bound: np.ndarray) -> None:
+    """Enter the pairs (a, b) where they exceed the best bound of either end so far."""
+    for x, y in ((a, b), (b, a)):
+        order = np.lexsort((y, bound, x))  # the last of each x has the greatest bound
+        last = order[np.append(np.flatnonzero(np.diff(x[order])), len(order) - 1)] if len(order) else order
+        last = last[bound[last] > best[x[last]]]
+        best[x[last]], partner[x[last]] = bound[last], y[last]
 
-    def flush(key_rows: list[pa.RecordBatch]) -> set[tuple[int, int]]:
-        t = pa.Table.from_batches(key_rows)
-        doc, part, sizes = (t[c].to_numpy() for c in ("doc_id", "part", "n"))
-        found, best, partner = set(), np.full(len(doc), -1), np.zeros(len(doc), np.int64)
-        for a, b, bound in list_pairs(part, sizes, t["vector"].to_pylist()):
-            if not best_only:
-                found.update(zip(np.minimum(doc[a], doc[b]).tolist(), np.maximum(doc[a], doc[b]).tolist(), strict=True))
-                continue
-            for x, y in ((a, b), (b, a)):
-                order = np.lexsort((y, bound, x))  # the last of each x has the greatest bound
-                last = order[np.append(np.flatnonzero(np.diff(x[order])), len(order) - 1)] if len(order) else order
-                last = last[bound[last] > best[x[last]]]
-                best[x[last]], partner[x[last]] = bound[last], y[last]
-        if best_only:
-            x = np.flatnonzero(best >= 0)
-            y = partner[x]
-            found.update(zip(np.minimum(doc[x], doc[y]).tolist(), np.maximum(doc[x], doc[y]).tolist(), strict=True))
-        return found
-
-    def out(found: set[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    held, key, found = [], None, set()
+
+def group_pairs(rows: pa.Table, crossing: bool, most: int | None) -> tuple[list[tuple[np.ndarray, np.ndarray]], bool]:
+    """Open pairs (doc_id, doc_id) of one group of a list, and whether these are only the best ones of each member.
+
+    That is so with more than ``most`` open pairs by member; without ``most`` all are given.
+    """
+    doc, part, sizes, block, own = (rows[c].to_numpy() for c in ("doc_id", "part", "n", "block", "own"))
+    best, partner = np.full(len(doc), -1), np.zeros(len(doc), np.int64)
+    found, count, cut = [], 0, False
+    for a, b, bound in list_pairs(part, sizes, rows["vector"].to_pylist()):
+        belongs = own[a] | own[b]
+        if crossing:
+            belongs &= block[a] != block[b]
+        a, b = a[belongs], b[belongs]
+        if most is not None:
+            best_partners(best, partner, a, b, bound[belongs])
+        count += len(a)
+        cut |= most is not None and count > most * len(doc)
+        found = [] if cut else [*found, (a, b)]
+    if cut:
+        a = np.flatnonzero(best >= 0)
+        found = [(a, partner[a])]
+    return [(np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])) for a, b in found], cut
+
+
+def tree_rows(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key, band, i, j -> pairs (a, b), each once a batch, and (key, null) for lists with more open pairs than given."""
+    pairs, unfinished = [], set()
+
+    def out() -> Iterator[pa.RecordBatch]:
+        once = np.unique(np.array([np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*pairs, strict=True)] if pairs else [[], []], np.int64), axis=1)
+        left = np.array(sorted(unfinished), np.int64)
+        pairs.clear()
+        unfinished.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([once[0], left])), pa.array(np.concatenate([once[1], left]), mask=np.arange(once.shape[1] + len(left)) >= once.shape[1])], names=["a", "b"])
+
+    def flush(held: list[pa.RecordBatch]) -> None:
+        rows = pa.Table.from_batches(held)
+        key, _, i, j = (rows[k][0].as_py() for k in range(4))
+        found, cut = group_pairs(rows, i != j, most)
+        pairs.extend(found)
+        if cut:
+            unfinished.add(key)
+
+    held, group = [], None
     for batch in batches:
-        keys = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        keys = np.array([batch.column(k).to_numpy() for k in range(4)], np.int64)
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if a == b:
                 continue
-            if held and key != keys[a]:
-                found |= flush(held)
+            own = tuple(keys[:, a].tolist())
+            if held and group != own:
+                flush(held)
                 held = []
-            key = keys[a]
+            group = own
             held.append(batch.slice(a, b - a))
-        if len(found) > 50_000:
-            yield out(found)
-            found = set()
+        if sum(len(a) for a, _ in pairs) > 50_000:
+            yield from out()
     if held:
-        found |= flush(held)
-    yield out(found)
+        flush(held)
+    yield from out()
 
 
 def concerned(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -392,15 +424,25 @@ def nearly(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(both.mapInArrow(rows, "a long, b long"), "near-pairs")
 
 
-def tree_pairs(listed: DataFrame, nodes: DataFrame, linked: DataFrame, best_only: bool) -> DataFrame:
-    """Distinct pairs of the trees of all lists whose members are in more than one component."""
+def tree_pairs(listed: DataFrame, nodes: DataFrame, linked: DataFrame, most: int | None) -> DataFrame:
+    """Rows of the trees of all lists whose members are in more than one component, as ``tree_rows`` gives them."""
     placed = listed.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", F.col("doc_id")).alias("part"))
-    split = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    split = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("key", "members")
     rows = placed.join(split, "key")
     needed = nodes.select("doc_id", "n", "vector").join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = rows.join(needed, "doc_id").select("key", "doc_id", "part", "n", "vector")
+    rows = rows.join(needed, "doc_id")
+    zero = F.lit(0)
+    small = rows.where(F.col("members") <= CROWD).select("key", zero.alias("band"), zero.alias("i"), zero.alias("j"), "doc_id", "part", "n", zero.alias("block"), F.lit(True).alias("own"), "vector")
+    # A member of a crowded list stands in its own band and, as one of the larger sets, in the one below.
+    band = F.floor(F.log("n") / math.log(BAND)).cast("int")
+    crowded = rows.where(F.col("members") > CROWD).withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band - F.col("step"))
+    sizes = crowded.groupBy("key", "band").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("blocks"))
+    crowded = crowded.join(sizes, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    crowded = crowded.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    crowded = crowded.select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "part", "n", "block", (F.col("step") == 0).alias("own"), "vector")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda b: tree_rows(b, best_only), "a long, b long").distinct()
+    group = ["key", "band", "i", "j"]
+    return small.unionByName(crowded).repartition(n, *group).sortWithinPartitions(*group).mapInArrow(lambda b: tree_rows(b, most), "a long, b long").distinct()
 
 
 def may_link(n: str, m: str) -> Column:
@@ -436,13 +478,18 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     tried = materialize(bounded(tries, nodes), "tries")
     linked = components(verified(tried, docs))
 
-    # Then the trees: first each member's best partner outside its component, then all pairs that are still open.
-    for best_only in (True, False):
-        pairs = materialize(tree_pairs(listed, nodes, linked, best_only).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        links = linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(nearly(pairs, docs), docs))
-        linked, tried = components(links), tried.unionByName(pairs)
+    # Then the trees; a second round sees only lists that had more open pairs than they gave.
+    open_lists = listed.select("key", "doc_id")
+    for most in (OPEN_PAIRS, None):
+        given = materialize(tree_pairs(open_lists, nodes, linked, most), "pairs")
+        pairs = materialize(given.where("b IS NOT NULL").join(tried, ["a", "b"], "left_anti"), "new-pairs")
+        if not pairs.isEmpty():
+            links = linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(nearly(pairs, docs), docs))
+            linked, tried = components(links), tried.unionByName(pairs)
+        unfinished = given.where("b IS NULL").select(F.col("a").alias("key"))
+        if unfinished.isEmpty():
+            break
+        open_lists = open_lists.join(unfinished, "key", "left_semi")
 
     final = groups.distinct().join(linked.withColumnRenamed("node", "same"), "same", "left").select("doc_id", F.coalesce("component", "same").alias("component_id"))
     # A doc_id whose rows hold different sets joins their components.
@@ -454,15 +501,25 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     return sets.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def pair_bounds(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """The bound of each pair of count vectors, worked out together for pairs of the same numbers of groups."""
+    out = np.zeros(len(x), np.int64)
+    bits = np.array([(v[0], w[0]) for v, w in zip(x, y, strict=True)], np.uint8).reshape(-1, 2)
+    for kind in np.unique(bits, axis=0):
+        at = np.flatnonzero((bits == kind).all(axis=1))
+        for some in np.array_split(at, -(-len(at) // 4096)):
+            ends = CountVectors([x[k] for k in some] + [y[k] for k in some])
+            out[some] = ends.bound(np.arange(len(some)), np.arange(len(some)) + len(some))
+    return out
+
+
 def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs whose count vectors allow a link."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                bound = CountVectors([x, y]).bound(np.array([0]), np.array([1]))[0]
-                keep.append(bool((100 + SIMILARITY) * bound >= SIMILARITY * (n + m)))
+            n, m = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            keep = (100 + SIMILARITY) * pair_bounds(batch.column(4).to_pylist(), batch.column(5).to_pylist()) >= SIMILARITY * (n + m)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ends = nodes.select("doc_id", "n", "vector")

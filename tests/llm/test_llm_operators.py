@@ -71,7 +71,11 @@ def test_keep_distinct_keeps_one_of_repeated_rows(spark):
     assert got == sorted([(False, 1, "a b"), (False, 1, "c"), (True, None, "q"), (False, 3, None)])
 
 
-def test_jaccard_join(spark):
+@pytest.mark.parametrize(("crowd", "open_pairs"), [(2048, 4), (3, 0)])
+def test_jaccard_join(spark, monkeypatch, crowd, open_pairs):
+    """Also with lists that are dealt out in blocks and that give their best pairs first."""
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    monkeypatch.setattr(jaccard, "OPEN_PAIRS", open_pairs)
     rows = corpus(3, 120)
     got = {r.doc_id: r for r in jaccard.jaccard_join(table(spark, rows)).collect()}
     sets = {}

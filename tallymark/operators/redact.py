@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import detect
+from . import detect, rulesets
 from ..functions.numbers import ISSUER_PREFIXES, ISSUER_RANGES
 
 
@@ -141,31 +141,42 @@ def surviving_rules(rules: Column, redacted_prompt: Column, tag: Column) -> Colu
     return F.array_sort(F.array_intersect(rules, detect.prompt_rules(without_markers(redacted_prompt), tag)))
 
 
-#: Rulesets by version: which families they hold and whether they read other views. Versions are never edited.
-RULESETS = {
-    "2026.08.1": {"families": ("injection", "secret"), "views": False, "card": "luhn"},
-    "2026.08.3": {"families": ("injection", "secret"), "views": False, "card": "luhn+distinct"},
-    "2026.08.4": {"families": ("injection", "secret"), "views": False, "card": "luhn+iin+distinct"},
-    "2026.08.5": {"families": ("injection", "secret"), "views": True, "card": "luhn+iin+distinct"},
+CHECKS = {
+    "luhn": luhn,
+    "luhn+distinct": lambda d: len(set(d)) > 1 and luhn(d),
+    "luhn+iin+distinct": is_card,
+    "not-all-zero": lambda d: set(d) != {"0"},
 }
-CARD_CHECKS = {"luhn": luhn, "luhn+distinct": lambda d: len(set(d)) > 1 and luhn(d), "luhn+iin+distinct": is_card}
-MATCHES = T.ArrayType(T.StructType([T.StructField("view", T.StringType()), T.StructField("rule", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+MATCHES = T.ArrayType(T.StructType([T.StructField("rule", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-@F.pandas_udf(MATCHES)
-def replayed(text: pd.Series, version: pd.Series) -> pd.Series:
-    """All matches of a text under the ruleset version its row names, with spans; null for an unknown version."""
+class Ruleset:
+    """The compiled patterns and checks of one published version."""
+
+    def __init__(self, version: str):
+        self.injections, self.secrets, self.personal = ({k: compiled(p) for k, p in rulesets.at(t, version).items()} for t in (rulesets.INJECTIONS, rulesets.SECRETS, rulesets.PERSONAL))
+        self.checks = {k: CHECKS[c] for k, c in rulesets.at(rulesets.CHECKS, version).items()}
+        self.views = version >= rulesets.VIEWS_SINCE
+
+    def matches(self, text: str, tag: str | None) -> list[tuple[str, int, int]]:
+        """(rule, start, end) of all that fires under a tag, in places of the text; what two readings show alike is one match."""
+        found = {(rule, a, b) for view, rule, a, b in hits(text, self.injections) if self.views or view == "raw"}
+        found |= {(rule, *m.span()) for rule, p in self.secrets.items() for m in p.finditer(text)}
+        prefix = detect.PERSONAL.get((tag or "").strip().lower().removesuffix("_basic"))
+        if prefix:
+            passes = lambda label, m: label not in self.checks or self.checks[label](re.sub(r"\D", "", m[0]))
+            found |= {(f"{prefix}.{label}", *m.span()) for label, p in self.personal.items() for m in p.finditer(text) if passes(label, m)}
+        return sorted(found, key=lambda m: (m[1], m[0], m[2]))
 
-    def one(t: str | None, v: str) -> list[dict] | None:
-        own = RULESETS.get(v)
-        if own is None or t is None:
-            return None
-        rules = {k: p for k, p in (INJECTIONS | SECRETS).items() if k.split(".")[0] in own["families"]}
-        found = [h for h in hits(t, rules) if h[0] == "raw" or (own["views"] and h[1].startswith("injection."))]
-        found += [("raw", "pii.credit_card", *m.span()) for m in CARD.finditer(t) if CARD_CHECKS[own["card"]](re.sub(r"\D", "", m[0]))]
-        return [dict(zip(("view", "rule", "start", "end"), h, strict=True)) for h in found]
 
-    return pd.Series([one(*x) for x in zip(text, version, strict=True)])
+RULESETS = {v: Ruleset(v) for v in rulesets.VERSIONS}
+
+
+@F.pandas_udf(MATCHES)
+def replayed(text: pd.Series, version: pd.Series, tag: pd.Series) -> pd.Series:
+    """All matches of a text under the ruleset version and the tag that its row names, with spans; null for an unknown version."""
+    rows = zip(text, map(RULESETS.get, version), tag, strict=True)
+    return pd.Series([None if own is None or t is None else [dict(zip(("rule", "start", "end"), m, strict=True)) for m in own.matches(t, g)] for t, own, g in rows])
 
 
 def explained(rows: DataFrame, known: DataFrame, commitment: Column) -> DataFrame:
@@ -179,14 +190,15 @@ def explained(rows: DataFrame, known: DataFrame, commitment: Column) -> DataFram
         .otherwise("explained")
     )
     out = both.withColumn("outcome", outcome)
-    return out.withColumn("matches", F.when(F.col("outcome") == "explained", replayed(F.col("prompt"), F.col("ruleset_version"))))
+    return out.withColumn("matches", F.when(F.col("outcome") == "explained", replayed(F.col("prompt"), F.col("ruleset_version"), F.col("policy_tag"))))
 
 
 def ruleset_digest() -> str:
-    """One digest over all patterns and tables: it moves when any rule does."""
+    """One digest over the latest patterns and tables: it moves when any rule does."""
     import hashlib
 
-    definition = {"pii": [detect.EMAIL, detect.SSN, detect.PHONE, detect.IPV4, detect.CARD], "injections": detect.INJECTIONS, "secrets": detect.SECRETS, "issuers": [sorted(ISSUER_PREFIXES), sorted(ISSUER_RANGES)], "zero_width": sorted(detect.ZERO_WIDTH)}
+    tables = (rulesets.INJECTIONS, rulesets.SECRETS, rulesets.PERSONAL, rulesets.RESPONSES, rulesets.CHECKS)
+    definition = [*map(rulesets.at, tables), sorted(ISSUER_PREFIXES), sorted(ISSUER_RANGES), sorted(detect.ZERO_WIDTH)]
     return hashlib.sha256(json.dumps(definition, sort_keys=True).encode()).hexdigest()
 
 

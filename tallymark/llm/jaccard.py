@@ -33,12 +33,12 @@ from .exact_dedup import tree_merge, with_runs
 
 WIDTH = 5
 SIMILARITY = 75  # per cent
-GROUP_BITS = (7, 15)  # log2 of the fewest and most groups of a count vector: 1 to 2 groups a shingle
+GROUP_BITS = (9, 16)  # log2 of the fewest and most groups of a count vector: 2 to 4 groups a shingle
 COARSE = 64  # groups of the boxes
 LEAF = 32
 CROWD = 2048  # members of a list that one task compares
 BAND = 1.35  # ratio of set sizes of a band; sizes of sets that link differ by less
-OPEN_PAIRS = 4  # open pairs by member up to which a list gives them all at once
+OPEN_PAIRS = 1  # open pairs by member up to which a list gives them all at once
 PACKED_BITS = 22  # of the hashes in packed sets
 SEEN_LISTS = 200_000  # names of lists that a task remembers, so as to write equal ones once
 SET_ROWS = "doc_id long, n int, d1 long, d2 long, commons array<long>, vector binary"
@@ -69,7 +69,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def count_vector(hashes: np.ndarray) -> bytes:
     """Counts by group in bit planes: log2 of the groups, what counts exceed 2 by, the groups counted once or more, twice or more."""
-    bits = min(GROUP_BITS[1], max(GROUP_BITS[0], math.ceil(math.log2(max(len(hashes), 1)))))
+    bits = min(GROUP_BITS[1], max(GROUP_BITS[0], math.ceil(math.log2(max(2 * len(hashes), 1)))))
     counts = np.bincount((hashes >> np.uint64(20) & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
     return struct.pack("<BI", bits, int(np.maximum(counts - 2, 0).sum())) + np.packbits(counts > 0).tobytes() + np.packbits(counts > 1).tobytes()
 

@@ -367,6 +367,31 @@ def test_embedding_links(spark, monkeypatch, block):
     assert got[407].component_id == 406 and got[402].component_id == 402 and not got[407].kept
 
 
+def test_embedding_doubles_labels_and_copies(spark):
+    """Doubles are compared as they are, labels may be of any type, equal vectors count as often as they stand."""
+    close = 0.93 + 3e-10
+    rows = [(1, [1.0, 0.0], "a"), (2, [close, float(np.sqrt(1 - close**2))], "a"), (3, [1e300, 0.0], "b"), (4, [1.0, 0.0], "b"), (5, [1e-300, 0.0], "b"), (6, [1.0, 0.0], None)]
+    rows += [(10 + k, [0.0, 1.0, 1.0], "c") for k in range(5)] + [(10, [0.0, 1.0, 1.0], "c"), (20, [0.0, 1.0, 1.1], "c"), (None, [1.0, 0.0], "a"), (-(2**63), [5.0], "d"), (2**63 - 1, [7.0], "d")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got[1] == got[2] == (1, 1) and got[6] == (0, 6) and got[None] == (0, None)
+    assert {got[k] for k in (3, 4, 5)} == {(2, 3)} and got[2**63 - 1] == (1, -(2**63))
+    assert got[10] == (10, 10) and got[11] == (6, 10) and got[20] == (6, 10)  # the row of 10 stands twice: 5 others each time
+
+
+@pytest.mark.parametrize("share", [0.0, 0.4])
+def test_embedding_recall_in_a_dense_group(spark, share):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(1500, 32))
+    dense = int(share * len(v))
+    v[:dense] = rng.normal(size=32) + rng.normal(size=(dense, 32)) * 0.2
+    v[dense + 1 :: 2] = v[dense:-1:2][: len(v[dense + 1 :: 2])] + rng.normal(size=(len(v[dense + 1 :: 2]), 32)) * 0.25
+    df = spark.createDataFrame([(i, [float(x) for x in r], 0) for i, r in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    want = (u @ u.T >= 0.93).sum() - len(v)
+    found = sum(r.n_links for r in embeddings.near_duplicates(df).collect())
+    assert 0.9 * want <= found <= want and want > 300
+
+
 def test_embedding_recall_on_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.collect()

@@ -62,12 +62,13 @@ def exact_dedup(docs: DataFrame, fan_in: int = 8) -> DataFrame:
     and text are not looked at, whatever their names. An empty table gives an empty result.
     """
     rows = materialize(digest_rows(docs), "digests")
-    best = F.struct("n", (-F.col("doc_id")).alias("neg_id"), (-F.col("row")).alias("neg_row"))
+    # Complements turn the order around and, unlike negatives, exist for every number.
+    best = F.struct("n", F.bitwise_not("doc_id").alias("not_id"), F.bitwise_not("row").alias("not_row"))
     return tree_merge(rows, ["digest", "second"], best, fan_in).select(
         "doc_id",
-        (-F.col("best.neg_id")).alias("keep_id"),
+        F.bitwise_not("best.not_id").alias("keep_id"),
         F.col("size").alias("group_size"),
-        (F.col("row") == -F.col("best.neg_row")).alias("kept"),
+        (F.col("row") == F.bitwise_not("best.not_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 

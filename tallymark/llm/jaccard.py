@@ -459,7 +459,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     common = common_shingles(docs)
     sets = materialize(with_runs(set_rows(docs, common)), "sets")
     named = sets.where("doc_id IS NOT NULL AND n > 0")
-    groups = materialize(tree_merge(named.select("doc_id", "n", "d1", "d2", "row", "run"), ["n", "d1", "d2"], (-F.col("doc_id")).alias("best")).select("doc_id", (-F.col("best")).alias("same")), "equal-sets")
+    groups = materialize(tree_merge(named.select("doc_id", "n", "d1", "d2", "row", "run"), ["n", "d1", "d2"], F.bitwise_not("doc_id").alias("best")).select("doc_id", F.bitwise_not("best").alias("same")), "equal-sets")
     nodes = named.join(groups.where("doc_id = same").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     nodes = materialize(nodes.select("doc_id", "n", "commons", "vector"), "nodes")
 
@@ -472,8 +472,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     # Whose keys the most others share heads its lists: what copies were made of, rather than one of the copies.
     weight = listed.groupBy("doc_id").agg(F.sum("members").alias("weight")).join(nodes.select("doc_id", "n"), "doc_id")
     weighed = listed.join(weight, "doc_id")
-    heads = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("neg_id"), "n")).alias("head"))
-    tries = weighed.select("key", "doc_id", "n").join(heads.select("key", (-F.col("head.neg_id")).alias("head"), F.col("head.n").alias("head_n")), "key")
+    heads = weighed.groupBy("key").agg(F.max(F.struct("weight", F.bitwise_not("doc_id").alias("not_id"), "n")).alias("head"))
+    tries = weighed.select("key", "doc_id", "n").join(heads.select("key", F.bitwise_not("head.not_id").alias("head"), F.col("head.n").alias("head_n")), "key")
     tries = tries.where((F.col("doc_id") != F.col("head")) & may_link("n", "head_n")).select(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")).distinct()
     tried = materialize(bounded(tries, nodes), "tries")
     linked = components(verified(tried, docs))

@@ -30,6 +30,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = r"[A-Za-z0-9+/_=-]+"
 TOKEN_LENGTH = 20
 KINDS = ("assign", "access", "hex", "random")
+SOME_HITS = 512  # hits of a text are gathered in arrays of so many, so that a text with very many does not copy them each time
 
 
 def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -46,11 +47,14 @@ def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Colu
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        hit = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["n"]).alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value"))
-        kept = F.when(F.length(x["v"]) >= least, F.concat(acc["hits"], F.array(hit))).otherwise(acc["hits"])
-        return F.struct((start + F.coalesce(x["n"], F.lit(0))).alias("at"), kept.alias("hits"))
-
-    walked = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(row).alias("hits")), step)["hits"]
+        hit = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["n"]).alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value")))
+        counts, full = F.length(x["v"]) >= least, F.size(acc["some"]) >= SOME_HITS
+        some = F.when(counts, F.when(full, hit).otherwise(F.concat(acc["some"], hit))).otherwise(acc["some"])
+        done = F.when(counts & full, F.concat(acc["done"], F.array(acc["some"]))).otherwise(acc["done"])
+        return F.struct((start + F.coalesce(x["n"], F.lit(0))).alias("at"), some.alias("some"), done.alias("done"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(row).alias("some"), F.array().cast(f"array<{row}>").alias("done"))
+    walked = F.aggregate(steps, start, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["some"]))))
     return F.when(text.rlike(GATES[kind]), walked).otherwise(F.array().cast(row))
 
 

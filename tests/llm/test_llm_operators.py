@@ -52,7 +52,7 @@ def words_of(text):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_exact_dedup(spark, seed):
-    rows = corpus(seed)
+    rows = [*corpus(seed), (-(2**63), "far ids"), (2**63 - 1, "far  ids"), (-(2**63), "low"), (2**63 - 1, "high")]
     got = exact_dedup.exact_dedup(table(spark, rows).repartition(9), fan_in=2).collect()
     assert len(got) == len(rows)
     groups = {}
@@ -244,6 +244,33 @@ def test_secret_scan(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in base) for k in ("assign:", "access:", "hex:"))
     added = {r.doc_id: r.n_random for r in got}
     assert added[9] == 1 and added[10] == 0 and added[2] == 0
+    ratios = model.first().ratios
+    for r in got:
+        assert set(r.spans.split(",")) - set(brute_spans(texts[r.doc_id] or "")) - {""} == set(brute_random(texts[r.doc_id] or "", ratios))
+
+
+def brute_random(text, ratios, least_bits=20.0, bits_per_char=0.5):
+    """Tokens that a random model explains better, by a walk over their characters."""
+    out, n = [], len(secrets.ALPHABET)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        pairs = [secrets.ALPHABET.index(a) * n + secrets.ALPHABET.index(b) for a, b in zip(m[0], m[0][1:], strict=False)]
+        bits = max(sum(x[i] for i in pairs) for x in ratios)
+        if len(m[0]) >= 20 and bits >= least_bits and bits >= bits_per_char * len(m[0]):
+            out.append(f"random:{m.start()}:{m.end()}")
+    return out
+
+
+def test_secret_scan_of_a_very_long_text(spark):
+    """Thousands of hits in one text, with ordinary and random tokens in between."""
+    keys = [base64.b64encode(hashlib.sha256(str(k).encode()).digest()).decode() for k in range(3000)]
+    text = " ".join(f"token={k[:12]} {hashlib.md5(k.encode()).hexdigest()} {k} é and_some_identifiers_of_the_ordinary_kind" for k in keys)
+    docs = table(spark, [(1, text), (2, "AKIAABCDEFGHIJKL " * 5000)])
+    plain = table(spark, [(i, "and_some_identifiers_of_the_ordinary_kind the quick brown fox jumps over it " * 5) for i in range(40)])
+    model = materialize(secrets.train(secrets.random_tokens(docs), secrets.ordinary_tokens(plain)), "model")
+    got = {r.doc_id: r for r in secrets.find_secrets(docs, model).collect()}
+    base = brute_spans(text)
+    assert got[1].base_sha256 == sha(",".join(base)) and (got[1].n_assign, got[1].n_hex, got[2].n_access) == (3000, 3000, 5000)
+    assert set(got[1].spans.split(",")) == set(base) | set(brute_random(text, model.first().ratios))
 
 
 @pytest.mark.parametrize("text", ["PASSWORD=hunter2secret", "PASSWD: Abcdefgh12", "PassWord = 'hunter2secret'", "passWD:abcdefgh", "API_KEY=abcdefgh1", "ApiKey: abcdefgh1", "SECRET\"  = abcdefgh", "my TOKEN=abcdefgh"])

@@ -5,9 +5,9 @@ A text's code length under a tree is exact: at each byte the deepest known conte
 next shorter one (escape method C, without exclusions), down to a uniform byte. The statistics are frozen
 after training. The tree that codes a text in the fewest bits names its language.
 
-Trees of all languages share one index of contexts, so one walk over the bytes looks up the costs of a byte under
-every language at once. Training may take a bounded sample: ``docs_per_lang`` whole documents of each language,
-chosen by a hash of doc_id.
+Trees of up to ``LANGS_A_TABLE`` languages share one index of contexts, so one walk over the bytes looks up the costs of a byte
+under all of them at once; more languages have more such tables. Training may take a bounded sample: ``docs_per_lang`` whole
+documents of each language and about ``sample_docs`` in all, chosen by a hash of doc_id, which bounds the tables.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from .common import text_slices
 ORDER = 3
 PAD = 10  # stands before a text's first byte
 UNDETERMINED = "und"
-#: Language labels that one model can hold: with them the size of the broadcast trees is bounded.
-MOST_LANGS = 256
+LANGS_A_TABLE = 64
+STEP_CELLS = 1 << 20  # bytes times languages that are looked up at once, however long a text is
 RESULT = "doc_id long, lang_pred string, score double, bits_per_byte double"
 
 
@@ -136,38 +136,65 @@ class Trees:
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length in bits of each text (rows) under each language (columns)."""
-        c1, c2, c3 = contexts(data, offsets)
+        before = contexts(data, offsets)
+        out = np.zeros((len(offsets) - 1, len(self.langs)))
+        step = max(1, STEP_CELLS // max(1, len(self.langs)))
+        for a in range(0, len(data), step):
+            b = min(a + step, len(data))
+            costs = self._costs(data[a:b], [c[a:b] for c in before])
+            first, last = np.searchsorted(offsets, a, side="right") - 1, np.searchsorted(offsets, b)
+            texts = np.arange(first, last)[np.diff(np.clip(offsets[first : last + 1], a, b)) > 0]
+            out[texts] += np.add.reduceat(costs, np.maximum(offsets[texts] - a, 0), axis=0)
+        return out
+
+    def _costs(self, data: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
+        """Bits of each byte after the bytes before it."""
+        c1, c2, c3 = before
         node = self.node[self.pair[c1.astype(np.int32) | c2.astype(np.int32) << 8] * 256 + c3]
         row = self.row[node * 256 + data]
         costs = self.fast[np.maximum(row, 0)] if len(self.fast) else np.zeros((len(data), len(self.langs)))
         rare = np.flatnonzero(row < 0)
         if len(rare):
             g = data[rare].astype(np.uint64)
-            for k, c in enumerate((c1, c2, c3), 1):
+            for k, c in enumerate(before, 1):
                 g |= c[rare].astype(np.uint64) << np.uint64(8 * k)
             once, at = np.unique(g, return_inverse=True)
             costs[rare] = self._of(once, ORDER)[at]
-        sums = np.zeros((len(data) + 1, len(self.langs)))
-        np.cumsum(costs, axis=0, out=sums[1:])
-        return sums[offsets[1:]] - sums[offsets[:-1]]
+        return costs
+
+
+class Forest:
+    """The trees of all languages, in tables of LANGS_A_TABLE languages each."""
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.langs = sorted(counts)
+        self.tables = [Trees({x: counts[x] for x in self.langs[k : k + LANGS_A_TABLE]}) for k in range(0, len(self.langs), LANGS_A_TABLE)]
+
+    def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return np.concatenate([t.bits(data, offsets) for t in self.tables], axis=1)
 
 
-def train(labelled: DataFrame, docs_per_lang: int = 400) -> Trees:
-    """Trees from (doc_id, text, lang) rows with a text and a lang.
+def train(labelled: DataFrame, docs_per_lang: int = 400, sample_docs: int = 100_000) -> Forest:
+    """Trees from (doc_id, text, lang) rows with a text and a lang; every language is learned.
 
-    The sample holds about ``docs_per_lang`` documents of each language, whole texts, or all where there are fewer.
-    Grams are counted on the executors; the driver gets one row for each distinct gram of that sample.
+    The sample holds about ``docs_per_lang`` documents of each language, whole texts, or all where there are fewer; with so many
+    languages that these would be more than ``sample_docs``, as many fewer of each. Grams are counted on the executors; the
+    driver gets one row for each distinct gram of that sample.
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
-    if not sizes:
-        return Trees({})
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, docs_per_lang / n))])
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = sizes.count()
+    if not langs:
+        return Forest({})
+    each = min(docs_per_lang, sample_docs / langs)
     draw = (F.xxhash64("doc_id", F.lit("lang-sample")) / F.lit(2.0**64)) + 0.5
-    sample = rows.where(draw < F.element_at(share, F.col("lang"))).select("lang", "text")
-    counted = sample.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    lang, gram, n = np.array(counted["lang"].to_pylist(), dtype=object), counted["gram"].to_numpy().astype(np.uint64), counted["n"].to_numpy()
-    return Trees({x: (gram[lang == x], n[lang == x]) for x in set(lang.tolist())})
+    known = F.broadcast(sizes) if langs <= 10_000 else sizes  # a row a language, counted above
+    sample = rows.join(known, "lang").where(draw < F.lit(float(each)) / F.col("n")).select("lang", "text")
+    counted = sample.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "gram").toArrow()
+    gram, n = counted["gram"].to_numpy().astype(np.uint64), counted["n"].to_numpy()
+    lang = counted["lang"].combine_chunks().dictionary_encode()
+    codes = lang.indices.to_numpy()
+    return Forest({x: (gram[a:b], n[a:b]) for k, x in enumerate(lang.dictionary.to_pylist()) for a, b in [np.searchsorted(codes, [k, k + 1])]})
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -180,7 +207,7 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, trees: Trees) -> DataFrame:
+def identify(docs: DataFrame, trees: Forest) -> DataFrame:
     """Per row: doc_id, lang_pred, score, bits_per_byte (of the winner); whole texts, nothing but the text is looked at.
 
     lang_pred is a trained language, the first by name on a tie, or ``und`` if the text is null or has no letter, or if

@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, powers, range_hashes
+from .common import materialize, mix, powers, range_hashes, text_slices
 
-#: Lines with fewer characters are only compared for equality: one edit can change all that they say.
-LEAST_CHARS = 16
+#: Where no other least length is asked for: in shorter lines one edit changes a good part of what they say.
+LEAST_CHARS = 8
 SEGMENTS = 16
+BODY_BYTES = 1 << 18  # of line text that is cut into segments at once; a longer line alone
 BLANKS = " \t\n\x0b\x0c\r"
 LINES = "doc_id long, line int, chars int, h1 long, h2 long, halves array<long>"
 VARIANTS = "h1 long, h2 long, v1 long, v2 long, place int"
@@ -55,7 +56,7 @@ def half_hashes(body: str) -> list[int]:
     return out
 
 
-def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def line_rows(batches: Iterator[pa.RecordBatch], least_chars: int) -> Iterator[pa.RecordBatch]:
     types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
     names = [f.split()[0] for f in LINES.split(", ")]
 
@@ -68,7 +69,7 @@ def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc_id = doc_id.as_py()
             for k, line in enumerate(lines_of(text.as_py())):
                 if body := line.strip(BLANKS):
-                    rows.append((doc_id, k, len(body), *digest(body), half_hashes(body) if len(body) >= LEAST_CHARS else []))
+                    rows.append((doc_id, k, len(body), *digest(body), half_hashes(body) if len(body) >= least_chars else []))
             if len(rows) > 20_000:
                 yield out(rows)
                 rows = []
@@ -94,8 +95,8 @@ def segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     The segment's number is its place plus SEGMENTS for the second length.
     """
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for at, stop, _, _ in text_slices(batch.column(2), BODY_BYTES):
+            part = batch.slice(at, stop - at)
             bodies = part.column(2).to_pylist()
             codes = np.frombuffer("".join(bodies).encode("utf-32-le", "surrogatepass"), np.uint32)
             size = np.array([len(b) for b in bodies])
@@ -168,15 +169,15 @@ def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[f.split()[0] for f in RESULT.split(", ")])
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, line) of the lines that an earlier line equals or is within one edit of. ``docs`` has no null doc_id or text."""
-    every = materialize(docs.mapInArrow(line_rows, LINES), "lines")
+    every = materialize(docs.mapInArrow(lambda b: line_rows(b, least_chars), LINES), "lines")
     key = ["h1", "h2"]
     firsts = every.groupBy(*key).agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("copies"), F.max("chars").alias("chars"), F.max("halves").alias("halves"))
     firsts = materialize(firsts, "first-lines")
     copies = every.join(firsts.where("copies > 1").select(*key, "first"), key).where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line")
 
-    halves = firsts.where(F.col("chars") >= LEAST_CHARS).select(*key, "first", F.explode("halves").alias("half"))
+    halves = firsts.where(F.col("chars") >= least_chars).select(*key, "first", F.explode("halves").alias("half"))
     # A line's own two lengths never give one half twice, so a half that counts twice belongs to two lines.
     shared = materialize(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "halves")
     near = halves.join(shared, "half", "left_semi").select(*key, "first").distinct()
@@ -207,15 +208,15 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return copies.unionByName(close).distinct()
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """Per row: doc_id, n_lines, n_removed, kept_sha256 (of the kept lines joined by line feeds).
 
     Lines are separated by line feeds; blank lines stay. A line goes if an earlier one (smaller doc_id, or earlier in its document)
-    is equal, white space at the ends aside, or, for lines of ``LEAST_CHARS`` characters or more, within one edit of it; whether
+    is equal, white space at the ends aside, or within one edit of it, both of ``least_chars`` characters or more (1: all lines); whether
     that one stays itself does not matter. Null and empty texts have no lines. Rows that repeat a doc_id and text are one
     document with equal results; a row without doc_id takes no part and keeps all. Whole texts; columns other than doc_id and
     text are not read. An empty table gives an empty result.
     """
     rows = docs.select("doc_id", "text")
-    gone = repeated_lines(rows.where("doc_id IS NOT NULL AND text IS NOT NULL")).groupBy("doc_id").agg(F.collect_list("line").alias("gone"))
+    gone = repeated_lines(rows.where("doc_id IS NOT NULL AND text IS NOT NULL"), least_chars).groupBy("doc_id").agg(F.collect_list("line").alias("gone"))
     return rows.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(kept_rows, RESULT)

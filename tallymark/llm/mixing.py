@@ -26,8 +26,7 @@ BUCKETS = WORD_BUCKETS + (1 << 12)  # the rest are for the marks in words
 LEAST_DOCS = 5  # documents of the domain that have it, or would if it were like the rest
 LEAST_Z = 5.0  # standard errors by which a feature's share must differ between a domain and the rest
 LEAST_PHI = 0.25  # and the correlation of feature and domain
-#: Domains that a model can hold; with BUCKETS it bounds the broadcast table.
-MOST_DOMAINS = 64
+STEP_CELLS = 1 << 22  # buckets times domains that training looks at together
 POSTERIORS = "doc_id long, tokens long, posterior array<double>"
 
 
@@ -37,8 +36,8 @@ class Mixture:
 
     domains: list[str]
     prior: np.ndarray
-    words: np.ndarray  # of each bucket by domain: log odds of its presence, 0 for those that do not count
-    counts: np.ndarray  # which buckets count
+    buckets: np.ndarray  # those that count, sorted
+    words: np.ndarray  # of each of these by domain: log odds of its presence
     steps: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     target: np.ndarray = field(default_factory=lambda: np.zeros(0))
     reached: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -49,10 +48,12 @@ class Mixture:
         n = len(tokens)
         if not self.domains:
             return tokens, np.zeros((n, 0))
-        told = self.counts[bucket]
-        pairs = np.unique(doc[told] * BUCKETS + bucket[told])
         odds = np.tile(self.prior, (n, 1))
-        np.add.at(odds, pairs // BUCKETS, self.words[pairs % BUCKETS])
+        if len(self.buckets):
+            place = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
+            told = self.buckets[place] == bucket
+            pairs = np.unique(doc[told] * len(self.buckets) + place[told])
+            np.add.at(odds, pairs // len(self.buckets), self.words[pairs % len(self.buckets)])
         odds = np.exp(odds - odds.max(axis=1, keepdims=True))
         return tokens, odds / odds.sum(axis=1, keepdims=True)
 
@@ -107,25 +108,29 @@ def learn(docs: DataFrame, labelled: DataFrame, sample_docs: int = 20_000) -> Mi
                 keys, n = np.unique(np.concatenate([place[present // BUCKETS] * (BUCKETS + 1) + present % BUCKETS, place * (BUCKETS + 1) + BUCKETS]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()).take(pa.array(keys // (BUCKETS + 1))), pa.array(keys % (BUCKETS + 1)), pa.array(n.astype(np.int64))], names=["domain", "bucket", "n"])
 
-    counted = sample.mapInArrow(count, "domain string, bucket long, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    domains = sorted(set(counted["domain"].to_pylist()))
-    if len(domains) > MOST_DOMAINS:
-        raise ValueError(f"{len(domains)} domains; a model holds {MOST_DOMAINS}")
-    table = np.zeros((BUCKETS + 1, len(domains)))
-    index = {d: k for k, d in enumerate(domains)}
-    table[counted["bucket"].to_numpy(), [index[d] for d in counted["domain"].to_pylist()]] = counted["n"].to_numpy()
-    each, present = table[-1], table[:-1]  # documents, and those with the feature, by domain
-    rest, others = each.sum() - each, present.sum(axis=1, keepdims=True) - present
-    pooled = present.sum(axis=1, keepdims=True) / max(each.sum(), 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        z = (present / each - others / rest) / np.sqrt(pooled * (1 - pooled) * (1 / each + 1 / rest))
-    z = np.abs(np.nan_to_num(z, posinf=0, neginf=0))
-    told = (z >= max(LEAST_Z, LEAST_PHI * np.sqrt(each.sum()))) & (np.maximum(present, pooled * each) >= LEAST_DOCS)
-    counts = told.any(axis=1) if len(domains) else np.zeros(BUCKETS, bool)
-    share = np.clip((present + 2 * pooled) / (each + 2), 1e-6, 1 - 1e-6)
-    words = np.where(counts[:, None], np.log(share) - np.log1p(-share), 0)
-    prior = np.log((each + 1) / (each + 1).sum()) + np.log1p(-share[counts]).sum(axis=0)
-    return Mixture(domains, prior, words, counts)
+    counted = sample.mapInArrow(count, "domain string, bucket long, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).orderBy("bucket", "domain").toArrow()
+    bucket, n = counted["bucket"].to_numpy(), counted["n"].to_numpy().astype(float)
+    codes = counted["domain"].combine_chunks().dictionary_encode() if len(bucket) else pa.array([], pa.string()).dictionary_encode()
+    domains = sorted(codes.dictionary.to_pylist())
+    domain = np.searchsorted(np.array(domains, dtype=object), np.array(codes.dictionary.to_pylist(), dtype=object))[codes.indices.to_numpy()] if domains else np.zeros(0, np.int64)
+    each = np.bincount(domain[bucket == BUCKETS], n[bucket == BUCKETS], len(domains))  # documents by domain
+    rest, prior = each.sum() - each, np.log((each + 1) / (each + 1).sum())
+    kept, words = [], [np.zeros((0, len(domains)))]
+    step = max(1, STEP_CELLS // max(1, len(domains)))
+    for low in range(0, BUCKETS if domains else 0, step):
+        a, b = np.searchsorted(bucket, [low, min(low + step, BUCKETS)])
+        present = np.zeros((min(step, BUCKETS - low), len(domains)))  # documents with the feature, by domain
+        present[bucket[a:b] - low, domain[a:b]] = n[a:b]
+        others, pooled = present.sum(axis=1, keepdims=True) - present, present.sum(axis=1, keepdims=True) / max(each.sum(), 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            z = (present / each - others / rest) / np.sqrt(pooled * (1 - pooled) * (1 / each + 1 / rest))
+        z = np.abs(np.nan_to_num(z, posinf=0, neginf=0))
+        told = ((z >= max(LEAST_Z, LEAST_PHI * np.sqrt(each.sum()))) & (np.maximum(present, pooled * each) >= LEAST_DOCS)).any(axis=1)
+        share = np.clip((present[told] + 2 * pooled[told]) / (each + 2), 1e-6, 1 - 1e-6)
+        kept.append(np.flatnonzero(told) + low)
+        words.append(np.log(share) - np.log1p(-share))
+        prior = prior + np.log1p(-share).sum(axis=0)
+    return Mixture(domains, prior, np.concatenate([np.zeros(0, np.int64), *kept]), np.concatenate(words))
 
 
 def classify(docs: DataFrame, model: Mixture) -> DataFrame:
@@ -179,7 +184,7 @@ def fit(shares: DataFrame, model: Mixture, weights: dict[str, float], anchor: st
         before, reached = reached, np.array([x or 0.0 for x in row])
         if np.abs(reached - before).max() < 0.1 * tolerance * total:
             break  # the rest cannot be reached by nonnegative rates
-    return Mixture(model.domains, model.prior, model.words, model.counts, np.array(steps).reshape(-1, n), target, reached)
+    return Mixture(model.domains, model.prior, model.buckets, model.words, np.array(steps).reshape(-1, n), target, reached)
 
 
 def copies_of(rate: np.ndarray, doc_id: pa.Array) -> np.ndarray:

@@ -182,8 +182,19 @@ def codec(path: str) -> MergeCodec:
 
 
 def encode_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    own = codec(path)
+    """The codec's rows; its tables are empty and the collector is as before when the task ends, however it ends."""
+    own, collects = codec(path), gc.isenabled()
     gc.disable()  # millions of live tuples and lists without cycles: reference counts free all of them
+    try:
+        yield from encoded_batches(batches, own)
+    finally:
+        own.cache.clear()  # the process may serve other stages next
+        own.inner.clear()
+        if collects:
+            gc.enable()
+
+
+def encoded_batches(batches: Iterator[pa.RecordBatch], own: MergeCodec) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc_id, texts = batch.column(0), batch.column(1)
         for start, end, _, _ in text_slices(texts):
@@ -203,8 +214,6 @@ def encode_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
                 ],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
-    own.cache.clear()  # the process may serve other stages next
-    own.inner.clear()
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:

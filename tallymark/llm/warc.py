@@ -17,15 +17,17 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_slices
 
 MANIFEST = "file string, records long, file_bytes long, sha256 string, first_id long, last_id long"
 RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+MOST_SHARDS = 100_000  # bounds of shards that are broadcast
 DATE = "1970-01-01T00:00:00Z"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -105,7 +107,7 @@ def write_shards(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: int
     shard = part = -1
     last, owner = None, None  # page_id and digest of the latest row; the page that holds its payload
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (r for a, b, _, _ in text_slices(batch["html"]) for r in batch.slice(a, b - a).to_pylist()):
             if row["shard"] != shard:
                 if current:
                     yield current.close()
@@ -129,7 +131,7 @@ def write_shards(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: int
         yield current.close()
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes: int = 64 << 20, roll_bytes: int = 16 << 20, level: int = 6) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes: int = 16 << 20, roll_bytes: int = 16 << 20, level: int = 6) -> DataFrame:
     """Write (page_id, url, html) as WARC files into ``folder`` and return the manifest, one row per file.
 
     A null html is an empty payload. Of equal payloads of ``least_bytes`` or more the smallest page_id's is the
@@ -137,20 +139,10 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, shard_by
     unless a page with an id holds the same payload. No page gives no file. Other columns are not written.
     The payloads are shuffled once, to their shards; digests and notes are small.
     """
-    spark = pages.sparkSession
     payload = F.coalesce("html", F.lit(""))
     keyed = pages.select("page_id", "url", "html", F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
     index = materialize(keyed.select("page_id", "digest", "size"), "warc-index")
-    lo, hi, total = index.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
-    lo, hi = lo or 0, hi or 0
-    bins = max(16, 8 * -(-(total or 0) // shard_bytes))
-    bin_of = F.coalesce(F.floor((F.col("page_id") - lo) / F.lit((hi - lo + 1) / bins)), F.lit(0)).cast("long")
-    # As many rows as a few times the shards: the sizes of equal ranges of ids, joined into shards in order.
-    filled, shards = 0, []
-    for row in index.groupBy(bin_of.alias("bin")).agg(F.sum("size").alias("size")).orderBy("bin").collect():
-        shards.append((row["bin"], filled // shard_bytes))
-        filled += row["size"]
-    plan = spark.createDataFrame(shards, "bin long, shard long")
+    bounds = shard_bounds(index, shard_bytes)
     owners = index.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     notes = (
         index.join(owners, ["digest", "size"])
@@ -159,14 +151,55 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, shard_by
         .distinct()
     )
     rows = notes.withColumn("note", F.lit(True)).unionByName(keyed.select("page_id", "url", "html", "digest").withColumn("note", F.lit(False)), allowMissingColumns=True)
-    rows = rows.withColumn("bin", bin_of).join(plan, "bin").select("shard", "page_id", "digest", F.col("note"), "refers_to", "url", "html", F.lit(least_bytes).alias("least"))
-    n = int(filled // shard_bytes) + 1
-    sorted_rows = rows.repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "digest", F.desc("note"), "url")
+    rows = with_shard(rows.select(F.lit(0).alias("shard"), "page_id", "digest", "note", "refers_to", "url", "html", F.lit(least_bytes).alias("least")), bounds)
+    sorted_rows = rows.repartitionById(len(bounds), F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", F.desc("note"), "url")
     store, path = file_system(folder)
     store.create_dir(path, recursive=True)
     return materialize(sorted_rows.mapInArrow(lambda b: write_shards(b, folder, roll_bytes, level), MANIFEST), "warc-manifest")
 
 
+def sort_keys(page_ids: pa.Array, digests: pa.Array) -> np.ndarray:
+    """Bytes that order as (page_id, digest) does, null ids first."""
+    known = page_ids.is_valid().to_numpy(zero_copy_only=False)
+    ids = page_ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    heads = np.zeros((len(ids), 9), np.uint8)
+    heads[:, 0] = known
+    heads[:, 1:] = np.where(known, ids, 0).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return np.concatenate([heads, np.frombuffer(b"".join(digests.to_pylist()), np.uint8).reshape(-1, 20)], axis=1).copy().view("S29").ravel()
+
+
+def shard_bounds(index: DataFrame, shard_bytes: int) -> np.ndarray:
+    """The sort key at which each shard begins: where the running total of bytes, over all pages in order, passes a multiple.
+
+    The total is summed by ranges of pages side by side and then over the ranges, one row each, so the bounds depend on the
+    pages alone, however ids are spread. There is one bound a shard, ``MOST_SHARDS`` at most: beyond, shards are larger.
+    """
+    total = index.agg(F.sum("size")).first()[0] or 0
+    width = max(shard_bytes, -(-total // MOST_SHARDS), 1)
+    order = ["page_id", "digest"]
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(index.groupBy(*order).agg(F.sum("size").alias("size")).repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "warc-ranges")
+    before = ranged.groupBy("range").agg(F.sum("size").alias("bytes")).withColumn("bytes", F.sum("bytes").over(Window.orderBy("range")) - F.col("bytes"))
+    running = F.sum("size").over(Window.partitionBy("range").orderBy(*order)) - F.col("size") + F.col("bytes")
+    placed = ranged.join(before, "range").withColumn("shard", F.floor(running / F.lit(width)))
+    first = F.min(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "digest")).alias("first")
+    rows = placed.groupBy("shard").agg(first).select("first.page_id", "first.digest").toArrow()
+    bounds = np.sort(sort_keys(rows["page_id"].combine_chunks(), rows["digest"].combine_chunks())) if rows.num_rows else np.zeros(0, "S29")
+    return np.concatenate([np.zeros(1, "S29"), bounds[1:]])  # whatever comes before the second bound is in the first shard
+
+
+def with_shard(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """Rows (shard, page_id, digest, ..) with the number of the shard that their page belongs to."""
+    shared = rows.sparkSession.sparkContext.broadcast(bounds)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = np.searchsorted(shared.value, sort_keys(batch.column(1), batch.column(2)), side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), *batch.columns[1:]], names=batch.schema.names)
+
+    return rows.mapInArrow(place, rows.schema)
+
+
 def parse_records(data: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of each member of a gzip stream."""
     unpack, plain = zlib.decompressobj(31), []

@@ -190,10 +190,10 @@ def within_one_edit(a, b):
     return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_line_dedup(spark, seed):
+@pytest.mark.parametrize(("seed", "least"), [(1, lines.LEAST_CHARS), (2, 16), (3, 1)])
+def test_line_dedup(spark, seed, least):
     rng = random.Random(seed)
-    base = ["".join(rng.choice("ab cé") for _ in range(rng.choice([5, 16, 17, 30, 300]))) for _ in range(20)]
+    base = ["".join(rng.choice("ab cé") for _ in range(rng.choice([5, 7, 8, 9, 15, 16, 17, 30, 300]))) for _ in range(20)]
 
     def edited(s):
         s = list(s)
@@ -203,13 +203,13 @@ def test_line_dedup(spark, seed):
         return "".join(s)
 
     rows = [(i, "\n".join(edited(rng.choice(base)) for _ in range(rng.randrange(1, 10)))) for i in range(80)] + [(900, None), (901, ""), (902, "\n \n"), (None, base[0])]
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in lines.dedup_lines(table(spark, [*rows, rows[3]])).collect()}
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in lines.dedup_lines(table(spark, [*rows, rows[3]]), least).collect()}
     seen, expected = [], {}
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         kept, own = [], (t.split("\n") if t else [])
         for line in own:
             body = line.strip(lines.BLANKS)
-            if not body or not any(body == s or (min(len(body), len(s)) >= 16 and within_one_edit(body, s)) for s in seen):
+            if not body or not any(body == s or (min(len(body), len(s)) >= least and within_one_edit(body, s)) for s in seen):
                 kept.append(line)
             if body:
                 seen.append(body)
@@ -434,6 +434,72 @@ def test_embedding_recall_on_whole_table(spark):
     assert sum(got.values()) >= 0.9 * total
 
 
+def test_language_tables_hold_any_number_of_languages(spark, monkeypatch):
+    """More languages than a table holds, and texts longer than a step: the same code lengths as in one table at once."""
+    rng = random.Random(9)
+    own = {f"l{k:02}": [rng.choice("abcdefghé ") for _ in range(6)] for k in range(70)}
+    rows = [(i, "".join(rng.choice(own[x]) for _ in range(120)), x) for i, x in enumerate(sorted(own) * 3)]
+    forest = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert forest.langs == sorted(own) and len(forest.tables) == 2
+    data = np.frombuffer("".join(t for _, t, _ in rows[:40]).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for _, t, _ in rows[:20]), 0, *(len(t.encode()) for _, t, _ in rows[20:40])])
+    whole = forest.bits(data, offsets)
+    monkeypatch.setattr(language, "STEP_CELLS", 64 * 37)
+    assert np.allclose(forest.bits(data, offsets), whole) and whole.shape == (41, 70) and not whole[20].any()
+
+
+def test_rates_against_brute_force(spark):
+    """Posteriors by plain counting and rates by plain projected gradient, for more domains than former models held."""
+    rng = random.Random(12)
+    names = [f"d{k:03}" for k in range(70)]
+    words = {d: [f"{d}w{j}" for j in range(3)] + ["both", "all", "every"] for d in names}
+    docs = [(i, " ".join(rng.choice(words[d]) for _ in range(rng.choice([5, 12, 30])))) for i, d in enumerate(names * 14)]
+    labels = [(i, names[i % 70]) for i in range(0, len(docs))]
+    weights = {d: 1.0 + (k % 5) for k, d in enumerate(names)}
+    got = {r.doc_id: r for r in mixing.mix_rates(table(spark, docs), spark.createDataFrame(labels, "doc_id long, domain string"), weights).collect()}
+    model = mixing.learn(table(spark, docs), spark.createDataFrame(labels, "doc_id long, domain string"))
+    assert model.domains == names
+    bucket = lambda w: int(mixing.features(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[1][0])
+    sets = [{bucket(w) for w in set(t.split())} for _, t in docs]
+    share = {b: np.array([sum(b in sets[i] for i in range(k, len(docs), 70)) for k in range(70)]) for b in set().union(*sets)}
+    assert set(model.buckets.tolist()) <= set(share) and len(model.buckets) >= 200  # less what shares a bucket
+    odds = {}
+    for b in model.buckets.tolist():
+        pooled = share[b].sum() / len(docs)
+        p = np.clip((share[b] + 2 * pooled) / (14 + 2), 1e-6, 1 - 1e-6)
+        odds[b] = np.log(p), np.log(1 - p)
+    posterior = np.array([sum(odds[b][0] if b in s else odds[b][1] for b in odds) for s in sets])
+    posterior = np.exp(posterior - posterior.max(axis=1, keepdims=True))
+    posterior /= posterior.sum(axis=1, keepdims=True)
+    tokens = np.array([len(t.split()) for _, t in docs], float)
+    have = posterior.T @ tokens
+    target = np.array([weights[d] for d in names])
+    target *= tokens.sum() / target.sum()
+    rate = np.ones(len(docs))
+    for _ in range(4000):
+        rate = np.maximum(rate - 0.5 * posterior @ ((posterior.T @ (rate * tokens) - target) / have), 0)
+    mine = np.array([got[i].rate for i, _ in docs])
+    assert [got[i].domain for i, _ in docs] == [names[k] for k in posterior.argmax(axis=1)]
+    assert np.allclose(posterior.T @ (rate * tokens), target, rtol=1e-2) and np.allclose(posterior.T @ (mine * tokens), target, rtol=1e-2)
+    assert (mine >= 0).all() and np.corrcoef(mine, rate)[0, 1] > 0.99
+
+
+def test_warc_shards_are_even_whatever_the_ids(spark, tmp_path):
+    """Far apart, least, greatest and missing ids: shards of about equal bytes, in the order of the ids."""
+    rows = [(i, f"u{i}", "x" * 500 + str(i)) for i in range(2000)] + [(10**15, "far", "y"), (-(2**63), "least", "z"), (2**63 - 1, "most", "w")] + [(None, f"n{i}", f"no id {i}" * 20) for i in range(500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    folder = str(tmp_path / "even")
+    manifest = warc.write_archives(pages, folder, shard_bytes=50_000)
+    shards = {}
+    for m in manifest.collect():
+        shards.setdefault(m.file.split("-")[1], []).append(m.records)
+    assert 20 <= len(shards) <= 40 and max(map(sum, shards.values())) <= 400
+    ordered = [m.last_id for m in sorted(manifest.collect(), key=lambda m: m.file) if m.first_id is not None]
+    assert ordered == sorted(ordered) and ordered[-1] == 2**63 - 1
+    got = warc.read_archives(manifest, folder).collect()
+    assert sorted((r.page_id or 0, r.url, bytes(r.payload).decode()) for r in got) == sorted((i or 0, u, h) for i, u, h in rows)
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(5, "http://a/", "<p>é</p>"), (3, "http://b/", "<p>é</p>"), (9, None, None), (2, "u\r\nX: y", ""), (7, "http://c/", "x" * 300_000), (7, "http://c/", "x" * 300_000), (None, "n", "<p>é</p>"), (11, "http://d/", "solo"), (12, "e", "a\r\n\r\nb\x00")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("note", F.lit(True)).repartition(3)

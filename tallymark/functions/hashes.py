@@ -61,6 +61,19 @@ def utc_iso(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
+def pads(key: str) -> tuple[str, str]:
+    """The two blocks, as hexadecimal digits, that a key is folded into."""
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in raw).hex(), bytes(b ^ 0x5C for b in raw).hex()
+
+
+def keyed_digest(text: Column, key: str) -> Column:
+    """HMAC-SHA256 of a text under one key, natively; null of null."""
+    inner, outer = (F.unhex(F.lit(p)) for p in pads(key))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text.cast("binary")), 256))), 256)
+
+
 def document_id(org: Column, first_day: Column, last_day: Column, root: Column) -> Column:
     """A stable id of a report: the same tenant, period and chain root give the same id."""
     return F.concat(F.lit("FA-"), F.upper(F.substring(F.sha2(F.concat_ws("|", org, first_day, last_day, root), 256), 1, 12)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import day_spine, iso_week, month_text, utc_day
+from ..functions.dates import day_spine, iso_week, month_text, utc_day, within
 from ..functions.numbers import delta_percent, rate
 from .predicates import graded_by, has_decision, is_breach, is_graded_breach, is_unknown, risk, risk_band
 
@@ -193,3 +195,46 @@ def heads(ledger: DataFrame) -> DataFrame:
 def chain_coverage(actions: DataFrame) -> DataFrame:
     """Chained and older rows in one pass."""
     return actions.agg(filtered("chained", F.col("seq").isNotNull()), filtered("unchained", F.col("seq").isNull()), F.max("seq").alias("head_seq"))
+
+
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One-row results as one row."""
+    return reduce(DataFrame.crossJoin, rows)
+
+
+def platform_totals(orgs: DataFrame, users: DataFrame, staff: DataFrame, rollup: DataFrame, leads: DataFrame, statuses: tuple[str, ...] = ("new", "trial", "converted", "churned")) -> DataFrame:
+    """One row: live, active and suspended tenants, people, what the rollup adds up to, and leads by status. The ledger is not read."""
+    live = F.col("deleted_at").isNull()
+    tenants = orgs.agg(filtered("total_orgs", live), filtered("active_orgs", live & (F.col("subscription_status") == "active")), filtered("suspended_orgs", F.coalesce("suspended", F.lit(False))))
+    logs = rollup.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("logs_count", "total_logs"), ("breach_count", "total_breaches"))])
+    return side_by_side(tenants, users.agg(F.count("*").alias("total_users")), staff.agg(F.count("*").alias("total_staff")), logs, leads.agg(*[filtered(f"leads_{x}", F.col("status") == x) for x in statuses]))
+
+
+def site_totals(traffic: DataFrame, now: Column, sites: tuple[str, ...], days: int = 7) -> DataFrame:
+    """Hits of each site and errors of any, in the last ``days`` times 24 hours."""
+    recent = traffic.where(within("created_at", now, days))
+    return recent.agg(*[filtered(x, F.col("site") == x) for x in sites], filtered("errors", F.col("status_code") >= 400))
+
+
+def revenue_summary(invoices: DataFrame, orgs: DataFrame, now: Column) -> DataFrame:
+    """One row: paid cents of the last 30 days, and live tenants whose trial still runs."""
+    paid = invoices.where((F.col("status") == "paid") & within("created_at", now, 30)).agg(F.coalesce(F.sum("amount_cents"), F.lit(0)).alias("revenue_30d_cents"))
+    return side_by_side(paid, orgs.where(F.col("deleted_at").isNull()).agg(filtered("trialing", F.coalesce(F.col("trial_ends_at") > now, F.lit(False)))))
+
+
+def subscription_mix(orgs: DataFrame) -> DataFrame:
+    """Live tenants by subscription status."""
+    return orgs.where(F.col("deleted_at").isNull()).groupBy(F.coalesce("subscription_status", F.lit("none")).alias("status")).agg(F.count("*").alias("n"))
+
+
+def health_trend(rollup: DataFrame, anchors: DataFrame, first: str, last: str) -> DataFrame:
+    """Grading sums and anchors of each day of the period, 0 where there is none."""
+    grading = rollup.groupBy("day").agg(*[F.sum(f"{x}_count").alias(x) for x in ("graded", "failed", "pending")])
+    anchored = anchors.groupBy(utc_day("anchored_at").alias("day")).agg(F.count("*").alias("anchored"), filtered("confirmed", F.col("status") == "confirmed"))
+    return zero_filled(grading.join(anchored, "day", "full"), first, last, "graded", "failed", "pending", "anchored", "confirmed")
+
+
+def prior_reviews(reviewed: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """What people ruled on a tenant's earlier escalations, by tag. ``reviewed``: ``joins.with_reviews``."""
+    ruled = lambda r: filtered(r, F.coalesce(F.col("resolution") == r, F.lit(False)))
+    return reviewed.where(within("reviewed_at", now, days)).groupBy("org_id", "policy_tag").agg(F.count("*").alias("escalations"), *map(ruled, ("cleared", "confirmed_breach", "policy_gap")))

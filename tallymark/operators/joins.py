@@ -71,3 +71,9 @@ def commitment_outcome(rows: DataFrame, known: DataFrame, check: Column) -> Data
     """Rows joined with known contents by event_id: match, mismatch, or unprovable without a commitment to check."""
     both = rows.join(known, "event_id")
     return both.withColumn("outcome", F.when(F.col("prompt_hash").isNull() | check.isNull(), "unprovable").when(check, "match").otherwise("mismatch"))
+
+
+def with_reviews(ledger: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Reviews with the ledger row that each is about; the tenant is part of the key on both sides."""
+    own = reviews.select("org_id", "event_id", "review_id", "status", "resolution", F.col("created_at").alias("reviewed_at"))
+    return ledger.join(own, ["org_id", "event_id"])

@@ -202,5 +202,9 @@ def ruleset_digest() -> str:
     return hashlib.sha256(json.dumps(definition, sort_keys=True).encode()).hexdigest()
 
 
+#: The digest of the latest published version.
+FROZEN_DIGEST = "b68b162ce53c10add77b54593be9fb6a5bb3bfe1d8648f85402e1394331d523a"
+
+
 def drifted(frozen: str) -> bool:
     return ruleset_digest() != frozen

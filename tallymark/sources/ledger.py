@@ -28,7 +28,7 @@ def with_predecessor(ledger: DataFrame, chain_hash: str) -> DataFrame:
     """The row of a chain hash and the row before it, found by two point filters."""
     row = ledger.where(F.col("chain_hash") == chain_hash)
     before = row.select("org_id", (F.col("seq") - 1).alias("seq"))
-    return row.withColumn("part", F.lit("row")).unionByName(ledger.join(F.broadcast(before), ["org_id", "seq"], "left_semi").withColumn("part", F.lit("predecessor")))
+    return row.withColumn("part", F.lit("row")).unionByName(ledger.join(before, ["org_id", "seq"], "left_semi").withColumn("part", F.lit("predecessor")))
 
 
 def export_documents(spark: SparkSession, *paths: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.hashes import keyed_digest
 from ..schemas import EXPORT_COLUMNS
 
 NESTED = (T.StructType, T.ArrayType, T.MapType)
@@ -49,6 +50,15 @@ def write_csv_export(page: DataFrame, folder: str, has_more: bool = False) -> No
     completeness(rows, has_more).write.mode("overwrite").json(f"{folder}/page")
 
 
+def write_csv_page(page: DataFrame, folder: str, preamble: list[str]) -> None:
+    """A page as one CSV file that begins with comment lines; the size of a page is bounded where it is cut."""
+    rows = flat(export_projection(page))
+    head = [*(f"# {x}" for x in preamble), ",".join(rows.columns)]
+    top = page.sparkSession.createDataFrame([(-1, k, x) for k, x in enumerate(head)], "part int, place long, value string")
+    lines = top.unionByName(rows.select(F.lit(0).alias("part"), F.col("seq").cast("long").alias("place"), F.to_csv(F.struct(*rows.columns)).alias("value")))
+    lines.repartition(1).sortWithinPartitions("part", "place").select("value").write.mode("overwrite").text(folder)
+
+
 def write_audit_csv(actions: DataFrame, folder: str, limit: int = 10_000) -> None:
     """The newest staff actions; the limit is the feature of this report."""
     flat(actions.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)).write.mode("overwrite").option("header", "true").csv(folder)
@@ -64,6 +74,11 @@ def with_month(df: DataFrame, at: str = "created_at") -> DataFrame:
     return df.withColumn("month", F.date_format(at, "yyyy-MM"))
 
 
+def hashed_clients(traffic: DataFrame, key: str) -> DataFrame:
+    """Addresses and user agents as keyed digests: they can be counted but not read."""
+    return traffic.withColumns({f"{c}_hash": keyed_digest(F.col(c), key) for c in ("ip", "user_agent")}).drop("ip", "user_agent")
+
+
 def append_log(df: DataFrame, path: str, at: str = "created_at") -> None:
     """Append to a log partitioned by month."""
     with_month(df, at).write.mode("append").partitionBy("month").parquet(path)
@@ -80,6 +95,18 @@ def expired_months(months: list[str], today: date, keep_days: int) -> list[str]:
     return sorted(m for m in months if m < first_kept)
 
 
+def drop_months(spark: SparkSession, path: str, months: list[str]) -> None:
+    """Drop partitions of a monthly log: each is overwritten by nothing, whatever store it is in."""
+    nothing = spark.read.parquet(path).drop("month").limit(0)
+    for month in months:
+        spark.createDataFrame([], nothing.schema).write.mode("overwrite").parquet(f"{path}/month={month}")
+
+
+def rewrite_since(df: DataFrame, target: str, at: str, cutoff: str) -> None:
+    """Retention by age as a rewrite: what stays, in a new place that the table's name is then pointed to."""
+    keep_since(df, at, cutoff).write.mode("overwrite").parquet(target)
+
+
 def keep_since(df: DataFrame, at: str, cutoff: str) -> DataFrame:
     """Retention by age: what stays when older rows go."""
     return df.where(F.col(at) >= F.to_timestamp(F.lit(cutoff)))

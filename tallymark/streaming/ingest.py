@@ -85,9 +85,12 @@ def claimed(rows: DataFrame, now: Column, lease_seconds: int = 300, n: int = 16)
     return rows.where((F.col("grading_status") == "pending") | lost).orderBy("created_at", "row_id").limit(n)
 
 
-def breaker_open(recent: list[bool], failures: int = 3) -> bool:
-    """Whether the latest calls all failed; the caller waits before it tries again."""
-    return len(recent) >= failures and not any(recent[-failures:])
+def open_breakers(calls: DataFrame, now: Column, failures: int = 3, pause_seconds: int = 60) -> DataFrame:
+    """Judges (judge, called_at, call_id, ok) whose latest calls all failed, the last within the pause: they are not called yet."""
+    latest = Window.partitionBy("judge").orderBy(F.col("called_at").desc(), F.col("call_id").desc())
+    last = calls.withColumn("nth", F.row_number().over(latest)).where(F.col("nth") <= failures)
+    each = last.groupBy("judge").agg(F.count_if(~F.col("ok")).alias("failed"), F.max("called_at").alias("last_call"))
+    return each.where((F.col("failed") >= failures) & (F.col("last_call") > now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(pause_seconds)))).select("judge", "last_call")
 
 
 def chain_writer(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:

@@ -148,11 +148,12 @@ def test_count_tree_gives_every_pair_that_may_link(most):
                 assert (b, a) in found
 
 
-@pytest.mark.parametrize("crowded", [2000, 3])
-def test_substring_dedup(spark, monkeypatch, crowded):
+@pytest.mark.parametrize(("crowded", "parts"), [(2000, 1), (3, 5)])
+def test_substring_dedup(spark, monkeypatch, crowded, parts):
     monkeypatch.setattr(substrings, "MOST_SEGMENTS", crowded)
     rows = corpus(4, 90)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(table(spark, rows)).collect()}
+    rows += [(3000, "loop the loop " * 60), (3001, "loop the loop " * 9), (-5, dict(rows)[8])]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(table(spark, rows).repartition(parts)).collect()}
     seen, expected = set(), {}
     for i, t in sorted({r for r in rows if r[0] is not None}, key=lambda r: r[0]):
         w, gone = words_of(t), set()
@@ -176,11 +177,24 @@ def test_suffix_automaton_matches():
         known.add(s)
         added.append(s)
     query = [rng.choice([b"a", b"b", b"c"]) for _ in range(60)]
-    for at, size in enumerate(known.matches(query)):
+    for at, (size, _) in enumerate(known.matches(query)):
         longest = max(k for k in range(at + 2) if k == 0 or any(query[at + 1 - k : at + 1] == s[j : j + k] for s in added for j in range(len(s))))
         assert size == longest
 
 
+def test_suffix_automaton_knows_first_places():
+    """Pieces of few words, added in order: each window's first place is that of a plain search."""
+    rng = random.Random(3)
+    known, seen = substrings.SuffixAutomaton(), {}
+    for doc in range(12):
+        words = [rng.choice([b"a", b"b"]) for _ in range(rng.choice([20, 30, 45]))] if doc % 4 else [b"a", b"b", b"b"] * 12
+        known.add(words, doc, 7)
+        for k in range(len(words) - 19):
+            seen.setdefault(tuple(words[k : k + 20]), (doc, 7 + k))
+        assert known.first_places(words) == [seen[tuple(words[k : k + 20])] for k in range(len(words) - 19)]
+    assert known.first_places([b"c"] * 21) == [None, None]
+
+
 def within_one_edit(a, b):
     if len(a) > len(b):
         a, b = b, a

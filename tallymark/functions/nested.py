@@ -42,7 +42,7 @@ def resolved_tag(tag: str | Column) -> Column:
     return F.when(folded.isin(*KNOWN_TAGS), folded)
 
 
-def _bound(value: Column, use) -> Column:
+def bound(value: Column, use) -> Column:
     """``use`` of a value that is worked out once, however often it is named."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -53,7 +53,7 @@ def _kind(value: Column, kind: str) -> Column:
 
 def _member(value: Column, key: str) -> Column:
     """A member of a JSON object; null where it is absent or JSON's null."""
-    return _bound(F.try_variant_get(value, f"$.{key}", "variant"), lambda v: F.when(~_kind(v, "VOID"), v))
+    return bound(F.try_variant_get(value, f"$.{key}", "variant"), lambda v: F.when(~_kind(v, "VOID"), v))
 
 
 def _items(value: Column) -> Column:
@@ -68,7 +68,7 @@ def _string(value: Column) -> Column:
 
 def _block(value: Column) -> Column:
     """Text of one block: itself or its member ``text``, if that is a string."""
-    return F.coalesce(_string(value), _bound(F.try_variant_get(value, "$.text", "variant"), _string), F.lit(""))
+    return F.coalesce(_string(value), bound(F.try_variant_get(value, "$.text", "variant"), _string), F.lit(""))
 
 
 def _joined(items: Column, text) -> Column:
@@ -77,7 +77,7 @@ def _joined(items: Column, text) -> Column:
 
 def _blocks(value: Column) -> Column:
     """Text of a content field: of its blocks one after another, or of the one that it is."""
-    return _bound(value, lambda v: F.when(_kind(v, "ARRAY"), _joined(_items(v), _block)).otherwise(_block(v)))
+    return bound(value, lambda v: F.when(_kind(v, "ARRAY"), _joined(_items(v), _block)).otherwise(_block(v)))
 
 
 def _choice(value: Column) -> Column:
@@ -85,7 +85,7 @@ def _choice(value: Column) -> Column:
     whole = lambda m: _blocks(_member(m, "content"))
     fields = F.struct(_member(value, "delta").alias("delta"), _member(value, "message").alias("message"))
     either = lambda x: F.concat(F.when(x["delta"].isNotNull(), streamed(x["delta"])).otherwise(""), F.when(x["message"].isNotNull(), whole(x["message"])).otherwise(""))
-    return _bound(fields, lambda x: F.when(x["delta"].isNull() & x["message"].isNull(), _blocks(_member(value, "text"))).otherwise(either(x)))
+    return bound(fields, lambda x: F.when(x["delta"].isNull() & x["message"].isNull(), _blocks(_member(value, "text"))).otherwise(either(x)))
 
 
 SHAPES = ("choices", "candidates", "output", "output_text", "content", "delta", "text")
@@ -105,7 +105,7 @@ def understood(value: Column) -> Column:
             .otherwise(_string(m["text"]))
         )
 
-    return _bound(F.struct(*[_member(value, k).alias(k) for k in SHAPES]), text)
+    return bound(F.struct(*[_member(value, k).alias(k) for k in SHAPES]), text)
 
 
 #: Tokens of JSON text whose escaped backslashes and quotes stand as the characters 1 and 2, which JSON text cannot hold.
@@ -126,7 +126,7 @@ def _response(value: Column, raw: Column) -> Column:
     """(text, coverage) of one JSON value that is no array: of an object in an unknown shape all leaves."""
     pair = lambda t, c: F.struct(t.alias("text"), F.lit(c).alias("coverage"))
     shaped = lambda t: F.when(t.isNotNull(), pair(t, "full")).otherwise(pair(leaf_text(raw), "degraded"))
-    return F.when(_kind(value, "STRING"), pair(_string(value), "full")).when(_kind(value, "OBJECT"), _bound(understood(value), shaped)).otherwise(pair(F.lit(""), "full"))
+    return F.when(_kind(value, "STRING"), pair(_string(value), "full")).when(_kind(value, "OBJECT"), bound(understood(value), shaped)).otherwise(pair(F.lit(""), "full"))
 
 
 def response_text(raw: str | Column) -> Column:
@@ -140,5 +140,5 @@ def response_text(raw: str | Column) -> Column:
     chunk = lambda v, r: F.when(_kind(v, "ARRAY"), leaves(r)).otherwise(_response(v, r))
     joined = lambda cs: F.struct(F.array_join(F.transform(cs, lambda c: c["text"]), "").alias("text"), F.when(F.size(cs) == 0, "full").otherwise(worst(F.transform(cs, lambda c: c["coverage"]))).alias("coverage"))
     plain = F.struct(F.coalesce(raw, F.lit("")).alias("text"), F.lit("full").alias("coverage"))
-    stream = lambda v: _bound(F.zip_with(_items(v), F.from_json(raw, "array<string>"), chunk), joined)
-    return _bound(F.try_parse_json(raw), lambda v: F.when(v.isNull(), plain).when(_kind(v, "ARRAY"), stream(v)).otherwise(_response(v, raw)))
+    stream = lambda v: bound(F.zip_with(_items(v), F.from_json(raw, "array<string>"), chunk), joined)
+    return bound(F.try_parse_json(raw), lambda v: F.when(v.isNull(), plain).when(_kind(v, "ARRAY"), stream(v)).otherwise(_response(v, raw)))

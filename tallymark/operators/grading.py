@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashes import document_hash
+from ..functions.nested import bound
 from ..functions.numbers import rate
 from .predicates import ENFORCED
 
@@ -80,25 +81,33 @@ def unprefixed(reason: Column) -> Column:
     return F.regexp_replace(reason, f"^(?:{'|'.join(MERGED.values())}): ", "")
 
 
+def merged(verdicts: Column) -> Column:
+    """One verdict from an array of them: the strongest known outcome, the greatest risk, and all rules, reasons and judges in order."""
+
+    def of_known(known: Column) -> Column:
+        top = F.array_max(F.transform(known, lambda v: rank(effective(v))))
+        decision = F.element_at(F.array(*[F.lit(k) for k in RANK]), top + 1)
+        label = F.element_at(F.array(*[F.lit(v) for v in MERGED.values()]), top + 1)
+        reasons = F.filter(F.transform(known, lambda v: F.when(F.coalesce(v["reason"], F.lit("")) != "", unprefixed(v["reason"]))), lambda r: r.isNotNull())
+        named = lambda f: F.nullif(F.array_join(F.filter(F.transform(known, lambda v: v[f]), lambda x: F.coalesce(x, F.lit("")) != ""), ","), F.lit(""))
+        out = verdict(
+            decision == "breach", F.concat(label, F.lit(": "), F.array_join(reasons, "; ")), F.array_max(F.transform(known, lambda v: v["risk_score"])), decision,
+            F.array_distinct(F.flatten(F.transform(known, lambda v: F.coalesce(v["rules"], F.array().cast("array<string>"))))), "ai", named("judge_provider"), named("judge_model"),
+        )
+        return out.cast(VERDICT)
+
+    known = lambda vs: F.filter(vs, lambda v: rank(effective(v)).isNotNull())
+    return bound(verdicts, lambda vs: bound(known(vs), lambda k: F.when((F.size(k) == 0) | (F.size(vs) == 1), F.element_at(vs, 1)).otherwise(of_known(k))))
+
+
 def combine(first: Column, second: Column) -> Column:
     """The stronger known outcome of two; an unknown is no grade, and two unknowns leave the first."""
-    pair = F.array(first.cast(VERDICT), second.cast(VERDICT))
-    known = F.filter(pair, lambda v: rank(effective(v)).isNotNull())
-    top = F.array_max(F.transform(known, lambda v: rank(effective(v))))
-    decision = F.element_at(F.array(*[F.lit(k) for k in RANK]), top + 1)
-    label = F.element_at(F.array(*[F.lit(v) for v in MERGED.values()]), top + 1)
-    reasons = F.filter(F.transform(known, lambda v: F.when(F.coalesce(v["reason"], F.lit("")) != "", unprefixed(v["reason"]))), lambda r: r.isNotNull())
-    named = lambda f: F.nullif(F.array_join(F.filter(F.transform(known, lambda v: v[f]), lambda x: F.coalesce(x, F.lit("")) != ""), ","), F.lit(""))
-    merged = verdict(
-        decision == "breach", F.concat(label, F.lit(": "), F.array_join(reasons, "; ")), F.array_max(F.transform(known, lambda v: v["risk_score"])), decision,
-        F.array_distinct(F.flatten(F.transform(known, lambda v: F.coalesce(v["rules"], F.array().cast("array<string>"))))), "ai", named("judge_provider"), named("judge_model"),
-    )
-    return F.when(F.size(known) == 0, first.cast(VERDICT)).otherwise(merged.cast(VERDICT))
+    return combine_all([first, second])
 
 
 def combine_all(verdicts: list[Column]) -> Column:
-    """A left fold in the providers' order."""
-    return reduce(combine, verdicts)
+    """The verdicts of several judges, in the providers' order; each is worked out once however many there are."""
+    return merged(F.array(*[v.cast(VERDICT) for v in verdicts]))
 
 
 def with_fallback(judged: Column, rules_verdict: Column) -> Column:

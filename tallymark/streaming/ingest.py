@@ -93,26 +93,48 @@ def open_breakers(calls: DataFrame, now: Column, failures: int = 3, pause_second
     return each.where((F.col("failed") >= failures) & (F.col("last_call") > now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(pause_seconds)))).select("judge", "last_call")
 
 
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except Exception as missing:  # nothing has been written yet
+        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
+            raise
+        return None
+
+
+def stored_heads(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """Each tenant's head (org_id, head_seq, head_hash) before a batch: the heads table of the batch before, else from the ledger."""
+    kept = read_or_none(spark, f"{path.rstrip('/')}-heads/slot={(batch_id - 1) % 2}")
+    if kept is not None and not kept.where(F.col("batch") == batch_id - 1).isEmpty():
+        return kept.where(F.col("batch") == batch_id - 1).drop("batch")
+    stored = read_or_none(spark, path)
+    if stored is None:
+        return None
+    return stored.where(F.col("batch") < batch_id).groupBy("org_id").agg(F.max("seq").alias("head_seq"), F.max_by("chain_hash", "seq").alias("head_hash"))
+
+
 def chain_writer(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: number and chain a batch behind the stored heads and write it under its batch id.
 
-    A batch that runs again overwrites what it wrote, so a restart neither repeats nor skips a row. One writer per ledger.
+    Beside the ledger lies a table of heads in two slots, written in turn: a batch reads the slot of the batch before it and
+    writes its own, so the ledger itself is not read. A batch that runs again overwrites what it wrote, so a restart neither
+    repeats nor skips a row. One writer per ledger.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         from ..operators.windows import numbered
 
-        try:
-            stored = spark.read.parquet(path).where(F.col("batch") < batch_id)
-        except Exception as missing:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
-            stored = spark.createDataFrame([], "org_id long, seq long, chain_hash string, batch long")
-        heads = stored.groupBy("org_id").agg(F.max("seq").alias("head_seq"), F.max_by("chain_hash", "seq").alias("head_hash"))
+        heads = stored_heads(spark, path, batch_id)
+        if heads is None:
+            heads = spark.createDataFrame([], "org_id long, head_seq long, head_hash string")
         rows = numbered(batch, heads.select("org_id", "head_seq"), "event_id").withColumn("chain_version", F.lit(1))
         rows = chain.with_blob(rows, (1,))
         linked = rows.join(chain.fold(rows.select("org_id", "seq", "blob"), heads), ["org_id", "seq"])
         linked.drop("blob").withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        written = read_or_none(spark, f"{path}/batch={batch_id}")  # none for a batch without rows
+        moved = written.groupBy("org_id").agg(F.max("seq").alias("head_seq"), F.max_by("chain_hash", "seq").alias("head_hash")) if written is not None else heads.limit(0)
+        whole = moved.unionByName(heads.join(moved.select("org_id"), "org_id", "left_anti")).withColumn("batch", F.lit(batch_id).cast("long"))
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path.rstrip('/')}-heads/slot={batch_id % 2}")
 
     return write
 

@@ -47,6 +47,9 @@ def test_chained_batches_form_one_chain(spark, tmp_path):
     written = spark.read.parquet(path)
     assert written.count() == rows.count() and written.select("batch").distinct().count() == 3
     assert verify(with_blob(written, (1,))).where("NOT ok").count() == 0
+    heads = written.groupBy("org_id").agg(F.max("seq").alias("head_seq"), F.max_by("chain_hash", "seq").alias("head_hash"))
+    kept = S.stored_heads(spark, path, 3)
+    assert sorted(map(tuple, kept.select(*heads.columns).collect())) == sorted(map(tuple, heads.collect())) and "slot=0" in kept.inputFiles()[0]
     before = {(r.org_id, r.seq): r.chain_hash for r in written.collect()}
     last = written.where("batch = 2").select(*rows.columns)
     again = spark.createDataFrame(last.collect(), last.schema)

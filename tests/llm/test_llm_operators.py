@@ -536,6 +536,27 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r.page_id for r in large.where("record_type = 'revisit'").collect()} == {7}
 
 
+def test_texts_of_megabytes(spark):
+    """A text of some megabytes, the same with a changed word, and a short one, through every operator on documents."""
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randrange(3, 9))) for _ in range(4000)]
+    body = [rng.choice(words) for _ in range(300_000)]
+    other = [*body[:150_000], "changedword", *body[150_001:]]
+    text = lambda w: "\n".join(" ".join(w[k : k + 10]) for k in range(0, len(w), 10))
+    docs = table(spark, [(1, text(body)), (2, text(other)), (3, "a short text of a few words only")]).repartition(2)
+    plain = {r.doc_id: r for r in exact_dedup.exact_dedup(docs).collect()}
+    assert plain[1].text_sha256 == sha("".join(body)) and all(r.group_size == 1 for r in plain.values())
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_join(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    kept = {r.doc_id: r for r in substrings.remove_repeats(docs).collect()}
+    assert (kept[1].n_removed, kept[2].n_removed) == (0, len(body) - 1) and kept[2].kept_sha256 == sha("changedword")
+    by_line = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    assert (by_line[1].n_removed, by_line[2].n_removed, by_line[2].n_lines) == (0, 29_999, 30_000)
+    trees = language.train(spark.createDataFrame([(1, text(words), "x"), (2, "1234 5678 0123", "digits")], "doc_id long, text string, lang string"))
+    assert {r.doc_id: r.lang_pred for r in language.identify(docs, trees).collect()} == dict.fromkeys((1, 2, 3), "x")
+    own = pieces.MergeCodec(piece_model())
+    assert {r.doc_id: r.n_tokens for r in pieces.encode_documents(docs, piece_model()).collect()}[2] == len(own.library.encode(text(other), add_eos=True))
+
+
 def test_empty_tables(spark):
     docs = table(spark, [])
     pages = spark.createDataFrame([], "page_id long, url string, html string")

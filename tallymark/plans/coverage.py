@@ -23,6 +23,7 @@ from ..operators import windows as W
 from ..sources import ledger as L
 from ..sources import sinks as K
 from ..streaming import ingest as S
+from .dialect import fired_sql
 from .registry import query
 from .texts import _shared
 from .views import ledger, over_ledger, over_orgs, table
@@ -613,14 +614,14 @@ def unique_events_stream(spark, sf):
 
 @query("""WITH t AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN 'ipt src=x> ' ELSE '' END || coalesce(text, '') || CASE WHEN conv_id % 5 = 0 AND turn = 0 THEN ' <scr' ELSE '' END AS body FROM conversations),
     s AS (SELECT conv_id, turn, right(coalesce(string_agg(body, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), 256) || body AS scanned FROM t)
-    SELECT conv_id AS stream_id, turn AS place, regexp_matches(scanned, '(?i)<\\s*script[\\s/>]') AS script_tag FROM s""".replace("\\\\", "\\"))
+    SELECT conv_id AS stream_id, turn AS place, """ + fired_sql("scanned", D.RESPONSES) + " AS rules FROM s")
 def stream_scan(spark, sf):
     """The carry between chunks as state of a live stream."""
     c = stream(spark, sf, "conversations")
     five = F.col("conv_id") % 5 == 0
     body = F.concat(F.when(five & (F.col("turn") == 1), "ipt src=x> ").otherwise(""), F.coalesce("text", F.lit("")), F.when(five & (F.col("turn") == 0), " <scr").otherwise(""))
     out = S.scanned_stream(c.select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("place"), body.alias("body")))
-    return drained(spark, out, "scan").select("stream_id", "place", F.array_contains("rules", "response_markup.script_tag").alias("script_tag"))
+    return drained(spark, out, "scan").select("stream_id", "place", "rules")
 
 
 @query("""WITH e AS (SELECT event_id, user_id % 8 AS org_id, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS seq FROM events) SELECT org_id, seq, event_id, seq = 1 AS from_genesis FROM e""")

@@ -165,9 +165,9 @@ def turns(spark, sf) -> DataFrame:
 
 @query(f"""WITH {TURNS_SQL}, u AS (SELECT conv_id, turn, head || body AS body FROM t WHERE length(head || body) > 0),
     s AS (SELECT conv_id, turn, right(coalesce(string_agg(body, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), 256) || body AS scanned FROM u)
-    SELECT conv_id, turn, regexp_matches(scanned, '(?i)<\\s*script[\\s/>]') AS script_tag FROM s""".replace("\\\\", "\\"))
+    SELECT conv_id, turn, {fired_sql("scanned", D.RESPONSES)} AS rules FROM s""")
 def stream_carry_scan(spark, sf):
-    return S.scanned_batch(turns(spark, sf), "conv_id", "turn", "body").select("conv_id", "turn", F.array_contains("rules", "response_markup.script_tag").alias("script_tag"))
+    return S.scanned_batch(turns(spark, sf), "conv_id", "turn", "body").select("conv_id", "turn", "rules")
 
 
 @query(over_ledger("""SELECT event_id, pii OR big AS policy_breach, CASE WHEN pii OR big THEN least(100, 50 + 10 * (CAST(pii AS INTEGER) + CAST(big AS INTEGER))) ELSE 0 END AS risk_score, CASE WHEN pii OR big THEN 'breach' ELSE 'clean' END AS decision,

@@ -1,6 +1,6 @@
 """Substring dedup: suffix automata of reference shards give the matching statistics of what streams past them.
 
-Every window of ``WINDOW`` consecutive words has an anchor, the 8-word gram of least hash in it (the first such), so equal
+Every window of ``WINDOW`` consecutive words has an anchor, the 5-word gram of least hash in it (the first such), so equal
 windows have equal anchors. The consecutive windows of a document with one anchor form a segment. An anchor that occurs once
 in the corpus cannot hold a repeated window. The segments of each other anchor are a reference shard: its suffix automaton
 knows where each of its strings began first. All segments of that anchor, of all documents, stream past it in the order of the
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialize, mix, range_hashes, rolling, text_slices, word_ranges
 
 WINDOW = 20
-GRAM = 8
+GRAM = 5
 MOST_SEGMENTS = 4000
 HELD_PIECES = 50_000  # that a task gathers the places of before it sends them on
 PIECES = "anchor long, first_doc long, first_start int, words binary, docs array<long>, starts array<int>"

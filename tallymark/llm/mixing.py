@@ -182,7 +182,7 @@ def fit(shares: DataFrame, model: Mixture, weights: dict[str, float], anchor: st
         steps = [*steps, ahead]
         row = shares.select("tokens", "posterior").mapInArrow(sums, ", ".join(f"d{k} double" for k in range(n))).agg(*[F.sum(f"d{k}") for k in range(n)]).first()
         before, reached = reached, np.array([x or 0.0 for x in row])
-        if np.abs(reached - before).max() < 0.1 * tolerance * total:
+        if (np.abs(reached - before) / scale).max() < 0.1 * tolerance:
             break  # the rest cannot be reached by nonnegative rates
     return Mixture(model.domains, model.prior, model.buckets, model.words, np.array(steps).reshape(-1, n), target, reached)
 

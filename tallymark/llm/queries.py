@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, exact_dedup, jaccard, language, lines, mixing, pieces, secrets, substrings, warc
+from . import embeddings, exact_dedup, infill, jaccard, language, lines, mixing, personal, pieces, runs, secrets, substrings, warc
 from .common import shared_dir
 
 
@@ -77,7 +78,61 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(spark, table(spark, sf_dir, "pages"), folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_embedding_dedup, op4_language_id, op5_sentencepiece, op6_substring_dedup, op7_secret_scan, op8_jaccard_join, op9_line_dedup, op10_warc)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text, 256)
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256")
+    )
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_personal(table(spark, sf_dir, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in personal.BASE]
+    return found.select("doc_id", *counts, F.sha2(joined(of(*personal.BASE)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.array_min(F.transform("spans", lambda s: s["score"])).alias("least_score"))
+
+
+def tail_repeated(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """One document in ten gets a periodic tail, so that runs of every length occur: which, from where and with what
+    period follows from a checksum of its id."""
+    h = zlib.crc32(b"" if doc_id is None else b"%d" % doc_id)
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.periodic_runs(table(spark, sf_dir, "documents"), rearrange=tail_repeated)
+    longest = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("short"), r["start"].alias("start"), r["period"].alias("period")))), F.lit(0))
+    lines_ = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (
+        out.withColumn("longest", longest)
+        .withColumn("length", -F.col("longest.short"))
+        .select(
+            "doc_id",
+            F.size("runs").cast("long").alias("n_runs"),
+            F.col("longest.start").alias("start"),
+            "length",
+            F.col("longest.period").alias("period"),
+            F.expr("(1000 * length) div longest.period").alias("exponent_milli"),
+            F.sha2(F.array_join(lines_, ""), 256).alias("runs_sha256"),
+            F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        )
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_mixing, op3_embedding_dedup, op4_language_id, op5_sentencepiece, op6_substring_dedup, op7_secret_scan, op8_jaccard_join, op9_line_dedup, op10_warc,
+        op11_fill_in_middle, op12_personal_data, op13_periodic_runs,
+    )
+}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -104,6 +159,53 @@ ORACLE_SQL = {
                CASE WHEN page_id <> owner THEN owner END AS refers_to
         FROM o
     """,
+    "op11_fill_in_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                   list_transform(range(4), lambda k: CAST('0x' || substr(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8 * k + 1, 8) AS BIGINT)) AS h
+            FROM documents),
+        f AS (
+            SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                           WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+                   least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b
+            FROM d),
+        p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM f)
+        SELECT doc_id, CAST(len(u) AS BIGINT) AS n, form,
+               CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p
+    """,
+    "op13_periodic_runs": r"""
+        WITH crc AS (
+            SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS c
+            FROM range(256) t(i)),
+        tab AS (SELECT list(c ORDER BY i) AS tab FROM crc),
+        w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+                   xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(coalesce(CAST(doc_id AS VARCHAR), ''), '.'), lambda s: CAST(ascii(s) AS BIGINT))),
+                       lambda x, b: xor(x // 256, tab[1 + xor(x, b) % 256]))) AS h
+            FROM documents, tab),
+        g AS (SELECT *, len(ws) AS n, h // 10 AS g, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM w),
+        p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+        v AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % p + 1] END) ELSE ws END AS ws FROM p),
+        grams AS (SELECT doc_id, i, hash(ws[i + 1:i + 6]) AS k FROM (SELECT doc_id, ws, unnest(range(n - 5)) AS i FROM v)),
+        same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.k = y.k AND x.i < y.i),
+        islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same),
+        found AS (SELECT doc_id, min(i) AS start, count(*) + 5 + q AS length, q FROM islands GROUP BY doc_id, q, island),
+        r AS (SELECT doc_id, start, length, min(q) AS period FROM found WHERE length >= greatest(12, 2 * q) GROUP BY ALL),
+        sums AS (
+            SELECT doc_id, count(*) AS n_runs, first(r ORDER BY length DESC, start, period) AS longest,
+                   string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS written
+            FROM r GROUP BY doc_id),
+        cut AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+        word AS (SELECT doc_id, i, ws[i + 1] AS word FROM (SELECT doc_id, ws, unnest(range(n)) AS i FROM v)),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM word ANTI JOIN cut USING (doc_id, i) GROUP BY doc_id)
+        SELECT v.doc_id, coalesce(n_runs, 0) AS n_runs, longest.start AS start, longest.length AS length, longest.period AS period,
+               (1000 * longest.length) // longest.period AS exponent_milli, sha256(coalesce(written, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM v LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
     "op3_embedding_dedup": r"""
         WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL),
         l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id

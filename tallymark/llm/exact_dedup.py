@@ -74,7 +74,11 @@ def exact_dedup(docs: DataFrame, fan_in: int = 8) -> DataFrame:
 
 
 def keep_distinct(docs: DataFrame, fan_in: int = 8) -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns. Rows that repeat a doc_id and a text stay once."""
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns, whatever their types.
+
+    Rows that repeat a doc_id and a text stay once: the one with most code points, as in ``exact_dedup``; of those that
+    also tie in length the one with the greatest text, then the greatest hash of all columns.
+    """
     verdicts = materialize(exact_dedup(docs, fan_in).select("doc_id", "kept", "text_sha256"), "verdicts")
     dropped = verdicts.where(~F.col("kept")).select("doc_id").distinct()
     kept = verdicts.where("kept").select(F.col("doc_id").alias("_tm_kept_id"), F.col("text_sha256").alias("_tm_kept_sha"))
@@ -86,5 +90,7 @@ def keep_distinct(docs: DataFrame, fan_in: int = 8) -> DataFrame:
         return clear
     digest = F.sha2(F.regexp_replace(text_or_empty(), IGNORED, ""), 256)
     unclear = docs.join(both, F.col("doc_id").eqNullSafe(F.col("_tm_kept_id")) & (digest == F.col("_tm_kept_sha")), "left_semi")
-    repeated = unclear.groupBy("doc_id", digest.alias("digest")).agg(F.min(F.struct(*docs.columns)).alias("r"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.char_length(text_or_empty()), F.col("text"), F.xxhash64(F.to_json(whole)))
+    repeated = unclear.groupBy("doc_id", digest.alias("digest")).agg(F.max_by(whole, order).alias("r"))
     return clear.unionByName(repeated.select("r.*"))

@@ -3,10 +3,11 @@
 A naive Bayes classifier learned from a labelled table gives each document a posterior over the domains; a document counts
 in every domain by that share. Its features are the presence of words and of the marks that words carry, hashed into buckets;
 only those that tell some domain from the rest in the labelled documents count. Then a nonnegative rate for each document is fitted so that the expected tokens of each domain
-meet their targets: least squares over the domains' relative gaps, by projected gradient from rate 1 (take all as it is).
+meet their targets: least squares over the domains' gaps, each gap squared over what the domain has, by projected gradient from
+rate 1 (take all as it is). Steps are scaled by the curvature that the documents with a rate above 0 have between the domains.
 
-A step needs only the gap of each domain, so the rate of a document follows from its posterior and the short list of past
-gaps: each round is one pass that sums the domains' tokens, the driver sees one number a domain, and nothing is shuffled.
+A step is one number a domain, so the rate of a document follows from its posterior and the short list of past steps: each
+round is one pass that sums the domains' tokens and their curvature, and the driver sees a number for each pair of domains.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ LEAST_DOCS = 5  # documents of the domain that have it, or would if it were like
 LEAST_Z = 5.0  # standard errors by which a feature's share must differ between a domain and the rest
 LEAST_PHI = 0.25  # and the correlation of feature and domain
 STEP_CELLS = 1 << 22  # buckets times domains that training looks at together
+DAMPING, LEAST_DAMPING = 1e-3, 1e-6  # how far steps are shortened, as a share of what a domain has
 POSTERIORS = "doc_id long, tokens long, posterior array<double>"
 
 
@@ -146,44 +148,52 @@ def classify(docs: DataFrame, model: Mixture) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, POSTERIORS)
 
 
-def fit(shares: DataFrame, model: Mixture, weights: dict[str, float], anchor: str | None = None, rounds: int = 60, tolerance: float = 1e-3) -> Mixture:
+def fit(shares: DataFrame, model: Mixture, weights: dict[str, float], anchor: str | None = None, tolerance: float = 1e-3, stall: float = 0.1, watch: int = 8) -> Mixture:
     """The steps that bring the expected tokens of each domain to their targets.
 
     ``weights`` are relative; domains not named get 0. The total is the corpus's tokens or, with an ``anchor``, such that the
-    anchor's target is what it has. A target that no nonnegative rates can reach is met as closely as they allow.
+    anchor's target is what it has. The fit ends when every gap is within ``tolerance`` of what its domain has, or when
+    ``watch`` passes together took less than the share ``stall`` off the squared gaps; there is no cap on rounds. A target that
+    no nonnegative rates can reach is met as closely as they allow, and ``target`` and ``reached`` of the result say how closely.
     """
     n = len(model.domains)
     if not n:
         return model
-    total_columns = [F.sum(F.col("tokens") * F.get("posterior", F.lit(k))).alias(f"d{k}") for k in range(n)]
-    have = np.array([x or 0.0 for x in shares.agg(*total_columns).first()])
+    steps: list[np.ndarray] = []
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, curvature = np.zeros(n), np.zeros((n, n))
+        for batch in batches:
+            posterior = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            rate, weighed = fold_rates(posterior, steps), posterior * batch.column(0).to_numpy()[:, None]
+            tokens += rate @ weighed
+            curvature += weighed[rate > 0].T @ posterior[rate > 0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + n * n)), pa.array(np.concatenate([tokens, curvature.ravel()]))], names=["cell", "value"])
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens by domain after the steps, and the curvature of the documents with a rate above 0."""
+        cells = shares.select("tokens", "posterior").mapInArrow(sums, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+        out = np.zeros(n + n * n)
+        out[cells["cell"].to_numpy()] = cells["value"].to_numpy()
+        return out[:n], out[n:].reshape(n, n)
+
+    have, curvature = summed()
     weight = np.array([float(weights.get(d, 0.0)) for d in model.domains])
     weight = weight / weight.sum() if weight.sum() else weight
     total = have.sum()
     if anchor in model.domains and weight[model.domains.index(anchor)] > 0:
         total = have[model.domains.index(anchor)] / weight[model.domains.index(anchor)]
     target, scale = weight * total, np.maximum(have, 1.0)
-    steps: list[np.ndarray] = []
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(n)
-        for batch in batches:
-            posterior = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-            out += (posterior * (fold_rates(posterior, steps) * batch.column(0).to_numpy())[:, None]).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in out], names=[f"d{k}" for k in range(n)])
-
-    reached, ahead = have, np.zeros(n)
-    for _ in range(rounds):
-        gap = (reached - target) / scale
-        if np.abs(gap).max(initial=0) < tolerance:
-            break
-        # The scaled problem's curvature is 1 at most (its rows are shares), so a step of 1 descends; half of the last step is carried on.
-        ahead = gap + 0.5 * ahead
-        steps = [*steps, ahead]
-        row = shares.select("tokens", "posterior").mapInArrow(sums, ", ".join(f"d{k} double" for k in range(n))).agg(*[F.sum(f"d{k}") for k in range(n)]).first()
-        before, reached = reached, np.array([x or 0.0 for x in row])
-        if (np.abs(reached - before) / scale).max() < 0.1 * tolerance:
-            break  # the rest cannot be reached by nonnegative rates
+    squares = lambda tokens: float((((tokens - target) ** 2) / scale).sum())
+    reached, damping, past = have, DAMPING, [squares(have)]
+    while (np.abs(reached - target) / scale).max(initial=0) >= tolerance and (len(past) <= watch or past[-1] < (1 - stall) * past[-1 - watch]):
+        steps = [*steps, np.linalg.solve(curvature + damping * np.diag(scale), reached - target)]
+        tokens, curves = summed()
+        if squares(tokens) < past[-1]:
+            reached, curvature, damping = tokens, curves, max(damping / 10, LEAST_DAMPING)
+        else:  # too far: with damping of 1 and above a step is within the plain gradient's, which descends
+            steps, damping = steps[:-1], min(damping * 10, 1 / LEAST_DAMPING)
+        past.append(squares(reached))
     return Mixture(model.domains, model.prior, model.buckets, model.words, np.array(steps).reshape(-1, n), target, reached)
 
 
@@ -194,7 +204,7 @@ def copies_of(rate: np.ndarray, doc_id: pa.Array) -> np.ndarray:
 
 
 def rate_rows(shares: DataFrame, fitted: Mixture) -> DataFrame:
-    """Per row: doc_id, tokens, domain (the likeliest), rate, copies."""
+    """Per row: doc_id, tokens, domain (the likeliest), rate, copies, and that domain's target_tokens and reached_tokens."""
     shared = shares.sparkSession.sparkContext.broadcast(fitted)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,14 +212,18 @@ def rate_rows(shares: DataFrame, fitted: Mixture) -> DataFrame:
         for batch in batches:
             posterior = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(model.domains))
             rate = model.rates(posterior)
-            best = [model.domains[k] for k in posterior.argmax(axis=1)] if model.domains else [None] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.string()), pa.array(rate), pa.array(copies_of(rate, batch.column(0)))], names=["doc_id", "tokens", "domain", "rate", "copies"])
+            best = posterior.argmax(axis=1) if model.domains else None
+            pick = lambda values, kind: pa.nulls(batch.num_rows, kind) if best is None else pa.array(values, kind).take(pa.array(best))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pick(model.domains, pa.string()), pa.array(rate), pa.array(copies_of(rate, batch.column(0))), pick(model.target, pa.float64()), pick(model.reached, pa.float64())],
+                names=["doc_id", "tokens", "domain", "rate", "copies", "target_tokens", "reached_tokens"],
+            )
 
-    return shares.mapInArrow(rows, "doc_id long, tokens long, domain string, rate double, copies int")
+    return shares.mapInArrow(rows, "doc_id long, tokens long, domain string, rate double, copies int, target_tokens double, reached_tokens double")
 
 
 def mix_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], anchor: str | None = None) -> DataFrame:
-    """Per row of ``docs``: doc_id, tokens, domain, rate, copies.
+    """Per row of ``docs``: doc_id, tokens, domain, rate, copies, target_tokens, reached_tokens (both of its domain).
 
     Whole texts; null counts as empty, has no tokens and the prior's posterior. Repeated rows get equal rates. Without any labelled
     document there are no domains and every rate is 1. Columns other than doc_id and text are not read. An empty table gives

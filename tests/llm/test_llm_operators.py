@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm import embeddings, exact_dedup, jaccard, language, lines, mixing, pieces, secrets, substrings, warc
 from tallymark.llm.common import materialize
-from tallymark.llm.queries import piece_model
+from tallymark.llm.queries import ANCHOR, WEIGHTS, domains, piece_model
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, n long, row long, key string, best string, size long"
@@ -71,6 +71,16 @@ def test_keep_distinct_keeps_one_of_repeated_rows(spark):
     assert got == sorted([(False, 1, "a b"), (False, 1, "c"), (True, None, "q"), (False, 3, None)])
 
 
+def test_keep_distinct_keeps_the_longest_of_a_repeated_id(spark):
+    """The same id with texts of different lengths; columns of types that have no order."""
+    rows = [(1, "ab", {"k": 1}), (1, "ab   ", {"k": 2}), (1, "a b", None), (2, "abc", {"k": 3}), (2, "other", {}), (None, "ab", {"k": 4}), (3, "q", {"x": 1}), (3, "q", {"x": 1}), (3, "q", {"x": 2})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>").withColumn("a.b", F.lit(1))
+    got = exact_dedup.keep_distinct(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, "ab   "), (2, "abc"), (2, "other"), (3, "q")]
+    assert exact_dedup.exact_dedup(docs).where("kept").count() == 4
+
+
 @pytest.mark.parametrize(("crowd", "open_pairs"), [(2048, 4), (3, 0)])
 def test_jaccard_join(spark, monkeypatch, crowd, open_pairs):
     """Also with lists that are dealt out in blocks and that give their best pairs first."""
@@ -385,6 +395,23 @@ def test_mixing_meets_its_targets(spark):
     assert all(r.rate == 1 for r in free)
 
 
+def test_mixing_comes_as_close_as_nonnegative_rates_allow(spark):
+    """A domain that shall vanish though every document has some share of it: no round cap ends the fit before the optimum."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = mixing.learn(docs, domains(spark.read.parquet("/root/testdata/sf0.01/labels.parquet")))
+    shares = materialize(mixing.classify(docs, model), "shares")
+    fitted = mixing.fit(shares, model, WEIGHTS, ANCHOR)
+    rows = shares.collect()
+    tokens, posterior = np.array([float(r.tokens) for r in rows]), np.array([r.posterior for r in rows])
+    have = posterior.T @ tokens
+    rate = np.ones(len(rows))
+    for _ in range(5000):
+        rate = np.maximum(rate - posterior @ ((posterior.T @ (rate * tokens) - fitted.target) / have), 0)
+    plain = posterior.T @ (rate * tokens)
+    assert np.allclose(posterior.T @ (fitted.rates(posterior) * tokens), fitted.reached)
+    assert (np.abs(fitted.reached - fitted.target) <= np.abs(plain - fitted.target) + 1e-3 * have).all()
+
+
 @pytest.mark.parametrize("block", [1024, 7])
 def test_embedding_links(spark, monkeypatch, block):
     monkeypatch.setattr(embeddings, "BLOCK", block)

@@ -18,6 +18,13 @@ def month_text(ts: str | Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
 
+def utc_text(ts: Column) -> Column:
+    """A time as ISO text in UTC, with six digits of a second's fraction where it has one; the session's zone is UTC."""
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    fraction = F.date_format(ts, ".SSSSSS")
+    return F.concat(whole, F.when(fraction == ".000000", "").otherwise(fraction), F.lit("+00:00"))
+
+
 def whole_day_start(now: Column, days_back: int) -> Column:
     """Midnight of the day that lies ``days_back`` days before now's."""
     return F.date_trunc("DAY", now) - F.make_dt_interval(F.lit(days_back))

@@ -2,14 +2,16 @@
 
 A row's hash is the digest of its own text followed by the hash of the row before. Verification needs no walk: a row is
 compared with the *stored* hash of its predecessor, so all rows are checked side by side and the first break is the smallest
-sequence number that fails. Only building a chain, or recomputing its head without trusting stored hashes, is a fold over a tenant's rows.
+sequence number that fails. A head is recomputed in the same way: where every row from genesis follows from the stored hash before it, the
+stored head is what a walk would give. Predecessors come by ranges, so that a chain of any length is spread over the cluster. Only building
+a chain is a fold over a tenant's rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -17,8 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.dates import utc_text
 from ..functions.hashes import canonical, utc_iso
 from ..schemas import GENESIS
+from .ranges import RANGE_ROWS, previous
 
 #: First versions that fold a field in: fixed values.
 WITH_VERSION, WITH_VERDICT, WITH_UTC = 3, 4, 5
@@ -31,14 +35,17 @@ def blob_v1() -> Column:
     return F.when(F.coalesce(F.col("agent"), F.lit("")) != "", F.concat(parts, F.lit("|agent="), F.col("agent"))).otherwise(parts)
 
 
-@F.pandas_udf(T.StringType())
-def canonical_event(event: pd.Series, metadata: pd.Series) -> pd.Series:
-    """An event's JSON with its metadata document put in, in canonical form."""
+def with_document(name: str) -> Callable[..., Column]:
+    """A function that puts a JSON document under a name into another one and gives the canonical form."""
 
-    def one(e: str, m: str | None) -> str:
-        return canonical({**json.loads(e), "event_metadata": None if m is None else json.loads(m)})
+    @F.pandas_udf(T.StringType())
+    def put(event: pd.Series, document: pd.Series) -> pd.Series:
+        return pd.Series([canonical({**json.loads(e), name: None if d is None else json.loads(d)}) for e, d in zip(event, document, strict=True)])
 
-    return pd.Series([one(e, m) for e, m in zip(event, metadata, strict=True)])
+    return put
+
+
+canonical_event, canonical_action = with_document("event_metadata"), with_document("detail")
 
 
 def blob_event(version: int) -> Column:
@@ -97,17 +104,16 @@ def fold(batch: DataFrame, heads: DataFrame | None = None, key: str = "org_id")
     return ordered.select(key, "seq", "blob", "head_hash").mapInArrow(walk, schema)
 
 
-def checked(chain: DataFrame, key: str = "org_id", first_seq: int = 1, seed: str | None = GENESIS) -> DataFrame:
+def checked(chain: DataFrame, key: str | None = "org_id", first_seq: int = 1, seed: str | None = GENESIS, width: int = RANGE_ROWS) -> DataFrame:
     """Each row of a chain (key, seq, blob, prev_hash, chain_hash) with its problem, null where it is sound.
 
     A gap is found before a wrong predecessor, and that before a wrong hash. With ``seed`` null a segment is taken to
-    start from what its first row says.
+    start from what its first row says. Without a key all rows are one chain. A key's rows are dealt in ranges of ``width`` numbers.
     """
-    order = Window.partitionBy(key).orderBy("seq")
-    before_seq, before = F.lag("seq").over(order), F.lag("chain_hash").over(order)
-    expected_seq = F.coalesce(before_seq + 1, F.lit(first_seq) if seed is not None else F.col("seq"))
-    expected_prev = F.coalesce(before, F.lit(seed) if seed is not None else F.col("prev_hash"))
-    rows = chain.withColumn("expected_seq", expected_seq).withColumn("expected_prev", expected_prev)
+    rows = previous(chain, [key] if key else [], "seq", ["seq", "chain_hash"], width)
+    expected_seq = F.coalesce(F.col("before_seq") + 1, F.lit(first_seq) if seed is not None else F.col("seq"))
+    expected_prev = F.coalesce("before_chain_hash", F.lit(seed) if seed is not None else F.col("prev_hash"))
+    rows = rows.withColumn("expected_seq", expected_seq).withColumn("expected_prev", expected_prev).drop("before_seq", "before_chain_hash")
     problem = (
         F.when(F.col("seq") != F.col("expected_seq"), "gap")
         .when(~F.col("prev_hash").eqNullSafe(F.col("expected_prev")), "previous")
@@ -125,8 +131,8 @@ def verdicts(checked_rows: DataFrame, key: str = "org_id") -> DataFrame:
     ).withColumn("ok", F.col("first_broken_seq").isNull())
 
 
-def verify(chain: DataFrame, key: str = "org_id") -> DataFrame:
-    return verdicts(checked(chain, key), key)
+def verify(chain: DataFrame, key: str = "org_id", width: int = RANGE_ROWS) -> DataFrame:
+    return verdicts(checked(chain, key, width=width), key)
 
 
 def bounded_answer(verdict: DataFrame, most: int | None = None) -> DataFrame:
@@ -141,58 +147,120 @@ def verify_record(chain: DataFrame, chain_hash: str, key: str = "org_id") -> Dat
     return rows.where(F.col("chain_hash") == chain_hash).select(key, "seq", F.col("problem").isNull().alias("intact"))
 
 
-def head_up_to(chain: DataFrame, upto: DataFrame, key: str = "org_id") -> DataFrame:
-    """Each key's head recomputed from genesis to upto_seq; null where the range has a gap."""
-    part = chain.join(upto.select(key, "upto_seq"), key).where(F.col("seq") <= F.col("upto_seq"))
-    whole = part.groupBy(key).agg(F.count("*").alias("n"), F.max("seq").alias("last"), F.max("upto_seq").alias("upto_seq"))
-    done = fold(part.select(key, "seq", "blob"), None, key).groupBy(key).agg(F.max_by("chain_hash", "seq").alias("recomputed"))
-    return whole.join(done, key).select(key, "upto_seq", F.when((F.col("n") == F.col("last")) & (F.col("last") == F.col("upto_seq")), F.col("recomputed")).alias("recomputed"))
+def refold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fold each stretch of consecutive rows (key, seq, blob, before, chain_hash) from the hash stored before it.
 
+    Gives a stretch's key, last number, own last hash, and whether that is the hash stored.
+    """
+    current: tuple | None = None
+    last, own, stored, out = None, None, None, []
 
-def against_anchor(chain: DataFrame, anchors: DataFrame, key: str = "org_id") -> DataFrame:
+    def batch(schema: pa.Schema) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
+        types = (schema.field(0).type, pa.int64(), pa.string(), pa.bool_())
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[schema.names[0], "end_seq", "own", "joins"])
+
+    for b in batches:
+        schema = b.schema
+        for key, seq, blob, before, chain_hash in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if current != (key,) or seq != last + 1:
+                if current is not None:
+                    out.append((current[0], last, own, own == stored))
+                current, own = (key,), before
+            last, stored = seq, chain_hash
+            own = None if blob is None or own is None else hashlib.sha256((blob + own).encode()).hexdigest()
+        yield batch(schema)
+    if current is not None:
+        out.append((current[0], last, own, own == stored))
+        yield batch(schema)
+
+
+def head_up_to(chain: DataFrame, upto: DataFrame, key: str = "org_id", width: int = RANGE_ROWS) -> DataFrame:
+    """Each key's head recomputed from genesis to upto_seq; null where the range has a gap or leaves what is stored for good.
+
+    A row is a segment: its hash is computed anew from its text and the hash stored before it, genesis for the first. Where that
+    is the hash stored, a walk from genesis that was right before is right there. Rows where it is not are few; consecutive ones are
+    folded as one segment, whose end must join the row behind it, so a stored hash that was overwritten alone does no harm, as in a walk.
+    """
+    rows = previous(chain.select(key, "seq", "blob", "chain_hash"), [key], "seq", ["chain_hash"], width)
+    rows = rows.withColumn("before", F.coalesce("before_chain_hash", F.lit(GENESIS))).withColumn("again", link(F.col("blob"), F.col("before")))
+    part = rows.join(upto.select(key, "upto_seq"), key).where(F.col("seq") <= F.col("upto_seq"))
+    whole = part.groupBy(key).agg(F.count("*").alias("n"), F.max("seq").alias("last"), F.max("upto_seq").alias("upto_seq"), F.max_by("again", "seq").alias("again"))
+    odd = part.where(~F.col("again").eqNullSafe(F.col("chain_hash"))).select(key, F.col("seq").cast("bigint").alias("seq"), "blob", "before", "chain_hash")
+    schema = T.StructType([odd.schema[key], T.StructField("end_seq", T.LongType()), T.StructField("own", T.StringType()), T.StructField("joins", T.BooleanType())])
+    stretches = odd.repartition(key).sortWithinPartitions(key, "seq").mapInArrow(refold, schema)
+    at_end = F.col("end_seq") == F.col("upto_seq")
+    ends = stretches.join(upto.select(key, "upto_seq"), key).groupBy(key).agg(F.bool_and(F.col("joins") | at_end).alias("joined"), F.max(F.when(at_end, F.col("own"))).alias("own"), F.bool_or(at_end).alias("inside"))
+    sound = (F.col("n") == F.col("last")) & (F.col("last") == F.col("upto_seq")) & F.coalesce("joined", F.lit(True))
+    return whole.join(ends, key, "left").select(key, "upto_seq", F.when(sound, F.when(F.coalesce("inside", F.lit(False)), F.col("own")).otherwise(F.col("again"))).alias("recomputed"))
+
+
+def against_anchor(chain: DataFrame, anchors: DataFrame, key: str = "org_id", keys: DataFrame | None = None, width: int = RANGE_ROWS) -> DataFrame:
     """The published root against the chain: three answers and what went wrong.
 
     Without a confirmed anchor the answer is null. A head behind the anchor is truncated; a range that does not recompute is
-    modified; one that recomputes to another root is modified if the chain is broken in itself, else a root mismatch.
+    modified; one that recomputes to another root is modified if the chain is broken in itself, else a root mismatch. ``keys``
+    names those to answer for, chains without any row included; without it, those with rows.
     """
     anchor = anchors.where("status = 'confirmed'").groupBy(key).agg(F.max_by(F.struct("last_seq", "root_hash"), "anchored_at").alias("a")).select(key, F.col("a.last_seq").alias("anchored_seq"), F.col("a.root_hash").alias("root_hash"))
-    state = verify(chain, key).select(key, "head_seq", F.col("ok").alias("intact"))
-    again = head_up_to(chain, anchor.select(key, F.col("anchored_seq").alias("upto_seq")), key).select(key, "recomputed")
+    state = verify(chain, key, width).select(key, "head_seq", F.col("ok").alias("intact"))
+    if keys is not None:
+        state = keys.select(key).join(state, key, "left")
+    again = head_up_to(chain, anchor.select(key, F.col("anchored_seq").alias("upto_seq")), key, width).select(key, "recomputed")
     rows = state.join(anchor, key, "left").join(again, key, "left")
+    head = F.coalesce("head_seq", F.lit(0))
     kind = (
         F.when(F.col("anchored_seq").isNull(), None)
-        .when(F.col("head_seq") < F.col("anchored_seq"), "truncated")
+        .when(head < F.col("anchored_seq"), "truncated")
         .when(F.col("recomputed").isNull(), "modified")
         .when(F.col("recomputed") != F.col("root_hash"), F.when(~F.col("intact"), "modified").otherwise("root_mismatch"))
     )
-    return rows.withColumn("kind", kind).select(key, "head_seq", "anchored_seq", "kind", F.when(F.col("anchored_seq").isNotNull(), F.col("kind").isNull()).alias("ok"), (F.col("head_seq") - F.col("anchored_seq")).alias("unwitnessed"))
+    return rows.withColumn("kind", kind).select(key, "head_seq", "anchored_seq", "kind", F.when(F.col("anchored_seq").isNotNull(), F.col("kind").isNull()).alias("ok"), (head - F.col("anchored_seq")).alias("unwitnessed"))
+
+
+def blob_staff(version: int = 1) -> Column:
+    """The canonical text of a staff action: its fields by name in order, the detail document inside, the time in UTC."""
+    text = lambda c: F.col(c).cast("string")
+    fields = {"action": F.col("action"), "chain_version": F.lit(version), "created_at": utc_text(F.col("created_at")), "ip": F.col("ip"), "seq": F.col("seq"), "staff_user_id": text("staff_user_id"), "target_id": text("target_id"), "target_org_id": text("target_org_id"), "target_type": F.col("target_type")}
+    event = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]), {"ignoreNullFields": "false"})
+    return canonical_action(event, F.col("detail"))
+
+
+STAFF_KINDS = {"gap": "missing", "previous": "out_of_order", "hash": "modified"}
+
+
+def verify_staff(actions: DataFrame, width: int = RANGE_ROWS, site: str | None = None) -> DataFrame:
+    """The platform-wide chain of staff actions: one chain without a key, or one for each ``site``.
+
+    Rows before the chain (seq null) are counted and never a failure; a chain without any row is neither sound nor broken. What is
+    named as broken is the entry that is missing, does not follow, or was changed. No task sorts a whole chain.
+    """
+    by = [site] if site else []
+    rows = checked(actions.where("seq IS NOT NULL"), site, width=width)
+    kind = F.lit(None).cast("string")
+    for problem, name in STAFF_KINDS.items():
+        kind = F.when(F.col("problem") == problem, name).otherwise(kind)
+    broken = F.when(F.col("problem") == "gap", F.col("expected_seq")).when(F.col("problem").isNotNull(), F.col("seq"))
+    rows = rows.withColumn("kind", kind).withColumn("broken_seq", broken).withColumn("at", F.when(F.col("problem").isNotNull(), F.col("seq")))
+    first = rows.groupBy(*by).agg(
+        F.min_by("broken_seq", "at").alias("first_broken_seq"), F.min_by("kind", "at").alias("kind"), F.count("*").alias("chained"), F.max("seq").alias("head_seq"), F.max_by("chain_hash", "seq").alias("head_hash")
+    )
+    old = actions.groupBy(*by).agg(F.count_if(F.col("seq").isNull()).alias("unchained"))
+    both = old.join(first, site, "left") if site else first.crossJoin(old)  # without sites two single rows
+    return both.withColumn("chained", F.coalesce("chained", F.lit(0))).withColumn("ok", F.when(F.col("chained") > 0, F.col("first_broken_seq").isNull()))
 
 
-def verify_staff(actions: DataFrame, buckets: int = 64) -> DataFrame:
-    """The platform-wide chain: one chain without a key, checked in ranges of seq.
+def verify_staff_anchor(actions: DataFrame, anchors: DataFrame, site: str, width: int = RANGE_ROWS) -> DataFrame:
+    """Each site's staff chain against the last root that was confirmed for it: truncated, modified, root_mismatch or sound.
 
-    Rows before the chain (seq null) are counted and never a failure. Each range sees its predecessor through one row a
-    range, so no task sorts the whole chain.
+    A chain that was deleted whole is truncated as well. Entries behind the anchor are not yet witnessed, which is no fault.
     """
-    chained = actions.where("seq IS NOT NULL")
-    lo, hi = chained.agg(F.min("seq"), F.max("seq")).first()
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // buckets))
-    rows = chained.withColumn("range", F.floor(F.col("seq") / width))
-    last = rows.groupBy("range").agg(F.max("seq").alias("last_seq"), F.max_by("chain_hash", "seq").alias("last_hash"))
-    before = last.withColumn("before_seq", F.lag("last_seq").over(Window.orderBy("range"))).withColumn("before_hash", F.lag("last_hash").over(Window.orderBy("range"))).select("range", "before_seq", "before_hash")
-    order = Window.partitionBy("range").orderBy("seq")
-    joined = rows.join(F.broadcast(before), "range")  # one row a range: buckets + 1 at most
-    expected_seq = F.coalesce(F.lag("seq").over(order), F.col("before_seq"), F.lit(0)) + 1
-    expected_prev = F.coalesce(F.lag("chain_hash").over(order), F.col("before_hash"), F.lit(GENESIS))
-    seen = joined.withColumn("expected_seq", expected_seq).withColumn("expected_prev", expected_prev)
-    kind = F.when(F.col("seq") != F.col("expected_seq"), "missing").when(F.col("prev_hash") != F.col("expected_prev"), "out_of_order").when(link(F.col("blob"), F.col("expected_prev")) != F.col("chain_hash"), "modified")
-    broken = F.when(kind == "missing", F.col("expected_seq")).when(kind.isNotNull(), F.col("seq"))
-    first = seen.withColumn("kind", kind).withColumn("broken_seq", broken).agg(F.min("broken_seq").alias("first_broken_seq"), F.min_by("kind", "broken_seq").alias("kind"), F.count("*").alias("chained"), F.max("seq").alias("head_seq"), F.max_by("chain_hash", "seq").alias("head_hash"))
-    old = actions.agg(F.count_if(F.col("seq").isNull()).alias("unchained"))
-    return first.crossJoin(old).withColumn("ok", F.when(F.col("chained") > 0, F.col("first_broken_seq").isNull()))  # two single rows
-
-
-def verify_pages(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    sites = actions.select(site).distinct()
+    return against_anchor(actions.where("seq IS NOT NULL"), anchors, site, sites, width)
+
+
+def verify_pages(documents: DataFrame, rows: DataFrame, width: int = RANGE_ROWS) -> DataFrame:
     """Export files as one chain: per tenant whether they are sound, join, and cover the ledger.
 
     ``documents`` has file, org_id, page, anchor and rows; ``rows`` the exploded rows with blob. Status is complete, segment or
@@ -217,10 +285,8 @@ def verify_pages(documents: DataFrame, rows: DataFrame) -> DataFrame:
         F.min("wrong").alias("page_wrong"), F.min("first_seq").alias("from_seq"), F.max("last_seq").alias("to_seq"), F.count("*").alias("pages"),
         F.min_by(F.coalesce("page.prev_chain_hash", "first_prev"), "first_seq").alias("seed"), F.max_by(F.coalesce("page.complete", F.lit(True)), "last_seq").alias("last_complete"), F.max("anchored_seq").alias("anchored_seq"),
     )
-    seeded = rows.join(page_state.select("org_id", F.when(F.col("from_seq") == 1, F.lit(GENESIS)).otherwise(F.col("seed")).alias("start")), "org_id")
-    by_seq = Window.partitionBy("org_id").orderBy("seq")
-    prev = F.coalesce(F.lag("chain_hash").over(by_seq), F.col("start"))
-    seen = seeded.withColumn("expected_prev", prev).withColumn("before_seq", F.lag("seq").over(by_seq))
+    start = page_state.select("org_id", F.when(F.col("from_seq") == 1, F.lit(GENESIS)).otherwise(F.col("seed")).alias("start"))
+    seen = previous(rows, ["org_id"], "seq", ["seq", "chain_hash"], width).join(start, "org_id").withColumn("expected_prev", F.coalesce("before_chain_hash", "start"))
     problem = F.when(F.col("seq") != F.col("before_seq") + 1, "gap").when(F.col("prev_hash") != F.col("expected_prev"), "previous").when(link(F.col("blob"), F.col("expected_prev")) != F.col("chain_hash"), "hash")
     if "verdict_ok" in rows.columns:
         problem = problem.when(~F.coalesce(F.col("verdict_ok"), F.lit(True)), "local verdict")

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import RANGE_ROWS, numbered_rows, previous
 
-def sequence_gaps(ledger: DataFrame, all_time: bool = True) -> DataFrame:
-    """Missing ranges of each client's numbers. What comes before a client's first is a gap only over all time."""
-    order = Window.partitionBy("client_id").orderBy("client_seq", "seq")
-    before = F.lag("client_seq", 1, 0 if all_time else None).over(order)
-    rows = ledger.where("client_id IS NOT NULL AND client_seq IS NOT NULL").select("client_id", "client_seq", before.alias("before"))
-    gaps = rows.where(F.col("client_seq") > F.col("before") + 1)
+
+def sequence_gaps(ledger: DataFrame, all_time: bool = True, width: int = RANGE_ROWS) -> DataFrame:
+    """Missing ranges of each client's numbers. What comes before a client's first is a gap only over all time.
+
+    Repeats make no gap and go before the shuffle; a client with most rows is spread over ranges of its numbers.
+    """
+    rows = ledger.where("client_id IS NOT NULL AND client_seq IS NOT NULL").select("client_id", "client_seq").distinct()
+    seen = previous(rows, ["client_id"], "client_seq", ["client_seq"], width)
+    gaps = seen.withColumn("before", F.coalesce("before_client_seq", F.lit(0 if all_time else None))).where(F.col("client_seq") > F.col("before") + 1)
     return gaps.select("client_id", (F.col("before") + 1).alias("gap_start"), (F.col("client_seq") - 1).alias("gap_end"), (F.col("client_seq") - F.col("before") - 1).alias("missing"))
 
 
@@ -38,10 +42,10 @@ def arrival_gaps(events: DataFrame, last_seen: DataFrame) -> DataFrame:
     return joined.withColumn("client_seq_gap", F.when(F.col("client_seq") > F.col("expected"), F.col("client_seq") - F.col("expected"))).drop("expected")
 
 
-def numbered(events: DataFrame, heads: DataFrame, order: str = "arrival") -> DataFrame:
-    """Gapless numbers that continue each tenant's head."""
-    place = F.row_number().over(Window.partitionBy("org_id").orderBy(order))
-    return events.join(heads, "org_id", "left").withColumn("seq", place + F.coalesce("head_seq", F.lit(0))).drop("head_seq")
+def numbered(events: DataFrame, heads: DataFrame, order: str = "arrival", per_range: int = RANGE_ROWS) -> DataFrame:
+    """Gapless numbers that continue each tenant's head; a tenant with most rows is spread over ranges of the order."""
+    placed = numbered_rows(events, ["org_id"], order, "seq", per_range)
+    return placed.join(heads, "org_id", "left").withColumn("seq", F.col("seq") + F.coalesce("head_seq", F.lit(0))).drop("head_seq")
 
 
 def new_devices(logins: DataFrame) -> DataFrame:

@@ -139,24 +139,73 @@ def segment_verify(spark, sf):
     return C.verify_pages(documents, damaged(rows).select("org_id", "seq", "prev_hash", "chain_hash", "blob"))
 
 
-STAFF_SQL = f"""sb AS (SELECT event_id - 49 AS seq, 'a' || event_id AS blob FROM events WHERE event_id >= 50),
-    sc AS (SELECT seq, sha256(blob || '{GENESIS}') AS chain_hash FROM sb WHERE seq = 1 UNION ALL SELECT sb.seq, sha256(sb.blob || sc.chain_hash) FROM sc JOIN sb ON sb.seq = sc.seq + 1)"""
+#: Each client's events as the staff actions of one site: the first two from before the chain, then numbered and chained by the staff recipe.
+STAFF_SQL = f"""{NUMBERED_SQL},
+    sa AS (SELECT nb.client_id, no - 2 AS seq, nb.event_id, policy_tag, token_count, created_at FROM nb),
+    sb AS (SELECT *, '{{"action":"' || policy_tag || '","chain_version":1,"created_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S')
+                     || CASE WHEN microsecond(created_at) % 1000000 <> 0 THEN strftime(created_at, '.%f') ELSE '' END || '+00:00","detail":'
+                     || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE '{{"note":"' || CASE WHEN event_id % 3 = 1 THEN 'caf\\u00e9' ELSE 'x' END || '","tokens":' || token_count || '}}' END
+                     || ',"ip":null,"seq":' || seq || ',"staff_user_id":"' || client_id || '","target_id":"' || event_id || '","target_org_id":null,"target_type":"event"}}' AS blob
+           FROM sa WHERE seq > 0),
+    sc AS (SELECT client_id, seq, event_id, blob, '{GENESIS}' AS prev_hash, sha256(blob || '{GENESIS}') AS chain_hash FROM sb WHERE seq = 1
+           UNION ALL SELECT sb.client_id, sb.seq, sb.event_id, sb.blob, sc.chain_hash, sha256(sb.blob || sc.chain_hash) FROM sc JOIN sb ON sb.client_id = sc.client_id AND sb.seq = sc.seq + 1),
+    sd AS (SELECT client_id, seq, CASE WHEN event_id % 997 = 5 THEN replace(blob, '"ip":null', '"ip":"1.2.3.4"') ELSE blob END AS blob, CASE WHEN event_id % 1213 = 3 THEN '{GENESIS}' ELSE prev_hash END AS prev_hash, chain_hash FROM sc WHERE event_id % 1499 <> 7),
+    se AS (SELECT *, coalesce(lag(seq) OVER o + 1, 1) AS es, coalesce(lag(chain_hash) OVER o, '{GENESIS}') AS ep FROM sd WINDOW o AS (PARTITION BY client_id ORDER BY seq)),
+    sk AS (SELECT *, CASE WHEN seq <> es THEN 'missing' WHEN prev_hash <> ep THEN 'out_of_order' WHEN sha256(blob || ep) <> chain_hash THEN 'modified' END AS kind FROM se),
+    sv AS (SELECT client_id, arg_min(CASE WHEN kind = 'missing' THEN es ELSE seq END, seq) FILTER (WHERE kind IS NOT NULL) AS first_broken_seq, arg_min(kind, seq) FILTER (WHERE kind IS NOT NULL) AS kind,
+                  count(*) AS chained, max(seq) AS head_seq, arg_max(chain_hash, seq) AS head_hash FROM sk GROUP BY 1),
+    su AS (SELECT client_id, count(*) FILTER (WHERE seq <= 0) AS unchained FROM sa GROUP BY 1)"""
+
+
+def staff_actions(spark, sf) -> DataFrame:
+    """The chained staff actions of every site, kept as a table, as a site's own actions are: sites are chained side by side."""
+    rows = ledger(spark, sf).withColumn("seq", (F.row_number().over(Window.partitionBy("client_id").orderBy("event_id")) - 2).cast("long"))
+    detail = F.when(F.col("event_id") % 3 != 0, F.to_json(F.struct(F.col("token_count").alias("tokens"), F.when(F.col("event_id") % 3 == 1, "café").otherwise("x").alias("note"))))
+    actions = rows.select(
+        "client_id", F.when(F.col("seq") > 0, F.col("seq")).alias("seq"), "event_id", F.col("policy_tag").alias("action"), "created_at", detail.alias("detail"), F.lit(None).cast("string").alias("ip"),
+        F.col("client_id").alias("staff_user_id"), F.col("event_id").alias("target_id"), F.lit(None).cast("string").alias("target_org_id"), F.lit("event").alias("target_type"),
+    )
+    path = f"{_shared(spark)}/staff-{uuid.uuid4().hex}"
+    chained = C.fold(actions.where("seq IS NOT NULL").withColumn("blob", C.blob_staff()), None, "client_id")
+    actions.join(chained, ["client_id", "seq"], "left").write.parquet(path)
+    return spark.read.parquet(path)
 
 
-@query(f"WITH RECURSIVE {STAFF_SQL} SELECT CAST(NULL AS BIGINT) AS first_broken_seq, CAST(NULL AS VARCHAR) AS kind, (SELECT count(*) FROM sb) AS chained, max(seq) AS head_seq, arg_max(chain_hash, seq) AS head_hash, (SELECT count(*) FROM events WHERE event_id < 50) AS unchained, TRUE AS ok FROM sc")
-def staff_chain_verify(spark, sf):
-    """All events as one platform-wide chain in ranges, with the oldest rows unchained.
+def damaged_actions(actions: DataFrame) -> DataFrame:
+    """One action in 997 with another address, one in 1499 taken out, one stored predecessor in 1213 replaced."""
+    n = F.col("event_id")
+    out = actions.where((n % 1499 != 7) | F.col("seq").isNull()).withColumn("ip", F.when(n % 997 == 5, "1.2.3.4"))
+    return out.withColumn("prev_hash", F.when(n % 1213 == 3, F.lit(GENESIS)).otherwise(F.col("prev_hash"))).withColumn("blob", C.blob_staff())
 
-    The stored hashes are fixture data: one chain is sequential, so they are walked once in one task, which holds one hash, and
-    kept as a table. What is verified is that table, in ranges side by side.
-    """
-    rows = ledger(spark, sf).withColumn("blob", F.concat(F.lit("a"), F.col("event_id").cast("string")))
-    chained = rows.where("event_id >= 50").select(F.lit("all").alias("k"), (F.col("event_id") - 49).alias("seq"), "blob")
-    path = f"{_shared(spark)}/staff-{uuid.uuid4().hex}"
-    C.fold(chained, None, "k").drop("k").write.parquet(path)
-    linked = chained.drop("k").join(spark.read.parquet(path), "seq")
-    old = rows.where("event_id < 50").select(F.lit(None).cast("long").alias("seq"), "blob", F.lit(None).cast("string").alias("prev_hash"), F.lit(None).cast("string").alias("chain_hash"))
-    return C.verify_staff(linked.select("seq", "blob", "prev_hash", "chain_hash").unionByName(old))
+
+@query(over_ledger("SELECT client_id, ok, v.kind, first_broken_seq, coalesce(chained, 0) AS chained, unchained, head_seq, head_hash FROM (SELECT *, CASE WHEN chained > 0 THEN first_broken_seq IS NULL END AS ok FROM su LEFT JOIN sv USING (client_id)) v", STAFF_SQL))
+def staff_chain_verify(spark, sf):
+    """Staff chains site by site, by the staff recipe, some of them damaged."""
+    return C.verify_staff(damaged_actions(staff_actions(spark, sf)), site="client_id").select("client_id", "ok", "kind", "first_broken_seq", "chained", "unchained", "head_seq", "head_hash")
+
+
+#: Roots published for three of four sites before the damage: two behind the head, far beyond it, and of another chain.
+STAFF_ANCHOR_SQL = f"""{STAFF_SQL},
+    sp AS (SELECT client_id, max(seq) AS head FROM sc GROUP BY 1),
+    sq AS (SELECT client_id, CASE client_id % 4 WHEN 1 THEN greatest(head - 2, 1) WHEN 2 THEN head + 5 WHEN 3 THEN head END AS anchored_seq FROM sp),
+    sr AS (SELECT sq.*, CASE WHEN sq.client_id % 4 = 3 THEN repeat('f', 64) ELSE sc.chain_hash END AS root FROM sq LEFT JOIN sc ON sc.client_id = sq.client_id AND sc.seq = anchored_seq WHERE anchored_seq IS NOT NULL),
+    ss AS (SELECT sr.client_id, anchored_seq, root, count(sk.seq) = anchored_seq AND max(sk.seq) = anchored_seq AND bool_and(sha256(blob || ep) = chain_hash) AS again, arg_max(chain_hash, sk.seq) AS head_then
+           FROM sr LEFT JOIN sk ON sk.client_id = sr.client_id AND sk.seq <= anchored_seq GROUP BY sr.client_id, anchored_seq, root)"""
+
+
+@query(over_ledger("""SELECT client_id, head_seq, anchored_seq, kind, CASE WHEN anchored_seq IS NOT NULL THEN kind IS NULL END AS ok, coalesce(head_seq, 0) - anchored_seq AS unwitnessed FROM (
+    SELECT su.client_id, head_seq, anchored_seq, CASE WHEN anchored_seq IS NULL THEN NULL WHEN coalesce(head_seq, 0) < anchored_seq THEN 'truncated' WHEN again IS NOT TRUE THEN 'modified'
+           WHEN head_then <> root THEN CASE WHEN first_broken_seq IS NOT NULL THEN 'modified' ELSE 'root_mismatch' END END AS kind
+    FROM su LEFT JOIN sv USING (client_id) LEFT JOIN ss USING (client_id))""", STAFF_ANCHOR_SQL))
+def staff_anchor_check(spark, sf):
+    """Staff chains against the roots that were published for them: truncated, modified, of another chain, or sound."""
+    actions = staff_actions(spark, sf)
+    heads = actions.groupBy("client_id").agg(F.max("seq").alias("head"))
+    n = F.col("client_id") % 4
+    at = F.when(n == 1, F.greatest(F.col("head") - 2, F.lit(1))).when(n == 2, F.col("head") + 5).when(n == 3, F.col("head"))
+    published = heads.select("client_id", at.alias("last_seq")).where("last_seq IS NOT NULL").join(actions.select("client_id", F.col("seq").alias("last_seq"), "chain_hash"), ["client_id", "last_seq"], "left")
+    anchors = published.select("client_id", "last_seq", F.when(n == 3, F.lit("f" * 64)).otherwise(F.col("chain_hash")).alias("root_hash"), F.lit("confirmed").alias("status"), F.lit("2024-02-01").cast("timestamp").alias("anchored_at"))
+    return C.verify_staff_anchor(damaged_actions(actions), anchors, "client_id")
 
 
 #: What clients numbered: every 40th row lost, every 55th sent twice, every 90th without a number.

@@ -10,6 +10,7 @@ import re
 from datetime import UTC, datetime
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallymark.functions import dates, hashes, nested, numbers
@@ -20,6 +21,7 @@ from tallymark.operators import grading as G
 from tallymark.operators import joins as J
 from tallymark.operators import predicates as P
 from tallymark.operators import redact as R
+from tallymark.operators import ranges
 from tallymark.operators import windows as W
 from tallymark.schemas import GENESIS
 from tallymark.sources import ledger as L
@@ -144,6 +146,121 @@ def test_staff_chain_kinds(spark):
     assert verdict(old).ok is None
 
 
+def walked_chain(n, org):
+    rows, prev = [], GENESIS
+    for seq in range(1, n + 1):
+        rows.append([org, seq, f"b{org}-{seq}", prev, sha(f"b{org}-{seq}" + prev)])
+        prev = rows[-1][4]
+    return rows
+
+
+CHAIN_COLUMNS = "org_id long, seq long, blob string, prev_hash string, chain_hash string"
+
+
+@pytest.mark.parametrize("width", [1, 7, 10, 1 << 18])
+def test_faults_at_the_borders_of_ranges(spark, width):
+    """Each kind of fault at the last row of a range, the first of the next and inside, for one large and some small tenants."""
+    cases = {}
+    for fault in ("blob", "prev", "hash", "gone", "first", "last", "none"):
+        for place in (1, 9, 10, 11, 20, 35, 69, 70, 71, 90):
+            rows = walked_chain(90, len(cases))
+            row = rows[place - 1]
+            if fault == "blob":
+                row[2] = "edited"
+            elif fault == "prev":
+                row[3] = "f" * 64
+            elif fault == "hash":
+                row[4] = "e" * 64
+            elif fault == "gone":
+                rows.remove(row)
+            elif fault == "first":
+                rows = rows[place:]
+            elif fault == "last":
+                rows = rows[:place]
+            cases[len(cases)] = rows
+    chain = spark.createDataFrame([tuple(r) for rows in cases.values() for r in rows], CHAIN_COLUMNS)
+    got = {r.org_id: r for r in C.verify(chain, width=width).collect()}
+    for org, rows in cases.items():
+        want, prev, last = None, GENESIS, 0
+        for _, seq, blob, before, own in rows:
+            problem = "gap" if seq != last + 1 else "previous" if before != prev else "hash" if sha(blob + prev) != own else None
+            if problem and want is None:
+                want = (seq, problem)
+            prev, last = own, seq
+        if rows:
+            assert ((got[org].first_broken_seq, got[org].problem) if not got[org].ok else None) == want, org
+            assert (got[org].rows, got[org].head_seq) == (len(rows), last)
+    upto = spark.createDataFrame([(org, 70) for org in cases], "org_id long, upto_seq long")
+    heads = {r.org_id: r.recomputed for r in C.head_up_to(chain, upto, width=width).collect()}
+    for org, rows in cases.items():
+        part, prev = [r for r in rows if r[1] <= 70], GENESIS
+        for _, _, blob, _, _ in part:
+            prev = sha(blob + prev)
+        if [r[1] for r in part] != list(range(1, 71)):
+            assert heads.get(org) is None
+        else:  # a walk that leaves what is stored for good may say so by null
+            assert heads[org] == prev or (heads[org] is None and prev != part[-1][4])
+
+
+def test_one_tenant_with_most_rows_is_spread(spark):
+    """Nine tenths of the rows in one tenant: windows hold ranges, and the answers are those of a plain window."""
+    n = 40_000
+    rows = spark.range(n).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(99).alias("org_id"), F.col("id").alias("seq"), F.sha2(F.col("id").cast("string"), 256).alias("chain_hash")).where("seq % 997 <> 3")
+    own = Window.partitionBy("org_id").orderBy("seq")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = ranges.previous(rows, ["org_id"], "seq", ["seq", "chain_hash"], 500)
+        largest = got.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+        assert largest < n / 5
+        plain = rows.withColumn("before_seq", F.lag("seq").over(own)).withColumn("before_chain_hash", F.lag("chain_hash").over(own))
+        assert sorted(map(tuple, got.select(plain.columns).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+        got = ranges.numbered_rows(rows, ["org_id"], "chain_hash", "place", 500)
+        largest = got.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+        assert largest < n / 5
+        plain = rows.withColumn("place", F.row_number().over(Window.partitionBy("org_id").orderBy("chain_hash")).cast("long"))
+        assert sorted(map(tuple, got.select(plain.columns).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_running_numbers_of_crowded_and_missing_orders(spark):
+    """Times of one second for most rows, nulls in keys and in the order, an empty table."""
+    rows = [(k % 3 if k % 5 else None, None if k % 11 == 0 else 10**9 * (k % 4 == 0) + min(k, 300), k) for k in range(2000)]
+    df = spark.createDataFrame(rows, "org_id long, at long, id long")
+    got = ranges.numbered_rows(df, ["org_id"], "at", "place", 50).collect()
+    for org in (None, 0, 1, 2):
+        mine = sorted((r.place, -1 if r.at is None else r.at) for r in got if r.org_id == org)
+        assert [p for p, _ in mine] == list(range(1, len(mine) + 1)) and [a for _, a in mine] == sorted(a for _, a in mine)
+    assert ranges.numbered_rows(df.limit(0), ["org_id"], "at", "place").count() == 0
+    gaps = W.sequence_gaps(spark.createDataFrame([(1, n, n) for n in (3, 4, 4, 4, 9, 1000, 1001)] * 3 + [(2, 1, 1), (None, 7, 1), (3, None, 2)], "client_id long, client_seq long, seq long"), width=5)
+    assert sorted(map(tuple, gaps.collect())) == [(1, 1, 2, 2), (1, 5, 8, 4), (1, 10, 999, 990)]
+
+
+def test_staff_recipe_and_anchor(spark):
+    """The staff row's own text, and what a published root tells: also of a chain that was deleted whole."""
+    at, detail = datetime(2024, 5, 6, 7, 8, 9, 120), '{"b": [1, {"z": null, "é": 2}], "a": "x"}'
+    rows, prev, actions = [], GENESIS, []
+    for seq in range(1, 6):
+        fields = {"chain_version": 1, "seq": seq, "staff_user_id": "u1", "action": "suspend", "target_org_id": None, "target_type": "org", "target_id": "7", "detail": json.loads(detail) if seq % 2 else None, "ip": None, "created_at": at.isoformat() + "+00:00"}
+        own = sha(json.dumps(fields, ensure_ascii=True, sort_keys=True, separators=(",", ":")) + prev)
+        rows.append((seq, prev, own))
+        for site in ("sound", "edited", "short", "other", "unpublished"):
+            if site != "short" or seq <= 3:
+                actions.append((site, seq, "u1", "lift" if site == "edited" and seq == 2 else "suspend", None, "org", "7", detail if seq % 2 else None, None, at, prev, own))
+        prev = own
+    actions.append(("deleted", None, "u0", "old", None, None, None, None, None, at, None, None))
+    df = spark.createDataFrame(actions, "site string, seq long, staff_user_id string, action string, target_org_id string, target_type string, target_id string, detail string, ip string, created_at timestamp, prev_hash string, chain_hash string")
+    df = df.withColumn("blob", C.blob_staff())
+    got = {r.site: (r.ok, r.kind, r.first_broken_seq, r.unchained) for r in C.verify_staff(df, 2, "site").collect()}
+    assert got["sound"] == got["unpublished"] == (True, None, None, 0) and got["edited"] == (False, "modified", 2, 0) and got["deleted"] == (None, None, None, 1)
+    anchors = [(s, 4, rows[3][2] if s != "other" else "9" * 64, "confirmed") for s in ("sound", "edited", "short", "other", "deleted")] + [("sound", 9, "0" * 64, "failed")]
+    anchors = spark.createDataFrame(anchors, "site string, last_seq long, root_hash string, status string").withColumn("anchored_at", F.lit("2024-06-01").cast("timestamp"))
+    got = {r.site: (r.ok, r.kind, r.unwitnessed) for r in C.verify_staff_anchor(df, anchors, "site", 2).collect()}
+    assert got == {"sound": (True, None, 1), "edited": (False, "modified", 1), "short": (False, "truncated", -1), "other": (False, "root_mismatch", 1), "deleted": (False, "truncated", -4), "unpublished": (None, None, None)}
+
+
 def export(tmp_path, name, org, rows, page=None, anchor=None):
     body = {"org_id": org, "logs": rows} | ({"page": page} if page else {}) | ({"anchor": anchor} if anchor else {})
     (tmp_path / name).write_text(json.dumps(body))

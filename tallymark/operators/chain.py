@@ -263,16 +263,19 @@ def verify_staff_anchor(actions: DataFrame, anchors: DataFrame, site: str, width
 def verify_pages(documents: DataFrame, rows: DataFrame, width: int = RANGE_ROWS) -> DataFrame:
     """Export files as one chain: per tenant whether they are sound, join, and cover the ledger.
 
-    ``documents`` has file, org_id, page, anchor and rows; ``rows`` the exploded rows with blob. Status is complete, segment or
+    ``documents`` has file, org_id, page, anchor and rows, or the first and last row that ``page_summaries`` gives; ``rows`` the exploded rows with blob. Status is complete, segment or
     broken; broken names what was found first: declared bounds, pages that do not join, then rows, then a
     checkpoint beyond the end.
     """
-    pages = documents.select(
-        "file", "org_id", "page", F.col("anchor.last_seq").alias("anchored_seq"),
-        F.array_min(F.transform("rows", lambda r: r["seq"])).alias("first_seq"), F.array_max(F.transform("rows", lambda r: r["seq"])).alias("last_seq"),
-        F.array_max(F.transform("rows", lambda r: F.struct(r["seq"], r["chain_hash"])))["chain_hash"].alias("last_hash"),
-        F.array_min(F.transform("rows", lambda r: F.struct(r["seq"], r["prev_hash"])))["prev_hash"].alias("first_prev"),
-    )
+    if "first_seq" in documents.columns:  # summaries of files that are not held whole
+        pages = documents.select("file", "org_id", "page", F.col("anchor.last_seq").alias("anchored_seq"), "first_seq", "last_seq", "last_hash", "first_prev")
+    else:
+        number = F.transform("rows", lambda r: r["seq"])
+        pages = documents.select(
+            "file", "org_id", "page", F.col("anchor.last_seq").alias("anchored_seq"), F.array_min(number).alias("first_seq"), F.array_max(number).alias("last_seq"),
+            F.array_max(F.transform("rows", lambda r: F.struct(r["seq"], r["chain_hash"])))["chain_hash"].alias("last_hash"),
+            F.array_min(F.transform("rows", lambda r: F.struct(r["seq"], r["prev_hash"])))["prev_hash"].alias("first_prev"),
+        )
     order = Window.partitionBy("org_id").orderBy("first_seq")
     before_seq, before_hash = F.lag("last_seq").over(order), F.lag("last_hash").over(order)
     wrong = (

@@ -20,6 +20,7 @@ from ..operators import predicates as P
 from ..operators import redact as R
 from ..operators import sets as U
 from ..operators import windows as W
+from ..sources import exports as X
 from ..sources import ledger as L
 from ..sources import sinks as K
 from ..streaming import ingest as S
@@ -81,7 +82,7 @@ def exported(spark, sf) -> DataFrame:
     pages = rows.groupBy("page_no").agg(F.array_sort(F.collect_list(row)).alias("logs"))  # a page holds 4000 rows at most
     page = F.struct(F.element_at("logs", 1)["seq"].alias("from_seq"), F.element_at("logs", -1)["seq"].alias("to_seq"), F.lit(False).alias("complete"))
     pages.select("page_no", F.to_json(F.struct(F.lit("1").alias("org_id"), page.alias("page"), "logs")).alias("value")).repartition("page_no").write.partitionBy("page_no").text(path)
-    return L.export_documents(spark, path)
+    return X.export_units(spark, path)
 
 
 PAGES = "pg AS (SELECT *, seq // 4000 AS page_no FROM l WHERE org_id = 1)"
@@ -89,12 +90,14 @@ PAGES = "pg AS (SELECT *, seq // 4000 AS page_no FROM l WHERE org_id = 1)"
 
 @query(over_ledger("SELECT '1' AS org_id, min(seq) AS from_seq, max(seq) AS to_seq, CAST(count(*) AS INTEGER) AS n FROM pg GROUP BY page_no", PAGES))
 def export_pages(spark, sf):
-    return exported(spark, sf).select("org_id", "page.from_seq", "page.to_seq", F.size("rows").alias("n"))
+    units = exported(spark, sf)
+    return X.export_headers(units).join(units.groupBy("file").agg(F.count("row").cast("int").alias("n")), "file").select("org_id", "page.from_seq", "page.to_seq", "n")
 
 
 @query(over_ledger("SELECT seq, CAST(event_id AS VARCHAR) AS event_id, event_type, policy_tag, agent, token_count, prompt_hash, grading_status FROM pg", PAGES))
 def export_rows(spark, sf):
-    return L.export_rows(exported(spark, sf)).select("seq", "event_id", "event_type", "policy_tag", "agent", "token_count", "prompt_hash", "grading_status")
+    units = exported(spark, sf)
+    return X.export_rows(units, X.export_headers(units)).select("seq", "event_id", "event_type", "policy_tag", "agent", "token_count", "prompt_hash", "grading_status")
 
 
 @query(over_ledger("SELECT seq, event_type, policy_tag, agent, token_count, grading_status FROM l WHERE org_id = 2 ORDER BY seq LIMIT 1000"))

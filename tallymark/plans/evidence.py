@@ -11,6 +11,8 @@ from ..operators import aggregates as A
 from ..operators import chain as C
 from ..operators import windows as W
 from ..schemas import GENESIS
+from ..sources import exports as X
+from ..sources import sinks as K
 from .registry import query
 from .texts import _shared
 from .views import ledger, over_ledger
@@ -208,6 +210,51 @@ def staff_anchor_check(spark, sf):
     return C.verify_staff_anchor(damaged_actions(actions), anchors, "client_id")
 
 
+#: Tenants' ledgers chained, and cut into pages of 300 rows and 90,000 bytes of a stated size.
+TENANT_CHAIN_SQL = f"""nt AS (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY event_id) AS no FROM l),
+    bt AS (SELECT org_id, no, 250 + length(policy_tag) + 7 * coalesce(length(agent), 0) AS size, org_id || '|' || prompt_hash || '|' || response_hash || '|' || token_count || '|' || policy_tag || '|' || no
+                  || CASE WHEN agent IS NOT NULL THEN '|agent=' || agent ELSE '' END AS blob FROM nt),
+    ct AS (SELECT org_id, no, size, '{GENESIS}' AS prev_hash, sha256(blob || '{GENESIS}') AS chain_hash FROM bt WHERE no = 1
+           UNION ALL SELECT bt.org_id, bt.no, bt.size, ct.chain_hash, sha256(bt.blob || ct.chain_hash) FROM ct JOIN bt ON bt.org_id = ct.org_id AND bt.no = ct.no + 1),
+    pt AS (SELECT *, (no - 1) // 300 AS a, CAST(coalesce(sum(size) OVER (PARTITION BY org_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // 90000 AS b FROM ct),
+    mt AS (SELECT org_id, row_number() OVER w AS page_no, count, bytes, from_seq, to_seq, prev_chain_hash, lead(a) OVER w IS NULL AS complete, CASE WHEN lead(a) OVER w IS NOT NULL THEN to_seq END AS next_after_seq
+           FROM (SELECT org_id, a, b, count(*) AS count, CAST(sum(size) AS BIGINT) AS bytes, min(no) AS from_seq, max(no) AS to_seq, arg_min(prev_hash, no) AS prev_chain_hash FROM pt GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY org_id ORDER BY a, b))"""
+
+
+def tenant_pages(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Every tenant's chained ledger with pages, kept as a table, and the manifest."""
+    rows = C.with_blob(W.numbered(ledger(spark, sf).drop("seq"), spark.createDataFrame([], "org_id long, head_seq long"), "event_id").withColumn("chain_version", F.lit(1)), (1,))
+    chained = rows.join(C.fold(rows.select("org_id", "seq", "blob")), ["org_id", "seq"]).drop("blob")
+    size = F.lit(250) + F.length("policy_tag") + 7 * F.coalesce(F.length("agent"), F.lit(0))
+    path = f"{_shared(spark)}/pages-{uuid.uuid4().hex}"
+    K.paged(chained, most_rows=300, most_bytes=90_000, size=size).write.parquet(path)
+    pages = spark.read.parquet(path)
+    return pages, K.page_manifest(pages, most_rows=300)
+
+
+@query(over_ledger("SELECT * FROM mt", TENANT_CHAIN_SQL))
+def export_paging(spark, sf):
+    return tenant_pages(spark, sf)[1].select("org_id", "page_no", "count", "bytes", "from_seq", "to_seq", "prev_chain_hash", "complete", "next_after_seq")
+
+
+@query(over_ledger("""SELECT CAST(org_id AS VARCHAR) AS org_id, count(*) AS pages, CAST(sum(count) AS BIGINT) AS rows, min(from_seq) AS from_seq, max(to_seq) AS to_seq,
+    CASE WHEN org_id = 5 THEN 'broken' WHEN org_id IN (3, 6) THEN 'segment' ELSE 'complete' END AS status,
+    max(CASE WHEN org_id = 5 AND page_no = 3 THEN from_seq END) AS first_broken_seq, CASE WHEN org_id = 5 THEN 'pages do not join' END AS detail
+    FROM (SELECT *, max(page_no) OVER (PARTITION BY org_id) AS last FROM mt) WHERE NOT (org_id = 3 AND page_no = 1 OR org_id = 5 AND page_no = 2 OR org_id = 6 AND page_no = last) GROUP BY org_id""", TENANT_CHAIN_SQL))
+def export_round_trip(spark, sf):
+    """Pages written as documents, some of them lost, read in splits and verified as chains."""
+    pages, manifest = tenant_pages(spark, sf)
+    last = F.max("page_no").over(Window.partitionBy("org_id"))
+    lost = ((F.col("org_id") == 3) & (F.col("page_no") == 1)) | ((F.col("org_id") == 5) & (F.col("page_no") == 2)) | ((F.col("org_id") == 6) & (F.col("page_no") == F.col("last")))
+    path = f"{_shared(spark)}/documents-{uuid.uuid4().hex}"
+    K.write_pages(pages, manifest.withColumn("last", last).where(~lost).drop("last"), path)
+    X.export_units(spark, path).write.parquet(f"{path}-units")  # read once
+    units = spark.read.parquet(f"{path}-units")
+    headers = X.export_headers(units)
+    rows = C.with_blob(X.export_rows(units, headers).withColumn("chain_version", F.lit(1)), (1,))
+    return C.verify_pages(X.page_summaries(headers, rows), rows.select("org_id", "seq", "prev_hash", "chain_hash", "blob"))
+
+
 #: What clients numbered: every 40th row lost, every 55th sent twice, every 90th without a number.
 SENT_SQL = f"""{NUMBERED_SQL},
     kept AS (SELECT client_id, no AS client_seq, event_id AS seq, created_at, event_id FROM nb WHERE event_id % 40 <> 9),

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashes import keyed_digest
-from ..schemas import EXPORT_COLUMNS
+from ..operators.ranges import RANGE_ROWS, numbered_rows, previous, running
+from ..schemas import EXPORT_COLUMNS, GENESIS
 
 NESTED = (T.StructType, T.ArrayType, T.MapType)
 
 
-def export_projection(ledger: DataFrame) -> DataFrame:
-    """The export's fixed columns in their order; times as ISO text, missing columns as null."""
+def export_projection(ledger: DataFrame, *more: str) -> DataFrame:
+    """The export's fixed columns in their order; times as ISO text, missing columns as null. ``more`` go along as they are."""
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     kinds = dict(ledger.dtypes)
     columns = []
@@ -24,7 +25,7 @@ def export_projection(ledger: DataFrame) -> DataFrame:
             columns.append(F.lit(None).cast("string").alias(name))
         else:
             columns.append((iso(name) if kinds[name].startswith("timestamp") else F.col(name)).alias(name))
-    return ledger.select(*columns)
+    return ledger.select(*columns, *more)
 
 
 def completeness(page: DataFrame, has_more: bool = False) -> DataFrame:
@@ -32,6 +33,52 @@ def completeness(page: DataFrame, has_more: bool = False) -> DataFrame:
     return page.agg(F.count("*").alias("count"), F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq"), F.min_by("prev_hash", "seq").alias("prev_chain_hash")).withColumn("complete", F.lit(not has_more)).withColumn("next_after_seq", F.when(F.lit(has_more), F.col("to_seq")))
 
 
+PAGE_ROWS, PAGE_BYTES = 10_000, 20 << 20  # bounds of an export page
+
+
+def paged(ledger: DataFrame, key: str = "org_id", most_rows: int = PAGE_ROWS, most_bytes: int = PAGE_BYTES, size: Column | None = None, width: int = RANGE_ROWS) -> DataFrame:
+    """The rows of all ledgers with the page they go to: ``part``, a struct that orders a key's pages, and ``before``, the hash to start from.
+
+    A page is what falls into one cell of two rulers along the sorted ledger, of ``most_rows`` rows and of ``most_bytes`` bytes, so
+    it holds no more rows, and at most one row's bytes more. Places and bytes are running totals over ranges: no task walks a ledger.
+    ``size`` measures a row, by default its JSON.
+    """
+    rows = previous(ledger, [key], "seq", ["seq", "chain_hash"], width)
+    follows = F.col("before_seq") == F.col("seq") - 1
+    rows = rows.withColumn("before", F.when(F.col("seq") == 1, F.lit(GENESIS)).when(follows, F.col("before_chain_hash"))).drop("before_seq", "before_chain_hash")
+    rows = numbered_rows(rows, [key], "seq", "_place", width)
+    measured = size if size is not None else F.octet_length(F.to_json(F.struct(*ledger.columns), {"ignoreNullFields": "false"})) + 2
+    rows = rows.withColumn("bytes", measured.cast("long")).withColumn("_span", F.floor((F.col("_place") - 1) / width))
+    rows = running(rows, [key], "_span", "_place", ("bytes",))
+    part = F.struct(F.floor((F.col("_place") - 1) / most_rows).alias("by_rows"), F.floor(F.col("total_bytes") / most_bytes).alias("by_bytes"))
+    return rows.withColumn("part", part).drop("_place", "_span", "total_bytes")
+
+
+def page_manifest(rows: DataFrame, key: str = "org_id", most_rows: int = PAGE_ROWS) -> DataFrame:
+    """One row a page: its number, what it covers, where its recompute starts, and how to go on after it."""
+    pages = rows.groupBy(key, "part").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes"), F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq"), F.min_by("before", "seq").alias("prev_chain_hash"))
+    order = Window.partitionBy(key).orderBy("part")  # one row a page
+    more = F.lead("part").over(order).isNotNull()
+    return pages.select(
+        key, "part", F.row_number().over(order).cast("long").alias("page_no"), "count", "bytes", "from_seq", "to_seq", "prev_chain_hash", (~more).alias("complete"),
+        F.when(more, F.col("to_seq")).alias("next_after_seq"), F.when(more, F.concat(F.lit("?after_seq="), F.col("to_seq"))).alias("next"), F.lit(most_rows).alias("max_rows_per_page"),
+    )
+
+
+def write_pages(rows: DataFrame, manifest: DataFrame, folder: str, key: str = "org_id") -> None:
+    """Each page as a JSON document of its own with its statement of coverage before the rows; what is gathered for one is a page."""
+    texts = export_projection(rows, key, "part")
+    row = F.to_json(F.struct(*EXPORT_COLUMNS), {"ignoreNullFields": "false"})
+    logs = texts.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("seq", row.alias("row")))).alias("rows"))
+    statement = F.to_json(F.struct("from_seq", "to_seq", "prev_chain_hash", "complete", "next_after_seq", "next", "max_rows_per_page"), {"ignoreNullFields": "false"})
+    body = F.concat(
+        F.lit('{"org_id": '), F.to_json(F.array(F.col(key).cast("string"))).substr(F.lit(2), F.length(F.to_json(F.array(F.col(key).cast("string")))) - 2),
+        F.lit(', "count": '), F.col("count"), F.lit(', "page": '), statement, F.lit(', "anchor": null, "logs": [\n'), F.array_join(F.transform("rows", lambda r: r["row"]), ",\n"), F.lit("\n]}"),
+    )
+    pages = manifest.join(logs, [key, "part"]).select(F.col(key), "page_no", body.alias("value"))
+    pages.repartition(key, "page_no").write.mode("overwrite").partitionBy(key, "page_no").text(folder)
+
+
 def write_json_export(page: DataFrame, folder: str, has_more: bool = False) -> None:
     rows = export_projection(page)
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/logs")

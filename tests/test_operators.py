@@ -24,6 +24,7 @@ from tallymark.operators import redact as R
 from tallymark.operators import ranges
 from tallymark.operators import windows as W
 from tallymark.schemas import GENESIS
+from tallymark.sources import exports as X
 from tallymark.sources import ledger as L
 from tallymark.sources import sinks as K
 from tallymark.streaming import ingest as S
@@ -304,6 +305,84 @@ def test_paged_exports(spark, tmp_path):
     assert status(tmp_path / "short").status == "broken"
 
 
+def hard_documents():
+    """Documents whose strings hold braces, brackets, quotes and keys, with sections before, behind and inside others."""
+    nasty = 'br}ace{ "q\\" [x] \\\\ é ,"logs": [ {'
+    rows = [
+        {"seq": k, "event_id": f"e{k}", "policy_tag": nasty if k % 3 == 0 else "t", "pii_signals": ["a", "b]"] if k % 2 else None, "chain_hash": f"h{k}",
+         "local_verdict": {"decision": "x", "rules": ["r}", {"deep": [1, {"y": []}]}]} if k % 4 == 0 else None, "event_metadata": {"logs": [1, 2], "m": "}{"} if k % 5 == 0 else None}
+        for k in range(1, 60)
+    ]
+    return {
+        "a": ({"org_id": 'o}"1,', "page": {"from_seq": 1, "to_seq": 59, "note": "x } y"}, "anchor": {"chain": "c", "last_seq": 7, "x": {"y": [1]}}, "logs": rows}, rows),
+        "b": ({"logs": rows, "other": [{"seq": 1000}, {"seq": 1001}], "org_id": "b", "page": {"from_seq": 5, "z": {"q": 1}}, "anchor": None}, rows),
+        "c": ({"ledger": rows, "org_id": "c"}, rows),
+        "d": ({"org_id": "d", "ledger": {"count": 3, "logs": rows, "page": {"from_seq": 2}}}, rows),
+        "e": ({"org_id": "e", "ledger": rows[:3], "logs": rows[5:]}, rows[5:]),
+        "f": ({"org_id": "f", "logs": [], "page": {"from_seq": None}}, []),
+        "g": ({"x": [[1, [2]], [{"seq": 5}]], "org_id": 7, "logs": rows[:2]}, rows[:2]),
+    }
+
+
+def test_documents_are_read_in_splits(spark, tmp_path):
+    """Splits of 997 bytes, which cut rows, strings and escapes: the rows are those of the whole document, indented or on one line."""
+    cases = hard_documents()
+    for name, (body, _) in cases.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(body, indent=2))
+        (tmp_path / f"{name}2.json").write_text(json.dumps(body, separators=(",", ":"), ensure_ascii=False) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "997")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        X.export_units(spark, str(tmp_path)).write.parquet(str(tmp_path / "units"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    units = spark.read.parquet(str(tmp_path / "units"))
+    headers = {r.file.rsplit("/", 1)[1]: r for r in X.export_headers(units).collect()}
+    got = X.export_rows(units, X.export_headers(units)).collect()
+    loaded = lambda t: None if t is None else json.loads(t)
+    for name, (body, rows) in cases.items():
+        for file in (f"{name}.json", f"{name}2.json"):
+            mine = sorted((r for r in got if r.file.endswith(f"/{file}")), key=lambda r: r.seq)
+            assert [(r.seq, r.event_id, r.policy_tag, r.pii_signals, loaded(r.local_verdict), loaded(r.event_metadata), r.org_id) for r in mine] == [
+                (w["seq"], w["event_id"], w["policy_tag"], w["pii_signals"], w["local_verdict"], w["event_metadata"], str(body["org_id"])) for w in rows
+            ]
+            page = body.get("page") or (body["ledger"].get("page") if isinstance(body.get("ledger"), dict) else None)
+            assert headers[file].org_id == str(body["org_id"]) and (headers[file].page.from_seq if headers[file].page else None) == (page or {}).get("from_seq")
+            assert (headers[file].anchor.last_seq if headers[file].anchor else None) == (body.get("anchor") or {}).get("last_seq")
+
+
+@pytest.mark.parametrize("width", [3, 1 << 18])
+def test_pages_keep_their_bounds(spark, tmp_path, width):
+    """Rows of uneven sizes, a hole in the numbers, several tenants; pages written, read again and verified."""
+    rng = random.Random(4)
+    rows = [r for org in (1, 2) for r in walked_chain(70, org)] + walked_chain(1, 3)
+    rows = [r for r in rows if not (r[0] == 2 and r[1] in (20, 41))]
+    sizes = {(r[0], r[1]): rng.choice([10, 90, 400]) for r in rows}
+    ledger = spark.createDataFrame([(*r, sizes[r[0], r[1]]) for r in rows], CHAIN_COLUMNS + ", n long")
+    paged = K.paged(ledger, most_rows=10, most_bytes=1000, size=F.col("n"), width=width).cache()
+    pages = sorted(K.page_manifest(paged, most_rows=10).collect(), key=lambda m: (m.org_id, m.page_no))
+    stored = {(r[0], r[1]): r for r in rows}
+    for org in (1, 2, 3):
+        mine = [m for m in pages if m.org_id == org]
+        assert [m.page_no for m in mine] == list(range(1, len(mine) + 1)) and sum(m["count"] for m in mine) == sum(r[0] == org for r in rows)
+        for m, after in zip(mine, [*mine[1:], None], strict=True):
+            inside = [k for k in stored if k[0] == org and m.from_seq <= k[1] <= m.to_seq]
+            assert m["count"] == len(inside) <= 10 and m.bytes == sum(sizes[k] for k in inside) < 1000 + 400
+            before = stored.get((org, m.from_seq - 1))
+            assert m.prev_chain_hash == (GENESIS if m.from_seq == 1 else before[4] if before else None)
+            assert (m.complete, m.next_after_seq) == ((False, m.to_seq) if after else (True, None))
+    sound = paged.where("org_id <> 2")
+    K.write_pages(sound, K.page_manifest(sound, most_rows=10), str(tmp_path / "pages"))
+    units = X.export_units(spark, str(tmp_path / "pages"))
+    headers = X.export_headers(units)
+    read = X.export_rows(units, headers).withColumn("blob", F.concat(F.lit("b"), "org_id", F.lit("-"), F.col("seq")))
+    assert {(r.org_id, r.status, r.rows) for r in C.verify_pages(X.page_summaries(headers, read), read).collect()} == {("1", "complete", 70), ("3", "complete", 1)}
+    document = json.loads(next((tmp_path / "pages/org_id=1/page_no=1").glob("*.txt")).read_text())
+    assert document["org_id"] == "1" and document["count"] == len(document["logs"]) and document["page"]["prev_chain_hash"] == GENESIS
+    paged.unpersist()
+
+
 # ---- text ----------------------------------------------------------------------------------
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import detect, rulesets
+from .offsets import Reading, merged, replaced, touches
 from ..functions.numbers import ISSUER_PREFIXES, ISSUER_RANGES
 
 
@@ -54,19 +55,20 @@ def redact_pii(text: str) -> str:
     return IPV4.sub("[REDACTED:ip_address]", EMAIL.sub("[REDACTED:email]", text))
 
 
-def normalised(text: str) -> tuple[str, list[tuple[int, int]]]:
-    """The normalised reading and, for each of its characters, the place it has in the text."""
-    at = [k for k, c in enumerate(text) if ord(c) not in detect.ZERO_WIDTH]
-    seen = "".join(text[k] for k in at)
-    lone = [c.isalnum() and not seen[k - 1 : k].isalnum() and not seen[k + 1 : k + 2].isalnum() for k, c in enumerate(seen)]
-    chained = lambda k: 0 < k < len(seen) - 1 and seen[k] in " \t.-_" and lone[k - 1] and lone[k + 1]
-    drop = {k for k in range(len(seen)) if chained(k) and (chained(k - 2) or chained(k + 2))}
-    kept = [k for k in range(len(seen)) if k not in drop]
-    return "".join(seen[k] for k in kept), [(at[k], at[k] + 1) for k in kept]
+WIDTHLESS = re.compile("[" + "".join(map(chr, detect.ZERO_WIDTH)) + "]+")
+ONE = r"[^\W_]"
+LONE, ALONE = rf"(?<!{ONE}){ONE}", rf"{ONE}(?!{ONE})"
+#: The same separators between single characters as in ``detect.SPACED``.
+SPACED = re.compile(rf"{detect.SEPARATORS}(?:(?<={LONE}{detect.SEPARATORS})(?={ALONE}{detect.SEPARATORS}{ALONE})|(?<={LONE}{detect.SEPARATORS}{ONE}{detect.SEPARATORS})(?={ALONE}))")
 
 
-def decoded(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Decoded base64 runs; each of their characters stands for the whole run."""
+def normalised(text: str) -> Reading:
+    """The reading without characters of no width and without the separators of spaced out words."""
+    return Reading("normalised", text).without(WIDTHLESS).without(SPACED)
+
+
+def decoded(text: str) -> list[Reading]:
+    """Decoded base64 runs; each stands for the whole run."""
     out = []
     for m in re.finditer(detect.BASE64_RUN, text):
         try:
@@ -75,30 +77,26 @@ def decoded(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
             continue
         shown = sum(c.isprintable() or c.isspace() for c in plain)
         if plain and shown / len(plain) >= detect.PRINTABLE_SHARE and any(map(str.isspace, plain)):
-            out.append((plain, [m.span()] * len(plain)))
+            out.append(Reading("decoded", plain, whole=m.span()))
     return out
 
 
 def hits(text: str, rules: dict[str, re.Pattern]) -> list[tuple[str, str, int, int]]:
     """(view, rule, start, end) of all matches, in places of the original text; the raw reading first."""
-    readings = [("raw", text, [(k, k + 1) for k in range(len(text))])]
-    for name, (reading, places) in [("normalised", normalised(text)), *(("decoded", d) for d in decoded(text))]:
-        if reading and reading != text:
-            readings.append((name, reading, places))
-    return [(view, rule, places[m.start()][0], places[m.end() - 1][1]) for view, reading, places in readings for rule, p in rules.items() for m in p.finditer(reading) if m.end() > m.start()]
+    others = [r for r in (normalised(text), *decoded(text)) if r.text and r.text != text]
+    return [(r.name, rule, *r.span(*m.span())) for r in (Reading("raw", text), *others) for rule, p in rules.items() for m in p.finditer(r.text) if m.end() > m.start()]
 
 
 def redact_text(text: str, tag: str | None) -> str:
-    """What only another reading shows goes first, from right to left, so that places still hold; then each rule in turn."""
+    """What only another reading shows goes first; then each rule in turn. A text with few readings costs little more than itself."""
     found = hits(text, INJECTIONS)
-    raw = [(a, b) for view, _, a, b in found if view == "raw"]
-    derived = sorted({(a, -b, rule) for view, rule, a, b in found if view != "raw" and not any(a < y and x < b for x, y in raw)})
+    raw = merged([(a, b) for view, _, a, b in found if view == "raw"])
+    derived = sorted({(a, -b, rule) for view, rule, a, b in found if view != "raw" and not touches(raw, a, b)})
     spans: list[tuple[int, int, str]] = []
     for a, minus_b, rule in derived:
         if not spans or a >= spans[-1][1]:
-            spans.append((a, -minus_b, rule))
-    for a, b, rule in reversed(spans):
-        text = text[:a] + marker(rule) + text[b:]
+            spans.append((a, -minus_b, marker(rule)))
+    text = replaced(text, spans)
     folded = (tag or "").strip().lower()
     if folded.removesuffix("_basic") in detect.PERSONAL:
         text = redact_pii(text)

@@ -24,6 +24,7 @@ from ..sources import exports as X
 from ..sources import ledger as L
 from ..sources import sinks as K
 from ..streaming import ingest as S
+from ..streaming import lifecycle as Y
 from .dialect import fired_sql
 from .registry import query
 from .texts import _shared
@@ -639,6 +640,50 @@ def chained_stream(spark, sf):
     return C.checked(stored).where("problem IS NULL").select("org_id", "seq", "event_id", (F.col("prev_hash") == "0" * 64).alias("from_genesis"))
 
 
+def lived(spark, df: DataFrame, name: str) -> DataFrame:
+    """What a stream with timers or expiry has written when its input is used up."""
+    with Y.settings(spark, **Y.WITHOUT_IDLE_BATCHES):
+        return drained(spark, df, name)
+
+
+@query("SELECT user_id AS client_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS client_seq, event_id % 3 = 0 AS again FROM events")
+def enqueued_stream(spark, sf):
+    """Every third event is sent twice: it keeps its number, and numbers have no gap."""
+    sent = F.explode(F.when(F.col("event_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    events = stream(spark, sf, "events").select(F.col("user_id").alias("client_id"), "event_id", sent.alias("sent"))
+    out = lived(spark, Y.enqueued(events), "enqueued")
+    return out.groupBy("client_id", "event_id", "client_seq").agg(F.bool_or("repeated").alias("again"))
+
+
+@query("""WITH e AS (SELECT event_id AS row_id, ts AS "at", CAST(event_id % 7 AS INTEGER) AS f, (event_id % 100) / 100.0 AS jitter FROM events),
+    w AS (SELECT row_id, k, "at" + to_minutes(10 * k) AS "at", round(1000 * (least(300, 2 * power(2, k)) / 2 + least(300, 2 * power(2, k)) / 2 * jitter)) AS ms FROM (SELECT *, unnest(range(1, least(f, 4) + 1)) AS k FROM e))
+    SELECT row_id, 'waiting' AS outcome, CAST(k AS INTEGER) AS attempts, to_milliseconds(CAST(floor(epoch_us("at") / 1000) AS BIGINT) + CAST(ms AS BIGINT)) + TIMESTAMP '1970-01-01' AS "at" FROM w
+    UNION ALL SELECT row_id, CASE WHEN f >= 5 THEN 'dead' ELSE 'done' END, least(f, 5), "at" + to_minutes(10 * CASE WHEN f >= 5 THEN 5 ELSE f + 1 END) FROM e
+    UNION ALL SELECT row_id, 'due', 0, "at" FROM e UNION ALL SELECT row_id, 'due', 0, "at" + to_minutes(90) FROM e WHERE f >= 5 AND row_id % 2 = 0""")
+def delivery_lives(spark, sf):
+    """Items that fail up to six times before they are received; the fifth failure is the last, and half of the dead are requeued."""
+    n, minutes = F.col("event_id"), lambda k: F.make_dt_interval(F.lit(0), F.lit(0), k)
+    failures = (n % 7).cast("int")
+    steps = F.transform(F.sequence(F.lit(0), failures + 1), lambda k: F.struct(F.when(k == 0, "new").when(k <= failures, "failed").otherwise("ok").alias("kind"), (10 * k).alias("after")))
+    steps = F.concat(steps, F.when((failures >= 5) & (n % 2 == 0), F.array(F.struct(F.lit("requeue").alias("kind"), F.lit(90).alias("after")))).otherwise(F.array().cast("array<struct<kind:string,after:int>>")))
+    events = stream(spark, sf, "events").select(n.alias("row_id"), F.col("ts").cast("timestamp").alias("ts"), F.explode(steps).alias("s"), ((n % 100) / 100).alias("jitter"))
+    out = Y.deliveries(events.select("row_id", F.col("s.kind").alias("kind"), (F.col("ts") + minutes(F.col("s.after"))).alias("at"), "jitter"), by="ProcessingTime")
+    rows = lived(spark, out, "lives").where("NOT (outcome = 'due' AND attempts > 0)")  # when a timer fires is the clock's matter
+    return rows.select("row_id", "outcome", "attempts", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS client_id, event_type AS kind, ts AS "at" FROM events),
+    m AS (SELECT client_id, kind, min("at") AS "at" FROM e GROUP BY 1, 2 UNION ALL
+          SELECT client_id, kind, "at" FROM (SELECT e.client_id, e.kind, min(e."at") AS "at" FROM m JOIN e ON e.client_id = m.client_id AND e.kind = m.kind AND epoch_ms(e."at") >= epoch_ms(m."at") + 86400000 * 3 GROUP BY e.client_id, e.kind))
+    SELECT client_id, kind, "at" FROM m""")
+def rolling_effects(spark, sf):
+    """A notice by client and kind comes through again three days after the last one, not before."""
+    effects = stream(spark, sf, "events").select(F.col("user_id").alias("client_id"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("at"))
+    with Y.settings(spark):
+        out = drained(spark, Y.marked(effects, "client_id", "kind", window_hours=72.0), "effects")
+    return out.select("client_id", "kind", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
 #: A round of a retry queue: a third done, a third failed, the rest not tried; the fifth failure is the last.
 QUEUE = "q AS (SELECT event_id AS row_id, CAST(event_id % 6 AS INTEGER) AS attempts, event_id % 3 AS r FROM l)"
 

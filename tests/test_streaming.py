@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+from datetime import datetime, timedelta
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from tallymark.operators.chain import verify, with_blob
 from tallymark.plans.views import ledger
 from tallymark.streaming import ingest as S
+from tallymark.streaming import lifecycle as Y
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,3 +87,67 @@ def test_event_time_windows(spark, tmp_path):
     assert S.tumbling(rows, "1 day").agg(F.sum("n")).first()[0] == n
     assert S.sliding(rows, "2 days", "1 day").agg(F.sum("n")).first()[0] == 2 * n
     assert S.sessions(rows, "client_id", "2 hours").agg(F.sum("n")).first()[0] == n
+
+
+# ---- state with timers and expiry ---------------------------------------------------------------
+
+
+def batches(spark, path, schema, groups, start=0):
+    """Each group of rows as one file, in order of time, so that one is one micro-batch."""
+    for k, rows in enumerate(groups, start):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/part={k:03}")
+        for f in Path(f"{path}/part={k:03}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
+
+
+def append(stream, tmp_path, name, **more):
+    with Y.settings(stream.sparkSession, **more):
+        stream.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(str(tmp_path / name)).collect()
+
+
+def test_repeats_cost_no_number(spark, tmp_path):
+    """Repeats within a batch, in later batches and after a restart keep the number they have; numbers have no gap."""
+    schema, path = "client_id long, event_id long", str(tmp_path / "sent")
+    first = [[(1, 10), (1, 11), (1, 10), (2, 10)], [(1, 11), (1, 12), (2, 9)]]
+    got = append(Y.enqueued(batches(spark, path, schema, first)), tmp_path, "numbers", **Y.WITHOUT_IDLE_BATCHES)
+    assert sorted(map(tuple, got)) == [(1, 10, 1, False), (1, 10, 1, True), (1, 11, 2, False), (1, 11, 2, True), (1, 12, 3, False), (2, 9, 2, False), (2, 10, 1, False)]
+    again = append(Y.enqueued(batches(spark, path, schema, [[(1, 10), (1, 13), (2, 8), (3, 1)]], 2)), tmp_path, "numbers", **Y.WITHOUT_IDLE_BATCHES)
+    assert sorted(set(map(tuple, again)) - set(map(tuple, got))) == [(1, 13, 4, False), (2, 8, 3, False), (3, 1, 1, False)]
+    assert len(again) == len(got) + 4
+
+
+def test_life_of_a_delivery(spark, tmp_path):
+    """Failures wait longer each time and a timer makes them due; the fifth is dead; a restart repeats nothing."""
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    schema, path = "row_id long, kind string, at timestamp, jitter double", str(tmp_path / "happens")
+    tick = lambda s: (0, "ok", at(s), 0.0)  # moves the watermark
+    first = [[(1, "new", at(0), 1.0), (1, "new", at(0), 1.0), (2, "new", at(0), 1.0), (3, "failed", at(1), 1.0), (1, "failed", at(1), 1.0)], [tick(30)], [tick(31)], [(1, "ok", at(31), 1.0), (1, "failed", at(32), 1.0), (1, "new", at(33), 1.0), tick(40)]]
+    stream = lambda groups, start: Y.deliveries(batches(spark, path, schema, groups, start).withWatermark("at", "0 seconds"), by="EventTime")
+    got = append(stream(first, 0), tmp_path, "lives")
+    mine = sorted((r.row_id, r.outcome, r.attempts, r.at) for r in got if r.row_id == 1)
+    assert mine == [(1, "done", 1, at(31)), (1, "due", 0, at(0)), (1, "due", 1, at(5)), (1, "waiting", 1, at(5))]
+    assert not [r for r in got if r.row_id in (0, 3)]  # a result of what was never sent changes nothing
+    failures = [g for k in range(5) for g in ([(2, "failed", at(100 + 700 * k), 0.0)], [tick(500 + 700 * k)], [tick(501 + 700 * k)])]
+    again = append(stream([*failures, [(2, "failed", at(4000), 0.0), tick(4001)], [(2, "requeue", at(4100), 0.0), tick(4101)]], 4), tmp_path, "lives")
+    two = sorted((r.at, r.outcome, r.attempts) for r in again if r.row_id == 2)
+    waits = [(at(100 + 700 * k + 2**k * 2), k + 1) for k in range(4)]  # half of a ceiling of 4, 8, 16, 32 seconds
+    assert [x for x in two if x[1] == "waiting"] == [(w, "waiting", n) for w, n in waits]
+    assert [x for x in two if x[1] == "due" and x[2] > 0] == [(w, "due", n) for w, n in waits]
+    assert [x for x in two if x[1] == "dead"] == [(at(2900), "dead", 5)]
+    assert (at(4100), "due", 0) in two and len(again) - len(got) == 4 + 4 + 1 + 1
+    batch = spark.createDataFrame([tuple(r) for r in again], Y.LIFE)
+    for _ in range(2):  # a batch that runs again
+        Y.delivery_writer(str(tmp_path / "sink"))(batch, 7)
+    assert spark.read.parquet(str(tmp_path / "sink/log")).count() == len(again) and [r.row_id for r in spark.read.parquet(str(tmp_path / "sink/dead")).collect()] == [2]
+
+
+def test_effects_repeat_after_their_window(spark, tmp_path):
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    schema, path = "org_id long, kind string, at timestamp", str(tmp_path / "effects")
+    groups = [[(1, "digest", at(0)), (1, "digest", at(5)), (2, "digest", at(3)), (1, "breach", at(3))], [(1, "digest", at(23)), (1, "digest", at(24)), (1, "digest", at(25))], [(1, "digest", at(47.9)), (1, "digest", at(48)), (2, "digest", at(200))]]
+    got = append(Y.marked(batches(spark, path, schema, groups), "org_id", "kind", window_hours=24, late="400 hours"), tmp_path, "through")
+    assert sorted((r.org_id, r.kind, r.at) for r in got) == [(1, "breach", at(3)), (1, "digest", at(0)), (1, "digest", at(24)), (1, "digest", at(48)), (2, "digest", at(3)), (2, "digest", at(200))]
+    more = append(Y.marked(batches(spark, path, schema, [[(1, "digest", at(700)), (1, "digest", at(701))], [(1, "digest", at(723)), (1, "digest", at(724))]], 3), "org_id", "kind", window_hours=24, late="400 hours"), tmp_path, "through")
+    assert sorted((r.org_id, r.at) for r in more if r.at > at(300)) == [(1, at(700)), (1, at(724))]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import cache, reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import rulesets
 from ..functions.nested import resolved_tag
@@ -15,7 +18,7 @@ from ..functions.numbers import issued, luhn_ok, uniform
 INJECTIONS, SECRETS, RESPONSES = map(rulesets.at, (rulesets.INJECTIONS, rulesets.SECRETS, rulesets.RESPONSES))
 PERSONAL_PATTERNS = rulesets.at(rulesets.PERSONAL)
 EMAIL, SSN, PHONE, IPV4, CARD = (PERSONAL_PATTERNS[k] for k in ("email", "ssn_pattern", "phone", "ip_address", "credit_card"))
-#: A text in which a rule fires holds one of these in lower case: a cheap test before the rule's pattern.
+#: A text in which a rule fires holds one of these in lower case: they say which of the large patterns need to run.
 STEMS = {
     "injection.ignore_previous": ("ignor", "skip", "omit", "overlook", "neglect", "attention", "notice", "aside", "follow"),
     "injection.override_instructions": ("disregard", "forget", "override", "bypass", "circumvent", "discard", "suspend", "off"),
@@ -23,7 +26,27 @@ STEMS = {
     "injection.jailbreak": ("anything", "jailbreak", "mode"),
     "injection.dan": ("dan",),
     "injection.multilingual_override": ("instru", "istruzi", "weisung", "leitung", "vorgabe", "wijzing", "инструкц", "указани", "指令", "指示", "提示", "要求", "命令"),
+    "secret.openai_key": ("sk-",),
+    "secret.aws_access_key": ("akia",),
+    "secret.private_key": ("private key",),
+    "secret.bearer_token": ("bearer",),
+    "response_markup.script_tag": ("script",),
+    "response_markup.iframe": ("iframe",),
+    "response_markup.event_handler": ("<",),
+    "response_markup.javascript_uri": ("javascript",),
+    "response_markup.data_html_uri": ("data:",),
+    "response_sql.destructive": ("drop", "truncate", "delete", "alter"),
+    "response_sql.tautology": ("=",),
+    "response_sql.stacked_statement": (";",),
+    "response_url.private_host": ("http",),
+    "response_url.file_scheme": ("file://",),
+    "response_secret.openai_key": ("sk-",),
+    "response_secret.aws_access_key": ("akia",),
+    "response_secret.private_key": ("private key",),
+    "response_secret.bearer_token": ("bearer",),
 }
+BIT = {rule: 1 << k for k, rule in enumerate(STEMS)}
+ALL_BITS = (1 << len(STEMS)) - 1
 ODD_LETTERS = "ſıİ"  # whose lower case is not the letter that they match where case is ignored
 # Labels and the transformations of a text's other readings.
 SIGNALS = {"injection": "prompt_injection", "secret": "secret_key", "response_secret": "secret_key", "response_markup": "unsafe_markup", "response_sql": "unsafe_sql", "response_url": "unsafe_url"}
@@ -65,12 +88,63 @@ def detect_pii(text: Column) -> Column:
     return labels({"email": text.rlike(EMAIL), "ssn_pattern": text.rlike(SSN), "phone": has_phone(text), "ip_address": text.rlike(IPV4), "credit_card": has_card(text)})
 
 
+@cache
+def automaton() -> object:
+    """All stems in one automaton, each with the bits of its rules; without the library, the stems one by one."""
+    bits: dict[str, int] = {}
+    for rule, stems in STEMS.items():
+        for stem in stems:
+            bits[stem] = bits.get(stem, 0) | BIT[rule]
+    try:
+        import ahocorasick
+    except ImportError:
+        return bits
+    out = ahocorasick.Automaton()
+    for stem, mask in bits.items():
+        out.add_word(stem, mask)
+    out.make_automaton()
+    return out
+
+
+def stem_mask(text: str) -> int:
+    """The rules one of whose stems the text holds: one pass whatever their number."""
+    if any(c in text for c in ODD_LETTERS):
+        return ALL_BITS
+    lower, tree, mask = text.lower(), automaton(), 0
+    if isinstance(tree, dict):
+        return reduce(or_, [m for stem, m in tree.items() if stem in lower], 0)
+    for _, m in tree.iter(lower):
+        mask |= m
+    return mask
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("reading", T.StringType()), T.StructField("mask", T.LongType())])))
+def candidates(readings: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Of a text's readings those that hold a stem of one of the wanted rules, with the rules that they may fire."""
+
+    def one(own: list[str] | None, wanted: int) -> list[dict]:
+        masks = [(r, stem_mask(r) & wanted) for r in (own if own is not None else ()) if r is not None]
+        return [{"reading": r, "mask": m} for r, m in masks if m]
+
+    for own, wanted in readings:
+        yield pd.Series([one(r, w) for r, w in zip(own, wanted, strict=True)])
+
+
+def fired_by_mask(text: Column, mask: Column, rules: dict[str, str]) -> Column:
+    """Sorted names of the rules whose pattern occurs, of those that the text's stems allow."""
+    return labels({r: (mask.bitwiseAND(F.lit(BIT[r]).cast("long")) != 0) & text.rlike(p) for r, p in rules.items()})
+
+
+def fired_in(readings: Column, rules: dict[str, str]) -> Column:
+    """Sorted names of the rules whose pattern occurs in one of the readings; a pattern runs only where one of its stems stands."""
+    wanted = F.lit(reduce(or_, [BIT[r] for r in rules])).cast("long")
+    found = F.transform(candidates(readings, wanted), lambda c: fired_by_mask(c["reading"], c["mask"], rules))
+    return F.array_sort(F.array_distinct(F.flatten(found)))
+
+
 def fired(text: Column, rules: dict[str, str]) -> Column:
     """Sorted names of the rules whose pattern occurs."""
-    lower = F.lower(text)
-    odd = reduce(or_, [F.contains(text, F.lit(c)) for c in ODD_LETTERS])
-    gate = lambda name: reduce(or_, [F.contains(lower, F.lit(x)) for x in STEMS[name]]) | odd
-    return labels({name: gate(name) & text.rlike(p) if name in STEMS else text.rlike(p) for name, p in rules.items()})
+    return fired_in(F.array(text), rules)
 
 
 def visible(text: Column) -> Column:
@@ -112,7 +186,7 @@ def views(text: Column) -> Column:
 
 def injections(text: Column) -> Column:
     """Injection rules that fire on any reading."""
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(views(text), lambda v: fired(v, INJECTIONS)))))
+    return fired_in(views(text), INJECTIONS)
 
 
 def prompt_rules(text: Column, tag: Column) -> Column:

@@ -22,6 +22,7 @@ from ..operators import sets as U
 from ..operators import windows as W
 from ..sources import exports as X
 from ..sources import ledger as L
+from ..sources import retention as V
 from ..sources import sinks as K
 from ..streaming import ingest as S
 from ..streaming import lifecycle as Y
@@ -588,6 +589,52 @@ def ruleset_drift(spark, sf):
     return spark.range(1).select(F.lit(R.drifted(R.FROZEN_DIGEST)).alias("drifted"))
 
 
+#: The ledger in a monthly table, without the months wholly before 10 days ago, with the next two made.
+MONTHS = "mo AS (SELECT strftime(created_at, '%Y-%m') AS month, count(*) AS n FROM l GROUP BY 1), d AS (SELECT CAST(max(created_at) AS DATE) AS today FROM l)"
+
+
+def _today(rows: DataFrame) -> date:
+    return rows.agg(F.max("created_at")).first()[0].date()
+
+
+@query(over_ledger("""SELECT month, n FROM mo, d WHERE month >= strftime(today - 10, '%Y-%m') AND month <> strftime(today + to_months(1), '%Y-%m')
+    UNION ALL SELECT strftime(today + to_months(k), '%Y-%m'), 0 FROM d, range(1, 3) t(k)""", MONTHS))
+def retained_months(spark, sf):
+    """Partitions that the catalogue has after maintenance, and their rows: months ahead are there and empty."""
+    rows = ledger(spark, sf).select("event_id", "org_id", F.col("created_at").cast("timestamp").alias("created_at"))
+    name = f"monthly_{uuid.uuid4().hex}"
+    V.create_monthly(spark, name, rows)
+    V.append_months(rows, name)
+    V.make_months(spark, name, _today(rows))
+    V.drop_expired(spark, name, _today(rows), 10)
+    months = spark.createDataFrame([(m,) for m in V.months_of(spark, name)], "month string")
+    return months.join(spark.table(name).groupBy("month").agg(F.count("*").alias("n")), "month", "left").select("month", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(over_ledger("SELECT event_id, org_id FROM l, (SELECT CAST(max(created_at) AS DATE) AS today FROM l) WHERE created_at >= today - 12"))
+def retained_actions(spark, sf):
+    """Rows younger than twelve days, after the table was swapped for one without the others."""
+    rows = ledger(spark, sf).select("event_id", "org_id", F.col("created_at").cast("timestamp").alias("created_at"))
+    base, name = folder(spark, "actions"), f"actions_{uuid.uuid4().hex}"
+    rows.write.option("path", f"{base}/first").saveAsTable(name)
+    V.keep_younger(spark, name, "created_at", _today(rows), 12, base)
+    return spark.table(name).select("event_id", "org_id")
+
+
+@query("SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
+def streamed_log(spark, sf):
+    """Traffic appended to a log by month as a stream, the last batch written twice as after a failure."""
+    base = folder(spark, "traffic")
+    write = V.log_writer(f"{base}/log", "ts")
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        write(batch, batch_id)
+        write(batch, batch_id)
+
+    stream(spark, sf, "events").writeStream.foreachBatch(twice).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/log").groupBy(F.col("month").cast("string").alias("month")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 # ---- queues and streams --------------------------------------------------------------------
 
 

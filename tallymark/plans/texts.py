@@ -16,7 +16,7 @@ from ..streaming import ingest as S
 from ..operators import rulesets
 from .dialect import fired_sql, pii_sql, re2
 from .registry import query
-from .views import ledger, over_ledger, table
+from .views import ledger, over_ledger, projected, table
 
 #: Literals planted by number into texts that hold none of them, in Spark and in SQL alike.
 PLANTED = {
@@ -278,12 +278,17 @@ def provider_responses(spark, sf):
 
 @query("SELECT user_id % 8 AS org_id, CAST(ts AS DATE) AS day, count(*) AS logs_count, CAST(sum(floor(value)) AS BIGINT) AS tokens_sum FROM events GROUP BY 1, 2")
 def streaming_usage_daily(spark, sf):
-    """The rollup kept up by a stream: each batch rewrites the days it touches."""
+    """A ledger by day and its rollup, both kept up by a stream: each batch is stored and rewrites the days it touches."""
     base = f"{_shared(spark)}/rollup-{uuid.uuid4().hex}"
-    rows = lambda: ledger(spark, sf)
+    store, roll = S.day_writer(f"{base}/ledger"), S.rollup_writer(lambda: spark.read.parquet(f"{base}/ledger"), f"{base}/table")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store(batch, batch_id)
+        roll(batch, batch_id)
+
     schema = table(spark, sf, "events").schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/events.parque*").withColumn("created_at", F.col("ts"))
-    stream = source.writeStream.foreachBatch(S.rollup_writer(rows, f"{base}/table")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    source = projected(spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/events.parque*"))
+    stream = source.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     stream.awaitTermination()
     return spark.read.parquet(f"{base}/table").select("org_id", "day", "logs_count", "tokens_sum")
 

@@ -16,7 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return projected(table(spark, sf_dir, "events"))
+
+
+def projected(e: DataFrame) -> DataFrame:
+    """Events, also those of a stream, as ledger rows."""
     n = F.col("event_id")
     status = F.when(n % 19 == 0, "pending").when(n % 23 == 0, "failed").when(n % 29 == 0, "in_progress").otherwise("graded")
     kind = F.when(n % 11 == 0, "blocked").when(n % 13 == 0, "redacted").when(n % 17 == 0, "response_blocked").otherwise("interaction")

@@ -145,6 +145,25 @@ def rollup_stream(events: DataFrame, late: str = "2 days") -> DataFrame:
     return windowed.select("org_id", F.col("window.start").cast("date").alias("day"), "logs_count", "tokens_sum")
 
 
+def day_writer(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: store a batch in a ledger that is partitioned by day; a batch that runs again replaces what it wrote."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("day", F.to_date("created_at")).withColumn("batch", F.lit(batch_id).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+
+    return write
+
+
+def touched_rows(ledger: DataFrame, batch: DataFrame) -> DataFrame:
+    """The ledger's rows of the days that a batch touches. Of a ledger with partitions by ``day`` no other day's files are read."""
+    day = F.col("day") if "day" in ledger.columns else F.to_date("created_at")
+    # Every batch has days after the first of all: the condition lets the planner prune partitions by the days found.
+    days = batch.select(F.to_date("created_at").alias("touched")).where(F.col("touched") > F.lit("0001-01-01").cast("date")).distinct()
+    rows = ledger.join(F.broadcast(days), day == F.col("touched"), "left_semi")  # a row a day
+    return rows.drop("day") if "day" in ledger.columns else rows
+
+
 def rollup_writer(ledger: Callable[[], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: recompute from the ledger the whole days that a batch touches, and replace them.
 
@@ -152,9 +171,7 @@ def rollup_writer(ledger: Callable[[], DataFrame], path: str) -> Callable[[DataF
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        days = batch.select(F.to_date("created_at").alias("touched")).distinct()
-        rows = ledger().join(F.broadcast(days), F.to_date("created_at") == F.col("touched"), "left_semi")  # a row a day
-        upsert_days(usage_daily(rows), path)
+        upsert_days(usage_daily(touched_rows(ledger(), batch)), path)
 
     return write
 
@@ -191,13 +208,13 @@ def scanned_stream(chunks: DataFrame) -> DataFrame:
         out = []
         for place, body in zip(rows["place"], rows["body"], strict=True):
             whole = carry + (body or "")
-            out.append((key[0], place, whole))
+            out.append((key[0], place, whole, detect.stem_mask(whole)))
             carry = whole[-CARRY:]
         state.update((carry,))
-        yield pd.DataFrame(out, columns=["stream_id", "place", "scanned"])
+        yield pd.DataFrame(out, columns=["stream_id", "place", "scanned", "mask"])
 
-    carried = chunks.groupBy("stream_id").applyInPandasWithState(scan, "stream_id long, place long, scanned string", "carry string", "append", GroupStateTimeout.NoTimeout)
-    return carried.select("stream_id", "place", detect.response_rules(F.col("scanned")).alias("rules"))
+    carried = chunks.groupBy("stream_id").applyInPandasWithState(scan, "stream_id long, place long, scanned string, mask long", "carry string", "append", GroupStateTimeout.NoTimeout)
+    return carried.select("stream_id", "place", detect.fired_by_mask(F.col("scanned"), F.col("mask"), detect.RESPONSES).alias("rules"))
 
 
 # ---- windows of events: extra coverage, without a counterpart in audit reporting -----------

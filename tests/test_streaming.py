@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from tallymark.operators.chain import verify, with_blob
-from tallymark.plans.views import ledger
+from tallymark.plans.views import ledger, projected
 from tallymark.streaming import ingest as S
 from tallymark.streaming import lifecycle as Y
 
@@ -70,6 +70,45 @@ def test_rollup_stream_equals_batch(spark, tmp_path):
     assert last.exceptAll(want).count() == 0 and want.exceptAll(last).count() == 0
 
 
+def files_read(df):
+    """How many files the scans of an executed plan read, and whether partitions were pruned at run time."""
+    plan, n, text = df._jdf.queryExecution().executedPlan(), 0, df._jdf.queryExecution().executedPlan().toString()
+    leaves = (plan.executedPlan() if hasattr(plan, "executedPlan") and "AdaptiveSparkPlan" in text[:40] else plan).collectLeaves()
+    todo = [leaves.apply(k) for k in range(leaves.size())]
+    while todo:
+        node = todo.pop()
+        if "QueryStage" in node.nodeName():
+            inner = node.plan().collectLeaves()
+            todo += [inner.apply(k) for k in range(inner.size())]
+        elif node.nodeName().startswith("Scan parquet"):
+            n += node.metrics().get("numFiles").get().value()
+    return n, "dynamicpruning" in text
+
+
+def test_a_batch_reads_only_its_days(spark, tmp_path):
+    """Forty days are stored and a batch touches two: two days' files are read, and late rows are in their days' totals."""
+    at = lambda d, h=0: datetime(2024, 1, 1) + timedelta(days=d, hours=h)
+    path = str(tmp_path / "ledger")
+    rows = lambda pairs: projected(spark.createDataFrame([(k, at(d, k % 24), k % 5, "click", float(k), "{}") for k, d in pairs], "event_id long, ts timestamp, user_id long, event_type string, value double, props string"))
+    S.day_writer(path)(rows([(k, k % 40) for k in range(400)]), 0)
+    late = rows([(1000, 3), (1001, 3), (1002, 17)])
+    for _ in range(2):
+        S.day_writer(path)(late, 1)
+    stored = spark.read.parquet(path)
+    touched = S.touched_rows(stored, late)
+    assert touched.count() == 10 + 2 + 10 + 1
+    counted = S.touched_rows(stored, late).groupBy().agg(F.sum("token_count"))
+    counted.collect()
+    n, pruned = files_read(counted)
+    assert pruned and 0 < n <= len([f for d in ("2024-01-04", "2024-01-18") for f in Path(path).glob(f"day={d}/*/*.parquet")]) + 3
+    table = str(tmp_path / "rollup")
+    S.rollup_writer(lambda: spark.read.parquet(path), table)(stored, 0)
+    S.rollup_writer(lambda: spark.read.parquet(path), table)(late, 1)
+    got = {(r.day, r.org_id): r.logs_count for r in spark.read.parquet(table).collect()}
+    want = {(r.day, r.org_id): r.n for r in stored.groupBy(F.to_date("created_at").alias("day"), "org_id").agg(F.count("*").alias("n")).collect()}
+    assert got == want
+
+
 def test_stream_scan_carries_over_batches(spark, tmp_path):
     path = str(tmp_path / "chunks")
     schema = "stream_id long, place long, body string"

@@ -65,6 +65,12 @@ def month_starts(spark: SparkSession, first: str, last: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(start, F.lit(last).cast("date"), F.expr("interval 1 month"))).alias("month"))
 
 
+def months_spanned(df: DataFrame, column: str) -> DataFrame:
+    """The first days of all months from a table's first to its last date."""
+    ends = df.agg(F.trunc(F.min(column), "MONTH").alias("first"), F.trunc(F.max(column), "MONTH").alias("last"))
+    return ends.where("first IS NOT NULL").select(F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("month"))
+
+
 def iso_week(day: Column) -> Column:
     """Like 2024-W01."""
     return F.concat(F.extract(F.lit("YEAROFWEEK"), day).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(day).cast("string"), 2, "0"))

@@ -32,8 +32,9 @@ def top_by(facts: DataFrame, key: str, measure, names: DataFrame, top: int, labe
     return best.join(names.select(key, label), key, "left").orderBy(F.col("total").desc(), key)
 
 
-def inbox(items: DataFrame) -> DataFrame:
-    return items.orderBy(F.col("priority").desc(), F.col("created_at").desc(), "id")
+def inbox(items: DataFrame, cap: int = 500) -> DataFrame:
+    """The most pressing items, newest first; the cap is the feature of an inbox."""
+    return items.orderBy(F.col("priority").desc(), F.col("created_at").desc(), "id").limit(cap)
 
 
 def merged_feed(left: DataFrame, right: DataFrame, at: str, cap: int) -> DataFrame:

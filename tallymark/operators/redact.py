@@ -43,16 +43,22 @@ def is_card(digits: str) -> bool:
     return len(set(digits)) > 1 and issued and luhn(digits)
 
 
+DIGIT = re.compile(r"\d")
+
+
 def gated(pattern: re.Pattern, label: str, gate: Callable[[str], bool], text: str) -> str:
     return pattern.sub(lambda m: f"[REDACTED:{label}]" if gate(re.sub(r"\D", "", m[0])) else m[0], text)
 
 
 def redact_pii(text: str) -> str:
     """Cards first, then social security numbers, phones, e-mails and addresses; the gates of detection hold here too."""
-    text = gated(CARD, "credit_card", is_card, text)
-    text = SSN.sub("[REDACTED:ssn]", text)
-    text = gated(PHONE, "phone", lambda d: set(d) != {"0"}, text)
-    return IPV4.sub("[REDACTED:ip_address]", EMAIL.sub("[REDACTED:email]", text))
+    if DIGIT.search(text):
+        text = gated(CARD, "credit_card", is_card, text)
+        text = SSN.sub("[REDACTED:ssn]", text)
+        text = gated(PHONE, "phone", lambda d: set(d) != {"0"}, text)
+    if "@" in text:
+        text = EMAIL.sub("[REDACTED:email]", text)
+    return IPV4.sub("[REDACTED:ip_address]", text) if DIGIT.search(text) else text
 
 
 WIDTHLESS = re.compile("[" + "".join(map(chr, detect.ZERO_WIDTH)) + "]+")
@@ -81,10 +87,16 @@ def decoded(text: str) -> list[Reading]:
     return out
 
 
+def possible(text: str, rules: dict[str, re.Pattern]) -> dict[str, re.Pattern]:
+    """The rules, of any version, one of whose stems the text holds."""
+    mask = detect.stem_mask(text)
+    return {rule: p for rule, p in rules.items() if detect.BIT[rule] & mask}
+
+
 def hits(text: str, rules: dict[str, re.Pattern]) -> list[tuple[str, str, int, int]]:
     """(view, rule, start, end) of all matches, in places of the original text; the raw reading first."""
     others = [r for r in (normalised(text), *decoded(text)) if r.text and r.text != text]
-    return [(r.name, rule, *r.span(*m.span())) for r in (Reading("raw", text), *others) for rule, p in rules.items() for m in p.finditer(r.text) if m.end() > m.start()]
+    return [(r.name, rule, *r.span(*m.span())) for r in (Reading("raw", text), *others) for rule, p in possible(r.text, rules).items() for m in p.finditer(r.text) if m.end() > m.start()]
 
 
 def redact_text(text: str, tag: str | None) -> str:
@@ -100,7 +112,7 @@ def redact_text(text: str, tag: str | None) -> str:
     folded = (tag or "").strip().lower()
     if folded.removesuffix("_basic") in detect.PERSONAL:
         text = redact_pii(text)
-    for rule, p in (INJECTIONS | SECRETS).items():
+    for rule, p in possible(text, INJECTIONS | SECRETS).items():  # a marker holds no match of a rule
         text = p.sub(marker(rule), text)
     return text
 
@@ -159,7 +171,7 @@ class Ruleset:
     def matches(self, text: str, tag: str | None) -> list[tuple[str, int, int]]:
         """(rule, start, end) of all that fires under a tag, in places of the text; what two readings show alike is one match."""
         found = {(rule, a, b) for view, rule, a, b in hits(text, self.injections) if self.views or view == "raw"}
-        found |= {(rule, *m.span()) for rule, p in self.secrets.items() for m in p.finditer(text)}
+        found |= {(rule, *m.span()) for rule, p in possible(text, self.secrets).items() for m in p.finditer(text)}
         prefix = detect.PERSONAL.get((tag or "").strip().lower().removesuffix("_basic"))
         if prefix:
             passes = lambda label, m: label not in self.checks or self.checks[label](re.sub(r"\D", "", m[0]))
@@ -204,5 +216,10 @@ def ruleset_digest() -> str:
 FROZEN_DIGEST = "b68b162ce53c10add77b54593be9fb6a5bb3bfe1d8648f85402e1394331d523a"
 
 
+def drifted_from(digest: Column) -> Column:
+    """Whether rows name another ruleset than the one in force."""
+    return ~digest.eqNullSafe(F.lit(ruleset_digest()))
+
+
 def drifted(frozen: str) -> bool:
     return ruleset_digest() != frozen

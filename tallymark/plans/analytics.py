@@ -329,6 +329,10 @@ def tags_and_ids(spark, sf):
     return n.select("n_name", nested.tag_name("n_name").alias("tag"), document_id(F.col("n_name"), F.lit("2024-01-01"), F.lit("2024-01-31"), F.col("n_nationkey").cast("string")).alias("document_id"))
 
 
-@query("SELECT CAST(unnest(generate_series(DATE '2023-11-01', DATE '2024-03-01', INTERVAL 1 MONTH)) AS DATE) AS month")
+@query("""SELECT CAST(month AS DATE) AS month, count(o_orderkey) AS orders FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS month FROM orders)
+    LEFT JOIN orders ON date_trunc('month', o_orderdate) = month AND o_orderkey % 7 = 0 GROUP BY 1""")
 def month_starts(spark, sf):
-    return dates.month_starts(spark, "2023-11-15", "2024-03-02")
+    """Every month that the orders span, with the orders of a few customers: months without any are there too."""
+    orders = table(spark, sf, "orders")
+    some = orders.where("o_orderkey % 7 = 0").groupBy(F.trunc("o_orderdate", "MONTH").alias("month")).agg(F.count("*").alias("orders"))
+    return dates.months_spanned(orders, "o_orderdate").join(some, "month", "left").select("month", F.coalesce("orders", F.lit(0)).alias("orders"))

@@ -70,12 +70,13 @@ def gated_pii(spark, sf):
     return documents(spark, sf).select("doc_id", D.has_phone(F.col("text")).alias("phone"), D.has_card(F.col("text")).alias("card"))
 
 
-@query("""WITH g AS (SELECT n, string_split(reverse(s), '') AS ds, s FROM (SELECT range AS n, CAST(4000000000000000 + range * 7919 AS VARCHAR) AS s FROM range(5000))),
+@query("""WITH g AS (SELECT n, string_split(reverse(s), '') AS ds, s FROM (SELECT o_orderkey AS n, CAST(4000000000000000 + o_orderkey * 7919 AS VARCHAR) AS s FROM orders)),
     c AS (SELECT n, s, list_sum(list_transform(range(1, len(ds) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(ds[i] AS INTEGER) ELSE CASE WHEN 2 * CAST(ds[i] AS INTEGER) > 9 THEN 2 * CAST(ds[i] AS INTEGER) - 9 ELSE 2 * CAST(ds[i] AS INTEGER) END END)) AS total FROM g)
     SELECT n, total % 10 = 0 AS luhn, starts_with(s, '4') AS issued FROM c""")
 def luhn_check(spark, sf):
-    digits = (F.lit(4_000_000_000_000_000) + F.col("id") * 7919).cast("string")
-    return spark.range(5000).select(F.col("id").alias("n"), numbers.luhn_ok(digits).alias("luhn"), numbers.issued(digits).alias("issued"))
+    """A card number made from each order's key: checksum and issuer."""
+    digits = (F.lit(4_000_000_000_000_000) + F.col("o_orderkey") * 7919).cast("string")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("n"), numbers.luhn_ok(digits).alias("luhn"), numbers.issued(digits).alias("issued"))
 
 
 @query(f"WITH {PLANTED_SQL} SELECT doc_id, {SECRETS_SQL} AS rules FROM d")
@@ -249,11 +250,12 @@ def dedupe_ingest(spark, sf):
     return S.ingest_outcome(batch, stored).select("event_id", "nth", "outcome")
 
 
-@query("""SELECT n, CASE WHEN n % 9 = 0 THEN 'account_pending' WHEN n % 4 = 0 AND n % 3 = 0 THEN 'evaluation_expired' WHEN n % 5 = 0 THEN 'trial_expired' WHEN n % 5 <> 0 AND n % 7 = 0 THEN 'subscription_incomplete' END AS lock FROM (SELECT range AS n FROM range(400))""")
+@query("""SELECT n, CASE WHEN n % 9 = 0 THEN 'account_pending' WHEN n % 4 = 0 AND n % 3 = 0 THEN 'evaluation_expired' WHEN n % 5 = 0 THEN 'trial_expired' WHEN n % 5 <> 0 AND n % 7 = 0 THEN 'subscription_incomplete' END AS lock FROM (SELECT c_custkey AS n FROM customer)""")
 def access_states(spark, sf):
-    n = F.col("id")
+    """What locks each customer's dashboard."""
+    n = F.col("c_custkey")
     now = F.lit("2024-03-01").cast("timestamp")
-    rows = spark.range(400).select(
+    rows = table(spark, sf, "customer").select(
         n.alias("n"), F.when(n % 9 == 0, "pending").otherwise("approved").alias("approval_status"), F.when(n % 4 == 0, "offer").alias("evaluation_offer_id"),
         F.when(n % 3 == 0, F.lit("2024-01-01")).otherwise(F.lit("2024-09-01")).cast("timestamp").alias("evaluation_ends_at"), F.when(n % 5 == 0, "free").otherwise("premium").alias("plan_tier"),
         F.lit("2024-02-01").cast("timestamp").alias("trial_ends_at"), F.when(n % 7 == 0, "incomplete").otherwise("active").alias("subscription_status"), F.lit(None).cast("timestamp").alias("past_due_since"),

@@ -67,6 +67,24 @@ def usage_daily(ledger: DataFrame) -> DataFrame:
     )
 
 
+SKETCH_BITS = 12  # a sketch has 2**12 registers: a standard error of 1.04 / 2**6, or 1.6 %
+
+
+def client_sketches(ledger: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """The rollup's distinct clients: per tenant and UTC day a mergeable sketch beside the exact number of the day.
+
+    Days of sketches merge to weeks, months or any choice of days without reading an event again; the exact numbers do not.
+    """
+    clients = F.col("client_id").cast("string")
+    return ledger.where("client_id IS NOT NULL").groupBy("org_id", utc_day("created_at").alias("day")).agg(F.count_distinct("client_id").alias("clients"), F.hll_sketch_agg(clients, bits).alias("sketch"))
+
+
+def clients_over(sketches: DataFrame, *by) -> DataFrame:
+    """Estimated distinct clients over merged days, and the error that two in three estimates stay within."""
+    merged = sketches.groupBy(*by).agg(F.hll_union_agg("sketch").alias("sketch"), F.max("clients").alias("least"))
+    return merged.withColumn("estimate", F.greatest(F.hll_sketch_estimate("sketch"), F.col("least"))).withColumn("error", F.col("estimate") * 1.04 / 2 ** (SKETCH_BITS / 2)).drop("sketch", "least")
+
+
 def whole_days(ledger: DataFrame, now: str, days_back: int = 2) -> DataFrame:
     """Rows of the days that a rollup pass recomputes: whole days only, so that a pass never makes a day smaller."""
     start = F.date_trunc("DAY", F.to_timestamp(F.lit(now))) - F.make_dt_interval(F.lit(days_back))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import dates, nested, numbers
@@ -12,8 +14,9 @@ from ..operators import predicates as P
 from ..operators import sets as U
 from ..operators import windows as W
 from ..sources.ledger import browse, public_columns
-from ..sources.sinks import export_projection
+from ..sources.sinks import export_projection, upsert_days
 from .registry import query
+from .texts import _shared
 from .views import invoices, ledger, organisations, over_ledger, over_orgs, table
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -33,6 +36,21 @@ def rollup_pass(spark, sf):
     return A.usage_daily(A.whole_days(ledger(spark, sf), "2024-01-20 15:30:00")).select("org_id", "day", "logs_count", "tokens_sum", "breach_count")
 
 
+@query(over_ledger("""SELECT org_id, strftime(created_at, '%Y-%m') AS month, count(DISTINCT client_id) AS clients, TRUE AS close FROM l GROUP BY 1, 2 UNION ALL SELECT NULL, 'all', count(DISTINCT event_id // 3), TRUE FROM l"""))
+def distinct_clients(spark, sf):
+    """Distinct clients by month from a stored rollup of sketches by day, held against the exact number; and over all tenants, more of them."""
+    rows = ledger(spark, sf)
+    path = f"{_shared(spark)}/sketches-{uuid.uuid4().hex}"
+    upsert_days(A.client_sketches(rows.select("org_id", "created_at", "client_id")), f"{path}/by-client")
+    upsert_days(A.client_sketches(rows.select("org_id", "created_at", F.floor(F.col("event_id") / 3).alias("client_id"))), f"{path}/by-third")
+    month = F.date_format("day", "yyyy-MM").alias("month")
+    exact = rows.groupBy("org_id", F.date_format("created_at", "yyyy-MM").alias("month")).agg(F.count_distinct("client_id").alias("clients"))
+    mine = exact.join(A.clients_over(spark.read.parquet(f"{path}/by-client"), "org_id", month), ["org_id", "month"])
+    thirds = rows.agg(F.count_distinct(F.floor(F.col("event_id") / 3)).alias("clients")).select(F.lit(None).cast("long").alias("org_id"), F.lit("all").alias("month"), "clients")
+    both = mine.unionByName(thirds.crossJoin(A.clients_over(spark.read.parquet(f"{path}/by-third"))))  # two single rows
+    return both.select("org_id", "month", "clients", (F.abs(F.col("estimate") - F.col("clients")) <= 3 * F.col("error")).alias("close"))
+
+
 @query(over_ledger("""SELECT event_id, policy_tag, agent, created_at FROM l WHERE org_id = 3 AND created_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'
     AND policy_tag = 'error' AND graded AND breach"""))
 def ledger_filter(spark, sf):

@@ -389,6 +389,24 @@ def test_pages_keep_their_bounds(spark, tmp_path, width):
     paged.unpersist()
 
 
+def test_sketches_of_days_merge_within_their_error(spark):
+    """Measured: 60 unions of up to 30 days against exact numbers; repeats over days count once, nulls not at all."""
+    n = 200_000
+    rows = spark.range(n).select((F.col("id") % 2).alias("org_id"), F.timestamp_seconds(1_700_000_000 + (F.col("id") % 30) * 86_400).alias("created_at"), F.when(F.col("id") % 50 != 0, F.pmod(F.xxhash64("id"), F.lit(60_000))).alias("client_id"))
+    sketches = A.client_sketches(rows).cache()
+    exact = {(r.org_id, r.day): r.clients for r in sketches.collect()}
+    plain = {(r.org_id, r.day): r.n for r in rows.groupBy("org_id", F.to_date("created_at").alias("day")).agg(F.count_distinct("client_id").alias("n")).collect()}
+    assert exact == plain
+    days = sketches.select("day").distinct().orderBy("day").collect()
+    parts = [(k, d.day) for k in range(30) for d in days[: k + 1]]
+    choice = spark.createDataFrame(parts, "k long, day date")
+    got = {(r.org_id, r.k): (r.estimate, r.error) for r in A.clients_over(sketches.join(choice, "day"), "org_id", "k").collect()}
+    want = {(r.org_id, r.k): r.n for r in rows.withColumn("day", F.to_date("created_at")).join(choice, "day").groupBy("org_id", "k").agg(F.count_distinct("client_id").alias("n")).collect()}
+    off = [(got[x][0] - want[x]) / got[x][1] for x in want]
+    assert len(off) == len(got) == 59 and max(map(abs, off)) <= 3 and sum(abs(x) <= 1 for x in off) >= 30
+    sketches.unpersist()
+
+
 # ---- retention -----------------------------------------------------------------------------
 
 

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_slices
@@ -101,7 +101,10 @@ class ShardFile:
 
 
 def write_shards(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: int, level: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard, page_id, digest, with the notes on revisits before the pages they belong to."""
+    """Rows sorted by shard, page_id, digest, with the notes on revisits before the pages they belong to.
+
+    A page that was dealt out over shards is known in each by a note or, without an id, needs none.
+    """
     store, path = file_system(folder)
     current: ShardFile | None = None
     shard = part = -1
@@ -113,20 +116,23 @@ def write_shards(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: int
                     yield current.close()
                 current, shard, part = None, row["shard"], 0
             key = row["page_id"], row["digest"]
-            if row["note"]:
+            if row["kind"]:
                 last, owner = key, row["refers_to"]
                 continue
             if last != key:
                 last, owner = key, None
-            payload = (row["html"] or "").encode()
-            if current is None:
-                current = ShardFile(store, path, shard, part)
-            current.add(gzip_member(record(row["page_id"], row["url"], payload, row["digest"], owner), level), row["page_id"])
-            if owner is None and row["page_id"] is not None and len(payload) >= row["least"]:
-                owner = row["page_id"]  # a repeated row revisits the first
-            if current.size >= roll_bytes:
-                yield current.close()
-                current, part = None, part + 1
+            payload, member, member_owner = (row["html"] or "").encode(), b"", -1
+            for _ in range(row["copies"]):
+                if current is None:
+                    current = ShardFile(store, path, shard, part)
+                if not member or member_owner != owner:
+                    member, member_owner = gzip_member(record(row["page_id"], row["url"], payload, row["digest"], owner), level), owner
+                current.add(member, row["page_id"])
+                if owner is None and row["page_id"] is not None and len(payload) >= row["least"]:
+                    owner = row["page_id"]  # a repeated row revisits the first
+                if current.size >= roll_bytes:
+                    yield current.close()
+                    current, part = None, part + 1
     if current:
         yield current.close()
 
@@ -137,65 +143,109 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, shard_by
     A null html is an empty payload. Of equal payloads of ``least_bytes`` or more the smallest page_id's is the
     response. A row that repeats a page_id and its payload revisits the first; rows without a page_id are responses
     unless a page with an id holds the same payload. No page gives no file. Other columns are not written.
-    The payloads are shuffled once, to their shards; digests and notes are small.
+    The payloads are shuffled once, to their shards; digests and notes are small. Rows of one page and payload are spread over
+    shards by their urls, and equal rows that would fill a shard by themselves travel once for each chunk of them.
     """
     payload = F.coalesce("html", F.lit(""))
-    keyed = pages.select("page_id", "url", "html", F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
-    index = materialize(keyed.select("page_id", "digest", "size"), "warc-index")
-    bounds = shard_bounds(index, shard_bytes)
-    owners = index.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    notes = (
-        index.join(owners, ["digest", "size"])
-        .where(~F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("refers_to").isNotNull())
-        .select("page_id", "digest", "refers_to")
-        .distinct()
-    )
-    rows = notes.withColumn("note", F.lit(True)).unionByName(keyed.select("page_id", "url", "html", "digest").withColumn("note", F.lit(False)), allowMissingColumns=True)
-    rows = with_shard(rows.select(F.lit(0).alias("shard"), "page_id", "digest", "note", "refers_to", "url", "html", F.lit(least_bytes).alias("least")), bounds)
-    sorted_rows = rows.repartitionById(len(bounds), F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", F.desc("note"), "url")
+    keyed = pages.select("page_id", "url", "html", F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).cast("long").alias("size"), url_hash(F.col("url")).alias("uh"))
+    index = materialize(keyed.groupBy("page_id", "digest", "size", "uh").agg(F.count("*").alias("n")), "warc-index")
+    width = shard_width(index, shard_bytes)
+    hot = index.where((F.col("n") > 1) & (F.col("n") * F.col("size") > width))
+    bounds = shard_bounds(index, width)
+    owners = index.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.sum("n").alias("n")).where("n > 1 AND refers_to IS NOT NULL")
+    notes = index.join(owners.drop("n"), ["digest", "size"]).groupBy("page_id", "digest", "refers_to").agg(F.sum("n").alias("n"), F.min("uh").alias("uh"))  # where its first record is
+    own = F.col("page_id").eqNullSafe(F.col("refers_to"))
+    notes = notes.withColumn("kind", F.when(~own, OTHERS).when(F.col("n") > 1, SAME)).where("kind IS NOT NULL").drop("n")
+    records = keyed.withColumns({"chunk": F.lit(0), "copies": F.lit(1).cast("long")})
+    if not hot.isEmpty():  # each holds a shard's bytes by itself: there are no more of them than shards
+        same = [F.col(c).eqNullSafe(F.col(f"hot_{c}")) for c in ("page_id", "digest", "uh")]
+        keys = F.broadcast(hot.select(*[F.col(c).alias(f"hot_{c}") for c in ("page_id", "digest", "uh")]))
+        equal = keyed.join(keys, same, "left_semi").groupBy("page_id", "url", "digest", "size", "uh").agg(F.first("html").alias("html"), F.count("*").alias("n"))
+        records = records.join(keys, same, "left_anti").unionByName(in_chunks(equal, width))
+    rows = notes.unionByName(records.drop("size").withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    rows = with_shard(rows.select(F.lit(0).alias("shard"), "page_id", "digest", F.coalesce("uh", F.lit(b"")).alias("uh"), F.coalesce("chunk", F.lit(0)).alias("chunk"), "kind", "refers_to", "url", "html", "copies", F.lit(least_bytes).alias("least")), bounds)
+    sorted_rows = rows.repartitionById(len(bounds), F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", F.desc("kind"), "uh", "url", "chunk")
     store, path = file_system(folder)
     store.create_dir(path, recursive=True)
     return materialize(sorted_rows.mapInArrow(lambda b: write_shards(b, folder, roll_bytes, level), MANIFEST), "warc-manifest")
 
 
-def sort_keys(page_ids: pa.Array, digests: pa.Array) -> np.ndarray:
-    """Bytes that order as (page_id, digest) does, null ids first."""
+OTHERS, SAME = 1, 2  # notes: a page's payload is another page's; a page's payload is in its own first record
+
+
+def url_hash(url: Column) -> Column:
+    """Eight bytes in whose order the rows of one page and payload are dealt out."""
+    return F.substring(F.unhex(F.sha1(F.coalesce(url, F.lit("")))), 1, 8)
+
+
+def in_chunks(equal: DataFrame, width: int) -> DataFrame:
+    """Rows that stand for ``n`` equal ones as chunks of about ``width`` bytes: each travels once and is written ``copies`` times."""
+    chunks = F.greatest(F.ceil(F.col("n") * F.col("size") / F.lit(width)), F.lit(1))
+    rows = equal.withColumn("each", F.ceil(F.col("n") / chunks)).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks.cast("int") - 1)))
+    rows = rows.withColumn("copies", F.least(F.col("each"), F.col("n") - F.col("chunk") * F.col("each")).cast("long"))
+    return rows.where("copies > 0").drop("n", "each")
+
+
+def sort_keys(page_ids: pa.Array, digests: pa.Array, url_hashes: list[bytes], chunks: np.ndarray) -> np.ndarray:
+    """Bytes that order as (page_id, digest, url hash, chunk) does, null ids first."""
     known = page_ids.is_valid().to_numpy(zero_copy_only=False)
     ids = page_ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
-    heads = np.zeros((len(ids), 9), np.uint8)
-    heads[:, 0] = known
-    heads[:, 1:] = np.where(known, ids, 0).astype(">u8").view(np.uint8).reshape(-1, 8)
-    return np.concatenate([heads, np.frombuffer(b"".join(digests.to_pylist()), np.uint8).reshape(-1, 20)], axis=1).copy().view("S29").ravel()
+    keys = np.zeros((len(ids), 41), np.uint8)
+    keys[:, 0] = known
+    keys[:, 1:9] = np.where(known, ids, 0).astype(">u8").view(np.uint8).reshape(-1, 8)
+    keys[:, 9:29] = np.frombuffer(b"".join(digests.to_pylist()), np.uint8).reshape(-1, 20)
+    keys[:, 29:37] = np.frombuffer(b"".join(h.ljust(8, b"\0") for h in url_hashes), np.uint8).reshape(-1, 8)
+    keys[:, 37:] = chunks.astype(">u4").view(np.uint8).reshape(-1, 4)
+    return keys.view("S41").ravel()
+
+
+def shard_width(index: DataFrame, shard_bytes: int) -> int:
+    """Bytes of a shard; over ``MOST_SHARDS`` of them they are larger."""
+    total = index.agg(F.sum(F.col("n") * F.col("size"))).first()[0] or 0
+    return max(shard_bytes, -(-total // MOST_SHARDS), 1)
 
 
-def shard_bounds(index: DataFrame, shard_bytes: int) -> np.ndarray:
+def shard_bounds(index: DataFrame, width: int) -> np.ndarray:
     """The sort key at which each shard begins: where the running total of bytes, over all pages in order, passes a multiple.
 
     The total is summed by ranges of pages side by side and then over the ranges, one row each, so the bounds depend on the
-    pages alone, however ids are spread. There is one bound a shard, ``MOST_SHARDS`` at most: beyond, shards are larger.
+    pages alone, however ids are spread and rows repeat. There is one bound a shard.
     """
-    total = index.agg(F.sum("size")).first()[0] or 0
-    width = max(shard_bytes, -(-total // MOST_SHARDS), 1)
-    order = ["page_id", "digest"]
+    order = ["page_id", "digest", "uh", "chunk"]
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(index.groupBy(*order).agg(F.sum("size").alias("size")).repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "warc-ranges")
+    units = in_chunks(index, width).withColumn("size", F.col("size") * F.col("copies"))
+    ranged = materialize(units.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "warc-ranges")
     before = ranged.groupBy("range").agg(F.sum("size").alias("bytes")).withColumn("bytes", F.sum("bytes").over(Window.orderBy("range")) - F.col("bytes"))
     running = F.sum("size").over(Window.partitionBy("range").orderBy(*order)) - F.col("size") + F.col("bytes")
     placed = ranged.join(before, "range").withColumn("shard", F.floor(running / F.lit(width)))
-    first = F.min(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "digest")).alias("first")
-    rows = placed.groupBy("shard").agg(first).select("first.page_id", "first.digest").toArrow()
-    bounds = np.sort(sort_keys(rows["page_id"].combine_chunks(), rows["digest"].combine_chunks())) if rows.num_rows else np.zeros(0, "S29")
-    return np.concatenate([np.zeros(1, "S29"), bounds[1:]])  # whatever comes before the second bound is in the first shard
+    first = F.min(F.struct(F.col("page_id").isNotNull().alias("known"), *order)).alias("first")
+    rows = placed.groupBy("shard").agg(first).select("first.*").toArrow()
+    columns = [rows[c].combine_chunks() for c in order]
+    bounds = np.sort(sort_keys(columns[0], columns[1], columns[2].to_pylist(), columns[3].to_numpy())) if rows.num_rows else np.zeros(0, "S41")
+    return np.concatenate([np.zeros(1, "S41"), bounds[1:]])  # whatever comes before the second bound is in the first shard
 
 
 def with_shard(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
-    """Rows (shard, page_id, digest, ..) with the number of the shard that their page belongs to."""
+    """Rows (shard, page_id, digest, uh, chunk, kind, ..) with the number of the shard that they belong to.
+
+    A note goes to every shard that rows of its page and payload can be in, one of kind ``SAME`` to all but the first of them.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(bounds)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard = np.searchsorted(shared.value, sort_keys(batch.column(1), batch.column(2)), side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), *batch.columns[1:]], names=batch.schema.names)
+            if not batch.num_rows:
+                continue
+            kind = batch["kind"].to_numpy()
+            shard = lambda hashes, chunks: np.searchsorted(shared.value, sort_keys(batch["page_id"], batch["digest"], hashes, chunks), side="right") - 1  # noqa: B023, E731
+            first = shard(batch["uh"].to_pylist(), batch["chunk"].to_numpy())
+            last = first if not kind.any() else np.where(kind > 0, shard([b"\xff" * 8] * len(kind), np.full(len(kind), 2**32 - 1)), first)
+            first = first + (kind == SAME)
+            times = np.maximum(last - first + 1, 0)
+            row = np.repeat(np.arange(len(kind)), times)
+            number = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            out = batch.take(pa.array(row)) if len(row) != len(kind) or kind.any() else batch
+            yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), *out.columns[1:]], names=batch.schema.names)
 
     return rows.mapInArrow(place, rows.schema)
 

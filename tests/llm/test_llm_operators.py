@@ -541,6 +541,31 @@ def test_warc_shards_are_even_whatever_the_ids(spark, tmp_path):
     assert sorted((r.page_id or 0, r.url, bytes(r.payload).decode()) for r in got) == sorted((i or 0, u, h) for i, u, h in rows)
 
 
+@pytest.mark.parametrize("urls", [3000, 1, 7])
+def test_warc_spreads_equal_pages(spark, tmp_path, urls):
+    """Thousands of rows with no id and one payload, and of one id and one payload: even shards, one response of an id."""
+    body = "".join(random.Random(1).choices("abcdefgh ", k=2000))
+    rows = [(None, f"u{k % urls}", body) for k in range(3000)] + [(7, f"v{k % urls}", body + "!") for k in range(3000)] + [(5, "w", body + "!"), (9, "x", body + "?"), (9, "y", body + "?")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    manifest = warc.write_archives(pages, str(tmp_path / "a"), shard_bytes=100_000)
+    shards = {}
+    for m in manifest.collect():
+        shards[m.file.split("-")[1]] = shards.get(m.file.split("-")[1], 0) + m.records
+    assert sum(shards.values()) == len(rows) and max(shards.values()) <= 200 and len(shards) > 50
+    got = warc.read_archives(manifest, str(tmp_path / "a")).collect()
+    assert sorted((r.page_id or 0, r.url) for r in got) == sorted((i or 0, u) for i, u, _ in rows)
+    by = lambda i: [r for r in got if r.page_id == i]
+    assert all(r.record_type == "response" and bytes(r.payload).decode() == body for r in by(None))
+    assert all((r.record_type, r.refers_to, r.payload_bytes) == ("revisit", 5, 2001) for r in by(7)) and by(5)[0].record_type == "response"
+    assert sorted((r.record_type, r.refers_to) for r in by(9)) == [("response", None), ("revisit", 9)]
+    alone = spark.createDataFrame([(3, f"v{k % urls}", body) for k in range(3000)], "page_id long, url string, html string")
+    written = warc.write_archives(alone.repartition(3), str(tmp_path / "b"), shard_bytes=100_000)
+    mine = warc.read_archives(written, str(tmp_path / "b")).groupBy("record_type", "refers_to").count().collect()
+    assert sorted(map(tuple, mine), key=str) == [("response", None, 1), ("revisit", 3, 2999)]
+    again = warc.write_archives(alone.repartition(8), str(tmp_path / "c"), shard_bytes=100_000)
+    assert sorted((m.file, m.sha256) for m in written.collect()) == sorted((m.file, m.sha256) for m in again.collect())
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(5, "http://a/", "<p>é</p>"), (3, "http://b/", "<p>é</p>"), (9, None, None), (2, "u\r\nX: y", ""), (7, "http://c/", "x" * 300_000), (7, "http://c/", "x" * 300_000), (None, "n", "<p>é</p>"), (11, "http://d/", "solo"), (12, "e", "a\r\n\r\nb\x00")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("note", F.lit(True)).repartition(3)

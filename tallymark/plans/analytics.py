@@ -14,6 +14,7 @@ from ..operators import predicates as P
 from ..operators import sets as U
 from ..operators import windows as W
 from ..sources.ledger import browse, public_columns
+from ..sources.registry import entry, overview
 from ..sources.sinks import export_projection, upsert_days
 from .registry import query
 from .texts import _shared
@@ -315,6 +316,39 @@ def table_browser(spark, sf):
     return browse(df, ["c_mktsegment"], {"c_mktsegment": "BUILDING"}, ["c_name"], "7", "c_custkey", 2, 25)[0]
 
 
+#: The given tables as a registry: key, searched and filterable columns; and a question to each.
+REGISTRY = {
+    "region": entry("r_regionkey", "r_name", "r_name"), "nation": entry("n_nationkey", "n_name", "n_regionkey"), "customer": entry("c_custkey", "c_name c_mktsegment", "c_mktsegment c_nationkey"), "supplier": entry("s_suppkey", "s_name", "s_nationkey"),
+    "part": entry("p_partkey", "p_name p_type", "p_brand p_size"), "orders": entry("o_orderkey", "o_orderpriority", "o_orderstatus o_custkey"), "lineitem": entry("l_orderkey", "", "l_returnflag l_linestatus"), "events": entry("event_id", "event_type", "user_id event_type"),
+    "documents": entry("doc_id", "source lang", "lang source"), "embeddings": entry("vec_id", "", "label"), "pages": entry("page_id", "url", ""), "benchmark": entry("item_id", "text", ""), "labels": entry("doc_id", "", "quality toxic"), "conversations": entry("conv_id", "role", "role turn"),
+}
+ASKED = {
+    "region": {"q": "A"}, "nation": {"filters": {"n_regionkey": "2", "n_name": "ignored"}}, "customer": {"filters": {"c_mktsegment": "BUILDING"}, "q": "7", "page": 2, "limit": 25}, "supplier": {"q": "1", "limit": 10}, "part": {"filters": {"p_size": "7"}},
+    "orders": {"filters": {"o_orderstatus": "F"}, "page": 3, "limit": 200}, "lineitem": {"filters": {"l_returnflag": "R", "l_orderkey": "1"}, "limit": 200}, "events": {"filters": {"event_type": "click"}, "limit": 100}, "documents": {"filters": {"lang": "fr"}, "q": "src1"},
+    "embeddings": {"filters": {"label": "3"}}, "pages": {"q": "1"}, "benchmark": {"q": "e", "page": 2, "limit": 15}, "labels": {"filters": {"toxic": "1"}}, "conversations": {"filters": {"turn": "0"}, "q": "user"},
+}
+
+
+def registry_sql() -> str:
+    """What each question comes to in SQL; filters that a table does not allow are left out."""
+    parts = []
+    for name, how in ASKED.items():
+        spec = REGISTRY[name]
+        conditions = [f"CAST({c} AS VARCHAR) = '{v}'" for c, v in how.get("filters", {}).items() if c in spec.filterable]
+        if how.get("q") and spec.search:
+            conditions.append("(" + " OR ".join(f"coalesce(CAST({c} AS VARCHAR), '') ILIKE '%{how['q']}%'" for c in spec.search) + ")")
+        where, limit = " AND ".join(conditions) or "TRUE", how.get("limit", 50)
+        page = f"SELECT CAST({spec.key} AS VARCHAR) AS key FROM {name} WHERE {where} ORDER BY {spec.key} DESC LIMIT {limit} OFFSET {(how.get('page', 1) - 1) * limit}"
+        parts.append(f"SELECT '{name}' AS table_name, total, key FROM (SELECT count(*) AS total FROM {name} WHERE {where}) LEFT JOIN ({page}) ON TRUE")
+    return " UNION ALL ".join(parts)
+
+
+@query(registry_sql())
+def table_registry(spark, sf):
+    """Every given table through the registry: the honest total and the keys of the page that was asked for."""
+    return overview(lambda name: table(spark, sf, name), REGISTRY, ASKED)
+
+
 @query(over_ledger("""SELECT seq, event_type, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') AS created_at, policy_tag, agent, token_count, grading_status FROM l WHERE org_id = 1"""))
 def export_columns(spark, sf):
     rows = export_projection(public_columns(ledger(spark, sf).where(F.col("org_id") == 1).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))))

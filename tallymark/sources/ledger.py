@@ -70,7 +70,7 @@ def sidecar(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 #: Columns that never leave a table, and the ending of encrypted keys: fixed values.
-NEVER_SHOWN = {"password_hash", "totp_secret", "recovery_codes", "key_hash", "secret", "token_hash", "session_token", "code_hash"}
+NEVER_SHOWN = {"password_hash", "totp_secret", "recovery_codes", "key_hash", "api_key_hash", "payload", "secret", "token_hash", "session_token", "code_hash"}
 ENCRYPTED_ENDING = "_key_enc"
 
 

@@ -31,6 +31,7 @@ from tallymark.plans.texts import documents
 from tallymark.schemas import GENESIS
 from tallymark.sources import exports as X
 from tallymark.sources import ledger as L
+from tallymark.sources import registry as Y
 from tallymark.sources import retention as V
 from tallymark.sources import sinks as K
 from tallymark.streaming import ingest as S
@@ -407,6 +408,23 @@ def test_sketches_of_days_merge_within_their_error(spark):
     sketches.unpersist()
 
 
+def test_registry_guards_what_it_opens(spark):
+    rows = spark.createDataFrame([(k, f"n{k % 3}", f"h{k}", f"p{k}", f"k{k}") for k in range(300)], "id long, name string, key_hash string, payload string, qwen_key_enc string")
+    own = {"api_keys": Y.entry("id", "name key_hash", "id name key_hash qwen_key_enc gone")}
+    page = lambda **how: Y.open_page(lambda n: rows, own, "api_keys", **how)
+    got, total = page(filters={"name": "n1"}, page=2, limit=60)
+    assert got.columns == ["id", "name"] and total.first().total == 100 and [r.id for r in got.collect()] == [k for k in range(299, -1, -1) if k % 3 == 1][60:]
+    for secret in ({"key_hash": "h5"}, {"qwen_key_enc": "k5"}, {"gone": "x"}, {"payload": "p5"}, {"name": ""}):
+        assert page(filters=secret)[1].first().total == 300  # no filter tells a hidden value
+    assert page(q="h5")[1].first().total == 0 and page(q="N2")[1].first().total == 100
+    with pytest.raises(KeyError):
+        Y.open_page(lambda n: rows, own, "users")
+    for bad in ({"page": 0}, {"limit": 0}, {"limit": 201}):
+        with pytest.raises(ValueError, match="pages"):
+            page(**bad)
+    assert all(s.key for s in Y.PLATFORM.values()) and not any(Y.hidden(c) for s in Y.PLATFORM.values() for c in (*s.search, *s.filterable))
+
+
 # ---- retention -----------------------------------------------------------------------------
 
 

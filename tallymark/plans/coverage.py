@@ -626,6 +626,14 @@ def ruleset_drift(spark, sf):
 MONTHS = "mo AS (SELECT strftime(created_at, '%Y-%m') AS month, count(*) AS n FROM l GROUP BY 1), d AS (SELECT CAST(max(created_at) AS DATE) AS today FROM l)"
 
 
+def kept(spark, df: DataFrame, name: str) -> DataFrame:
+    """A query's rows in a folder of their own; the table that they came from is dropped."""
+    path = folder(spark, "kept")
+    df.write.parquet(f"{path}/rows")
+    spark.sql(f"DROP TABLE {name}")
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")
+
+
 def _today(rows: DataFrame) -> date:
     return rows.agg(F.max("created_at")).first()[0].date()
 
@@ -641,7 +649,8 @@ def retained_months(spark, sf):
     V.make_months(spark, name, _today(rows))
     V.drop_expired(spark, name, _today(rows), 10)
     months = spark.createDataFrame([(m,) for m in V.months_of(spark, name)], "month string")
-    return months.join(spark.table(name).groupBy("month").agg(F.count("*").alias("n")), "month", "left").select("month", F.coalesce("n", F.lit(0)).alias("n"))
+    counted = months.join(spark.table(name).groupBy("month").agg(F.count("*").alias("n")), "month", "left").select("month", F.coalesce("n", F.lit(0)).alias("n"))
+    return kept(spark, counted, name)
 
 
 @query(over_ledger("SELECT event_id, org_id FROM l, (SELECT CAST(max(created_at) AS DATE) AS today FROM l) WHERE created_at >= today - 12"))
@@ -651,7 +660,7 @@ def retained_actions(spark, sf):
     base, name = folder(spark, "actions"), f"actions_{uuid.uuid4().hex}"
     rows.write.option("path", f"{base}/first").saveAsTable(name)
     V.keep_younger(spark, name, "created_at", _today(rows), 12, base)
-    return spark.table(name).select("event_id", "org_id")
+    return kept(spark, spark.table(name).select("event_id", "org_id"), name)
 
 
 @query("SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")

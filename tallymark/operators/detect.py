@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import cache, reduce
 from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import rulesets
 from ..functions.nested import resolved_tag
@@ -25,7 +23,7 @@ STEMS = {
     "injection.reveal_system_prompt": ("prompt", "message", "instruction"),
     "injection.jailbreak": ("anything", "jailbreak", "mode"),
     "injection.dan": ("dan",),
-    "injection.multilingual_override": ("instru", "istruzi", "weisung", "leitung", "vorgabe", "wijzing", "инструкц", "указани", "指令", "指示", "提示", "要求", "命令"),
+    "injection.multilingual_override": ("précédent", "precedent", "antérieur", "anterieur", "anterior", "previas", "prévias", "vorherigen", "vorigen", "bisherigen", "obigen", "vorige", "eerdere", "voorgaande", "предыдущие", "忽略", "無視"),  # rarer than its nouns and verbs
     "secret.openai_key": ("sk-",),
     "secret.aws_access_key": ("akia",),
     "secret.private_key": ("private key",),
@@ -85,7 +83,15 @@ def labels(cases: dict[str, Column]) -> Column:
 
 
 def detect_pii(text: Column) -> Column:
-    return labels({"email": text.rlike(EMAIL), "ssn_pattern": text.rlike(SSN), "phone": has_phone(text), "ip_address": text.rlike(IPV4), "credit_card": has_card(text)})
+    """Labels of all personal data; a pattern runs only where a character stands that each of its matches holds."""
+
+    def of(t: Column) -> Column:
+        return labels({
+            "email": F.contains(t, F.lit("@")) & t.rlike(EMAIL), "ssn_pattern": F.contains(t, F.lit("-")) & t.rlike(SSN), "phone": t.rlike(r"(?U)\d{3}") & has_phone(t),
+            "ip_address": F.contains(t, F.lit(".")) & t.rlike(IPV4), "credit_card": t.rlike("[1-9]") & has_card(t),
+        })
+
+    return computed(text, of)
 
 
 @cache
@@ -118,16 +124,9 @@ def stem_mask(text: str) -> int:
     return mask
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("reading", T.StringType()), T.StructField("mask", T.LongType())])))
-def candidates(readings: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Of a text's readings those that hold a stem of one of the wanted rules, with the rules that they may fire."""
-
-    def one(own: list[str] | None, wanted: int) -> list[dict]:
-        masks = [(r, stem_mask(r) & wanted) for r in (own if own is not None else ()) if r is not None]
-        return [{"reading": r, "mask": m} for r, m in masks if m]
-
-    for own, wanted in readings:
-        yield pd.Series([one(r, w) for r, w in zip(own, wanted, strict=True)])
+def computed(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once for each row, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def fired_by_mask(text: Column, mask: Column, rules: dict[str, str]) -> Column:
@@ -137,9 +136,14 @@ def fired_by_mask(text: Column, mask: Column, rules: dict[str, str]) -> Column:
 
 def fired_in(readings: Column, rules: dict[str, str]) -> Column:
     """Sorted names of the rules whose pattern occurs in one of the readings; a pattern runs only where one of its stems stands."""
-    wanted = F.lit(reduce(or_, [BIT[r] for r in rules])).cast("long")
-    found = F.transform(candidates(readings, wanted), lambda c: fired_by_mask(c["reading"], c["mask"], rules))
-    return F.array_sort(F.array_distinct(F.flatten(found)))
+
+    def one(c: Column) -> Column:
+        may = lambda r: reduce(or_, [F.contains(c["lower"], F.lit(stem)) for stem in STEMS[r]], c["odd"])
+        return labels({r: may(r) & c["reading"].rlike(p) for r, p in rules.items()})
+
+    odd = lambda r: reduce(or_, [F.contains(r, F.lit(letter)) for letter in ODD_LETTERS])
+    lowered = F.transform(readings, lambda r: F.struct(r.alias("reading"), F.lower(r).alias("lower"), odd(r).alias("odd")))
+    return F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform(lowered, one)))), F.array().cast("array<string>"))
 
 
 def fired(text: Column, rules: dict[str, str]) -> Column:
@@ -179,9 +183,11 @@ def decoded_runs(text: Column) -> Column:
 
 def views(text: Column) -> Column:
     """The readings of a text: as it is, normalised, and each decoded run; the empty and the repeated left out."""
-    normal = joined_letters(visible(text))
-    others = F.concat(F.array(normal), decoded_runs(text))
-    return F.concat(F.array(text), F.filter(others, lambda v: (v != "") & (v != text)))
+    def own(t: Column) -> Column:
+        others = F.concat(F.array(joined_letters(visible(t))), decoded_runs(t))
+        return F.concat(F.array(t), F.filter(others, lambda v: (v != "") & (v != t)))
+
+    return computed(text, own)
 
 
 def injections(text: Column) -> Column:
@@ -193,8 +199,12 @@ def prompt_rules(text: Column, tag: Column) -> Column:
     """All rules a prompt fires under a tag: injections and secrets always, personal data where the tag asks for it."""
     own = resolved_tag(tag)
     prefix = F.when(own == "hipaa", "phi").when(own == "gdpr", "pii")
-    personal = F.when(prefix.isNotNull(), F.transform(detect_pii(text), lambda x: F.concat(prefix, F.lit("."), x))).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_distinct(F.concat(injections(text), fired(text, SECRETS), personal)))
+
+    def of(t: Column) -> Column:
+        personal = F.when(prefix.isNotNull(), F.transform(detect_pii(t), lambda x: F.concat(prefix, F.lit("."), x))).otherwise(F.array().cast("array<string>"))
+        return F.array_sort(F.array_distinct(F.concat(injections(t), fired(t, SECRETS), personal)))
+
+    return computed(text, of)
 
 
 def response_rules(text: Column, tag: Column | None = None) -> Column:

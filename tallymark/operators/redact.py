@@ -7,7 +7,7 @@ import json
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,11 +54,11 @@ def redact_pii(text: str) -> str:
     """Cards first, then social security numbers, phones, e-mails and addresses; the gates of detection hold here too."""
     if DIGIT.search(text):
         text = gated(CARD, "credit_card", is_card, text)
-        text = SSN.sub("[REDACTED:ssn]", text)
+        text = SSN.sub("[REDACTED:ssn]", text) if "-" in text else text
         text = gated(PHONE, "phone", lambda d: set(d) != {"0"}, text)
     if "@" in text:
         text = EMAIL.sub("[REDACTED:email]", text)
-    return IPV4.sub("[REDACTED:ip_address]", text) if DIGIT.search(text) else text
+    return IPV4.sub("[REDACTED:ip_address]", text) if "." in text and DIGIT.search(text) else text
 
 
 WIDTHLESS = re.compile("[" + "".join(map(chr, detect.ZERO_WIDTH)) + "]+")
@@ -117,14 +117,24 @@ def redact_text(text: str, tag: str | None) -> str:
     return text
 
 
-@F.pandas_udf(T.StringType())
-def pii_redacted(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else redact_pii(t))
+SLICE = 256  # rows that are Python objects at a time: of the others an Arrow batch holds the bytes only
 
 
-@F.pandas_udf(T.StringType())
-def redacted(text: pd.Series, tag: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else redact_text(t, g) for t, g in zip(text, tag, strict=True)])
+def by_slices(one: Callable[..., object], kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """``one`` of each row, null where its first column is, a slice of rows after the other."""
+    rows = lambda k: zip(*(c.slice(k, SLICE).to_pylist() for c in columns), strict=True)
+    parts = [pa.array([None if row[0] is None else one(*row) for row in rows(k)], kind) for k in range(0, len(columns[0]), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+@F.arrow_udf(T.StringType())
+def pii_redacted(text: pa.Array) -> pa.Array:
+    return by_slices(redact_pii, pa.string(), text)
+
+
+@F.arrow_udf(T.StringType())
+def redacted(text: pa.Array, tag: pa.Array) -> pa.Array:
+    return by_slices(redact_text, pa.string(), text, tag)
 
 
 def _walk(value: object, tag: str | None) -> object:
@@ -135,10 +145,10 @@ def _walk(value: object, tag: str | None) -> object:
     return [_walk(v, tag) for v in value] if isinstance(value, list) else value
 
 
-@F.pandas_udf(T.StringType())
-def redacted_document(document: pd.Series, tag: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def redacted_document(document: pa.Array, tag: pa.Array) -> pa.Array:
     """A JSON document of the same shape with every string leaf redacted."""
-    return pd.Series([None if d is None else json.dumps(_walk(json.loads(d), t), ensure_ascii=False) for d, t in zip(document, tag, strict=True)])
+    return by_slices(lambda d, t: json.dumps(_walk(json.loads(d), t), ensure_ascii=False), pa.string(), document, tag)
 
 
 def without_markers(text: Column) -> Column:
@@ -182,11 +192,16 @@ class Ruleset:
 RULESETS = {v: Ruleset(v) for v in rulesets.VERSIONS}
 
 
-@F.pandas_udf(MATCHES)
-def replayed(text: pd.Series, version: pd.Series, tag: pd.Series) -> pd.Series:
+@F.arrow_udf(MATCHES)
+def replayed(text: pa.Array, version: pa.Array, tag: pa.Array) -> pa.Array:
     """All matches of a text under the ruleset version and the tag that its row names, with spans; null for an unknown version."""
-    rows = zip(text, map(RULESETS.get, version), tag, strict=True)
-    return pd.Series([None if own is None or t is None else [dict(zip(("rule", "start", "end"), m, strict=True)) for m in own.matches(t, g)] for t, own, g in rows])
+
+    def one(t: str, v: str | None, g: str | None) -> list[dict] | None:
+        own = RULESETS.get(v)
+        return None if own is None else [dict(zip(("rule", "start", "end"), m, strict=True)) for m in own.matches(t, g)]
+
+    kind = pa.list_(pa.struct([("rule", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    return by_slices(one, kind, text, version, tag)
 
 
 def explained(rows: DataFrame, known: DataFrame, commitment: Column) -> DataFrame:

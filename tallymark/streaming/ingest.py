@@ -27,16 +27,17 @@ def once(events: DataFrame, late: str = "2 days", at: str = "created_at") -> Dat
 
 
 def numbered_by_client(events: DataFrame) -> DataFrame:
-    """A gapless client_seq for each client, counted in state across batches."""
+    """A gapless client_seq for each client, counted in state across batches.
+
+    A key's rows of one micro-batch come in any number of frames and in any order; they are put in order together (two numbers a row).
+    """
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (n,) = state.get if state.exists else (0,)
-        for frame in frames:
-            frame = frame.sort_values("event_id")
-            frame["client_seq"] = range(n + 1, n + 1 + len(frame))
-            n += len(frame)
-            yield frame[["client_id", "event_id", "client_seq"]]
-        state.update((n,))
+        rows = pd.concat(list(frames)).sort_values("event_id")
+        rows["client_seq"] = range(n + 1, n + 1 + len(rows))
+        state.update((n + len(rows),))
+        yield rows[["client_id", "event_id", "client_seq"]]
 
     return events.select("client_id", "event_id").groupBy("client_id").applyInPandasWithState(count, "client_id long, event_id long, client_seq long", "n long", "append", GroupStateTimeout.NoTimeout)
 

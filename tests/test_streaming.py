@@ -157,6 +157,29 @@ def test_repeats_cost_no_number(spark, tmp_path):
     assert len(again) == len(got) + 4
 
 
+def test_order_holds_over_arrow_batches(spark, tmp_path):
+    """A key's rows that reach Python in several Arrow batches, and not in order, are worked off in order."""
+    n = 40
+    ids = [(k * 17) % n + 1 for k in range(n)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        sent = batches(spark, str(tmp_path / "sent"), "client_id long, event_id long", [[(1, k) for k in ids]])
+        numbers = append(S.numbered_by_client(sent), tmp_path, "plain")
+        queued = append(Y.enqueued(sent), tmp_path, "queued", **Y.WITHOUT_IDLE_BATCHES)
+        at = lambda k: datetime(2024, 1, 1) + timedelta(hours=k)
+        effects = batches(spark, str(tmp_path / "effects"), "org_id long, at timestamp", [[(1, at(k)) for k in ids]])
+        through = append(Y.marked(effects, "org_id", window_hours=10, late="400 hours"), tmp_path, "through")
+        kinds = ["failed"] * 4 + ["ok", "new"]
+        lives = batches(spark, str(tmp_path / "happens"), "row_id long, kind string, at timestamp, jitter double", [[(1, kind, at(10 - k if kind == "failed" else 20 if kind == "ok" else 1), 1.0) for k, kind in enumerate(kinds)]])
+        lived = append(Y.deliveries(lives), tmp_path, "lives", **Y.WITHOUT_IDLE_BATCHES)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.event_id, r.client_seq) for r in numbers) == [(k, k) for k in range(1, n + 1)]
+    assert sorted((r.event_id, r.client_seq, r.repeated) for r in queued) == [(k, k, False) for k in range(1, n + 1)]
+    assert sorted(r.at for r in through) == [at(1), at(11), at(21), at(31)]
+    assert sorted((r.outcome, r.attempts) for r in lived) == [("done", 4), ("due", 0), *[("waiting", k) for k in (1, 2, 3, 4)]]
+
+
 def test_life_of_a_delivery(spark, tmp_path):
     """Failures wait longer each time and a timer makes them due; the fifth is dead; a restart repeats nothing."""
     at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)

@@ -13,20 +13,31 @@ from pyspark.sql import functions as F
 RANGE_ROWS = 1 << 18  # rows of a range
 
 
-def previous(rows: DataFrame, keys: list[str], order: str, values: list[str], width: int = RANGE_ROWS) -> DataFrame:
+def previous(rows: DataFrame, keys: list[str], order: str, values: list[str], width: int = RANGE_ROWS, sums: tuple[str, ...] = (), beside: DataFrame | None = None) -> DataFrame:
     """Each row with ``before_<value>`` of the row before it in its key, null for a key's first row.
 
     ``order`` is a whole number that is dense and hardly repeats in a key, as chain and client numbers are: a range is
     ``width`` numbers, so it holds about as many rows at most, and ranges grow in number with the ledger. Rows of one number
-    stay together, in any order.
+    stay together, in any order. ``total_<c>`` is the sum of each of ``sums`` over the rows before in the key. ``beside`` has one row
+    a key, whose columns every row of the key gets, null where there is none: they travel in the boundary rows, so rows are dealt once.
     """
-    last = f"_{order}"
-    placed = rows.withColumn("_range", F.floor(F.col(order) / width)).withColumn("_values", F.struct(*values))
-    ends = placed.groupBy(*keys, "_range").agg(F.max_by("_values", order).alias("_values"))
-    carried = ends.withColumn("_values", F.lag("_values").over(Window.partitionBy(*keys).orderBy("_range"))).where("_values IS NOT NULL")
-    both = placed.withColumn("_row", F.lit(1)).withColumn(last, F.col(order)).unionByName(carried.withColumn("_row", F.lit(0)), allowMissingColumns=True)
-    before = F.lag("_values").over(Window.partitionBy(*keys, "_range").orderBy("_row", last))
-    return both.withColumn("_before", before).where("_row = 1").withColumns({f"before_{v}": F.col(f"_before.{v}") for v in values}).drop("_range", "_values", "_row", "_before", last)
+    placed = rows.withColumn("_range", F.floor(F.col(order) / width)).withColumns({f"_{c}": F.col(c) for c in sums})
+    ends = placed.groupBy(*keys, "_range").agg(F.max_by(F.struct(*values), order).alias("_values"), *[F.sum(f"_{c}").alias(f"_{c}") for c in sums])
+    by_range = Window.partitionBy(*keys).orderBy("_range")
+    earlier = by_range.rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_values", F.lag("_values").over(by_range)).withColumns({f"_{c}": F.sum(f"_{c}").over(earlier) for c in sums})
+    more = [c for c in beside.columns if c not in keys] if beside is not None else []
+    if beside is not None:
+        carried = carried.join(beside, keys, "left")
+    elif not sums:
+        carried = carried.where("_values IS NOT NULL")
+    carried = carried.select(*keys, "_range", F.lit(0).alias("_row"), *[F.col(f"_values.{v}").alias(v) for v in values], *[f"_{c}" for c in sums], *more)
+    both = placed.withColumn("_row", F.lit(1)).unionByName(carried, allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "_range").orderBy("_row", order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, -1)
+    seen = {f"before_{v}": F.lag(v).over(inside) for v in values} | {f"total_{c}": F.coalesce(F.sum(f"_{c}").over(upto), F.lit(0)) for c in sums}
+    given = {c: F.first(c).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for c in more}
+    return both.withColumns(seen | given).where("_row = 1").drop("_range", "_row", *[f"_{c}" for c in sums])
 
 
 def as_number(rows: DataFrame, order: str) -> Column:

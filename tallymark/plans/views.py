@@ -19,8 +19,8 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projected(table(spark, sf_dir, "events"))
 
 
-def projected(e: DataFrame) -> DataFrame:
-    """Events, also those of a stream, as ledger rows."""
+def projected(e: DataFrame, *more: str) -> DataFrame:
+    """Events, also those of a stream, as ledger rows; ``more`` are columns that go along, such as a number made before."""
     n = F.col("event_id")
     status = F.when(n % 19 == 0, "pending").when(n % 23 == 0, "failed").when(n % 29 == 0, "in_progress").otherwise("graded")
     kind = F.when(n % 11 == 0, "blocked").when(n % 13 == 0, "redacted").when(n % 17 == 0, "response_blocked").otherwise("interaction")
@@ -42,6 +42,7 @@ def projected(e: DataFrame) -> DataFrame:
         F.when(status == "graded", verdict).alias("gemini_verdict"),
         F.sha2(n.cast("string"), 256).alias("prompt_hash"),
         F.sha2(F.concat(F.lit("r"), n.cast("string")), 256).alias("response_hash"),
+        *more,
     )
 
 

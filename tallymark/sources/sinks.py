@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashes import keyed_digest
-from ..operators.ranges import RANGE_ROWS, numbered_rows, previous, running
+from ..operators.ranges import RANGE_ROWS, previous
 from ..schemas import EXPORT_COLUMNS, GENESIS
 
 NESTED = (T.StructType, T.ArrayType, T.MapType)
@@ -43,15 +44,13 @@ def paged(ledger: DataFrame, key: str = "org_id", most_rows: int = PAGE_ROWS, mo
     it holds no more rows, and at most one row's bytes more. Places and bytes are running totals over ranges: no task walks a ledger.
     ``size`` measures a row, by default its JSON.
     """
-    rows = previous(ledger, [key], "seq", ["seq", "chain_hash"], width)
-    follows = F.col("before_seq") == F.col("seq") - 1
-    rows = rows.withColumn("before", F.when(F.col("seq") == 1, F.lit(GENESIS)).when(follows, F.col("before_chain_hash"))).drop("before_seq", "before_chain_hash")
-    rows = numbered_rows(rows, [key], "seq", "_place", width)
     measured = size if size is not None else F.octet_length(F.to_json(F.struct(*ledger.columns), {"ignoreNullFields": "false"})) + 2
-    rows = rows.withColumn("bytes", measured.cast("long")).withColumn("_span", F.floor((F.col("_place") - 1) / width))
-    rows = running(rows, [key], "_span", "_place", ("bytes",))
-    part = F.struct(F.floor((F.col("_place") - 1) / most_rows).alias("by_rows"), F.floor(F.col("total_bytes") / most_bytes).alias("by_bytes"))
-    return rows.withColumn("part", part).drop("_place", "_span", "total_bytes")
+    rows = ledger.withColumn("bytes", measured.cast("long")).withColumn("_one", F.lit(1))
+    rows = previous(rows, [key], "seq", ["seq", "chain_hash"], width, ("_one", "bytes"))  # rows are dealt once
+    follows = F.col("before_seq") == F.col("seq") - 1
+    rows = rows.withColumn("before", F.when(F.col("seq") == 1, F.lit(GENESIS)).when(follows, F.col("before_chain_hash"))).drop("before_seq", "before_chain_hash", "_one")
+    part = F.struct(F.floor(F.col("total__one") / most_rows).alias("by_rows"), F.floor(F.col("total_bytes") / most_bytes).alias("by_bytes"))
+    return rows.withColumn("part", part).drop("total__one", "total_bytes")
 
 
 def page_manifest(rows: DataFrame, key: str = "org_id", most_rows: int = PAGE_ROWS) -> DataFrame:
@@ -65,9 +64,13 @@ def page_manifest(rows: DataFrame, key: str = "org_id", most_rows: int = PAGE_RO
     )
 
 
-def write_pages(rows: DataFrame, manifest: DataFrame, folder: str, key: str = "org_id") -> None:
-    """Each page as a JSON document of its own with its statement of coverage before the rows; what is gathered for one is a page."""
-    texts = export_projection(rows, key, "part")
+def write_pages(rows: DataFrame, manifest: DataFrame, folder: str, key: str = "org_id", shape: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Each page as a JSON document of its own with its statement of coverage before the rows; what is gathered for one is a page.
+
+    Rows are dealt by page before they are made into texts, and ``shape`` widens them there to what is exported; a page is one row and so one file.
+    """
+    dealt = rows.repartition(key, "part")
+    texts = export_projection(shape(dealt) if shape else dealt, key, "part")
     row = F.to_json(F.struct(*EXPORT_COLUMNS), {"ignoreNullFields": "false"})
     logs = texts.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("seq", row.alias("row")))).alias("rows"))
     statement = F.to_json(F.struct("from_seq", "to_seq", "prev_chain_hash", "complete", "next_after_seq", "next", "max_rows_per_page"), {"ignoreNullFields": "false"})
@@ -76,7 +79,7 @@ def write_pages(rows: DataFrame, manifest: DataFrame, folder: str, key: str = "o
         F.lit(', "count": '), F.col("count"), F.lit(', "page": '), statement, F.lit(', "anchor": null, "logs": [\n'), F.array_join(F.transform("rows", lambda r: r["row"]), ",\n"), F.lit("\n]}"),
     )
     pages = manifest.join(logs, [key, "part"]).select(F.col(key), "page_no", body.alias("value"))
-    pages.repartition(key, "page_no").write.mode("overwrite").partitionBy(key, "page_no").text(folder)
+    pages.write.mode("overwrite").partitionBy(key, "page_no").text(folder)
 
 
 def write_json_export(page: DataFrame, folder: str, has_more: bool = False) -> None:

@@ -142,7 +142,7 @@ def fold_along(rows: DataFrame, heads: DataFrame | None = None, key: str = "org_
         rows = rows.withColumn("head_hash", F.lit(None).cast("string"))
     own = [c for c in rows.columns if c not in ("blob", "head_hash")]
     ordered = rows.repartition(key).sortWithinPartitions(key, order)
-    told = (texts or (lambda r: with_blob(r.withColumn("chain_version", F.lit(1)), (1,)).drop("chain_version")))(ordered)
+    told = (texts or (lambda r: r.withColumn("blob", blob_v1())))(ordered)
     kept = kept or own
     first = [key, F.col("seq").cast("bigint").alias("seq"), "blob", "head_hash"]
     names = [key, "seq", "blob", "head_hash", *[c for c in kept if c not in (key, "seq", "blob")]]

@@ -129,9 +129,8 @@ def chain_writer(spark: SparkSession, path: str) -> Callable[[DataFrame, int], N
         if heads is None:
             heads = spark.createDataFrame([], "org_id long, head_seq long, head_hash string")
         rows = numbered(batch, heads.select("org_id", "head_seq"), "event_id").withColumn("chain_version", F.lit(1))
-        rows = chain.with_blob(rows, (1,))
-        linked = rows.join(chain.fold(rows.select("org_id", "seq", "blob"), heads), ["org_id", "seq"])
-        linked.drop("blob").withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        linked = chain.fold_along(rows, heads)
+        linked.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
         written = read_or_none(spark, f"{path}/batch={batch_id}")  # none for a batch without rows
         moved = written.groupBy("org_id").agg(F.max("seq").alias("head_seq"), F.max_by("chain_hash", "seq").alias("head_hash")) if written is not None else heads.limit(0)
         whole = moved.unionByName(heads.join(moved.select("org_id"), "org_id", "left_anti")).withColumn("batch", F.lit(batch_id).cast("long"))

@@ -72,20 +72,3 @@ def numbered_rows(rows: DataFrame, keys: list[str], order: str, name: str, per_r
     inside = Window.partitionBy(*keys, "_range").orderBy("_row", order)
     offset = F.max("_offset").over(Window.partitionBy(*keys, "_range"))
     return both.withColumn(name, (F.row_number().over(inside) - 1 + offset).cast("long")).where("_row = 1").drop("_range", "_row", "_offset")
-
-
-def running(rows: DataFrame, keys: list[str], span: str, order: str, sums: tuple[str, ...] = (), lasts: tuple[str, ...] = ()) -> DataFrame:
-    """Each row with ``total_<c>``, the sum of c over the rows before it in its key, and ``last_<c>``, the last c up to it that is not null.
-
-    ``span`` cuts a key into consecutive ranges and is given: the splits of a file, say. One row a span is broadcast, so spans
-    must be large; keys and spans are not null.
-    """
-    last_of = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))
-    ends = rows.groupBy(*keys, span).agg(*[F.sum(c).alias(c) for c in sums], *[last_of(c).alias(c) for c in lasts])
-    earlier = Window.partitionBy(*keys).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*keys, span, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in sums], *[F.last(c, True).over(earlier).alias(f"_{c}") for c in lasts])
-    inside = Window.partitionBy(*keys, span).orderBy(order)
-    before, upto = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(F.broadcast(carried), [*keys, span])  # one row a span
-    out = {f"total_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) + F.col(f"_{c}") for c in sums} | {f"last_{c}": F.coalesce(F.last(c, True).over(upto), F.col(f"_{c}")) for c in lasts}
-    return joined.withColumns(out).drop(*[f"_{c}" for c in (*sums, *lasts)])

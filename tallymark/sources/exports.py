@@ -1,70 +1,143 @@
 """Export documents of any size, read in splits: a file is one JSON document, but no task holds more than a row of it.
 
 Spark's text reader cuts a file at every closing brace, so that files are read in splits by many tasks. What stands between two braces is a
-piece. Three running sums over a file's pieces tell, for each, whether it begins inside a string, how deep it lies, and in which section;
-with that, the pieces of one row are known and put together again. A file's splits are summed apart and joined by one row a split.
+piece. A task reads a split's pieces in their order, so whether a piece begins inside a string, how deep it lies and in which section are told
+along the way, and the pieces of one row are put together where they are read: texts are not shuffled. A split that is not its file's first
+starts from what the splits before it end with, one row a split; only rows that a split cuts are joined over splits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranges import running
 from ..schemas import ANCHOR, EXPORT_ROW, PAGE
 
 SECTIONS = ("logs", "ledger")  # the first present wins
+ESCAPED, QUOTED = re.compile(r"\\.", re.S), re.compile(r'"[^"]*(?:"|\Z)')
 #: A key whose value is an array, a string (cut off at the end of a piece, perhaps), or a bracket.
-TOKEN = r'"[^"]*"\s*:\s*\[|"[^"]*(?:"|\z)|[\[\]{]'
-
-
-def _count(text: Column, sign: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
-
-
-def _section(tokens: Column, depth: Column) -> Column:
-    """The array that a piece ends in, as far as the piece says: the key and depth of one that it opened, depth -1 where it closed one, else null."""
-
-    def step(acc: Column, t: Column) -> Column:
-        opens, text = t.rlike(r'(?s)^"[^"]*"\s*:\s*\[$'), t.startswith('"')
-        d = F.when(opens | t.isin("[", "{"), acc["d"] + 1).when(t == "]", acc["d"] - 1).otherwise(acc["d"])
-        opened = opens & (acc["d"] <= 2)
-        closed = (t == "]") & (d <= 2) & (acc["at"].isNull() | (d <= acc["at"]))
-        name = F.when(opened, F.regexp_extract(t, '^"([^"]*)"', 1)).when(closed, F.lit(None).cast("string")).otherwise(acc["name"])
-        at = F.when(opened, acc["d"]).when(closed, F.lit(-1)).otherwise(acc["at"])
-        return F.when(text & ~opens, acc).otherwise(F.struct(d.cast("long").alias("d"), name.alias("name"), at.cast("long").alias("at")))
-
-    start = F.struct(depth.cast("long").alias("d"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("at"))
-    return F.aggregate(tokens, start, step, lambda acc: F.when(acc["at"].isNotNull(), F.struct(acc["name"].alias("name"), acc["at"].alias("at"))))
+TOKEN = re.compile(r'("[^"]*")\s*:\s*\[|"[^"]*(?:"|\Z)|[\[\]{]', re.A)
+
+
+def _section(plain: str, depth: int) -> tuple[str | None, int] | None:
+    """The array that a piece ends in, as far as the piece says: the key and depth of one that it opened, depth -1 where it closed one, else None."""
+    name, at = None, None
+    for m in TOKEN.finditer(plain):
+        if m[1]:
+            if depth <= 2:
+                name, at = m[1][1:-1], depth
+            depth += 1
+        elif m[0] == "]":
+            depth -= 1
+            if depth <= 2 and (at is None or depth <= at):
+                name, at = None, -1
+        elif m[0] in "[{":
+            depth += 1
+    return None if at is None else (name, at)
+
+
+FOUND = "file string, split long, unit long, whole boolean, ended boolean, section string, opened string, text string, delta long, own struct<name: string, at: long>"
+
+
+def _found(file: str, split: int, unit: int, whole: bool, ended: bool, section: str | None, opened: str | None, pieces: list[str], delta: int, own: tuple | None) -> dict:
+    return {"file": file, "split": split, "unit": unit, "whole": whole, "ended": ended, "section": section, "opened": opened, "text": "}".join(pieces) + "}", "delta": delta, "own": own and {"name": own[0], "at": own[1]}}
+
+
+def scanner(states: bool, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of pieces (file, split, alone, inside, depth, own, value), in their order, as units; with ``states`` one row a split that says how deep it goes and what section it ends in.
+
+    A unit is ``whole`` where it neither may go on from a split before nor goes on in a split behind.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, out = None, []
+        for b in batches:
+            for file, split, alone, inside0, depth0, own0, value in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (file, split) != current:
+                    if current is not None and (pieces or states):
+                        out.append(_found(*current, unit, last and unit + first > 0, False, section, opened, pieces, depth - begun, own))
+                    if inside0 is None:
+                        raise ValueError(f"split {split} of {file} is not cut as it was when its start was looked for")
+                    current, last, first = (file, split), alone, split == 0
+                    inside, depth, begun, own = inside0, depth0, depth0, own0 and (own0["name"], own0["at"])
+                    unit, pieces, section, opened = 0, [], None, None
+                plain = ESCAPED.sub("", value) if "\\" in value else value
+                if inside:
+                    plain = '"' + plain
+                ends = plain.count('"') % 2 == 0
+                bare = QUOTED.sub("", plain)
+                if depth <= 3 and ("[" in plain or "]" in plain) and (found := _section(plain, depth)):
+                    own, opened = found, opened if found[0] is None else found[0]
+                depth += bare.count("{") + bare.count("[") - bare.count("]") - ends
+                inside = not ends
+                if states:
+                    continue
+                at = own[1] if own else -1
+                within = at >= 0 and depth > at
+                section = own[0] if within else None
+                pieces.append(value)
+                if ends and depth <= (at + 1 if within else 1):
+                    out.append(_found(*current, unit, first or unit > 0, True, section, opened, pieces, 0, None))
+                    unit, pieces, section, opened = unit + 1, [], None, None
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out = []
+        if current is not None and (pieces or states):
+            yield pa.RecordBatch.from_pylist([_found(*current, unit, last and unit + first > 0, False, section, opened, pieces, depth - begun, own)], schema)
+
+    return scan
+
+
+def _scanned(pieces: DataFrame, starts: DataFrame | None, states: bool = False) -> DataFrame:
+    """Units of pieces, or states of splits, each split from its start; a file's first starts outside of all."""
+    first = F.col("split") == 0
+    rows = pieces
+    if starts is not None:
+        rows = pieces.join(F.broadcast(starts), ["file", "split"], "left")  # one row a split of files with several
+    else:
+        rows = pieces.withColumns({"inside": F.lit(None).cast("boolean"), "depth": F.lit(None).cast("long"), "own": F.lit(None).cast("struct<name: string, at: long>")})
+    rows = rows.select("file", "split", "alone", F.when(first, F.lit(False)).otherwise(F.col("inside")).alias("inside"), F.when(first, F.lit(0)).otherwise(F.coalesce("depth", F.lit(0))).cast("long").alias("depth"), F.when(~first, F.col("own")).alias("own"), "value")
+    schema = pa.schema([("file", pa.string()), ("split", pa.int64()), ("unit", pa.int64()), ("whole", pa.bool_()), ("ended", pa.bool_()), ("section", pa.string()), ("opened", pa.string()), ("text", pa.string()), ("delta", pa.int64()), ("own", pa.struct([("name", pa.string()), ("at", pa.int64())]))])
+    return rows.mapInArrow(scanner(states, schema), FOUND)
+
+
+def _starts(pieces: DataFrame) -> DataFrame:
+    """file, split, inside, depth, own: how each split of a file with several begins. Each of the three is told by what the splits before end with."""
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))
+    starts = pieces.groupBy("file", "split").agg(F.sum(quotes).alias("n"))
+    nothing = F.lit(None).cast("struct<name: string, at: long>")
+    starts = starts.select("file", "split", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) % 2 == 1).alias("inside"), F.lit(0).cast("long").alias("depth"), nothing.alias("own"))
+    ends = _scanned(pieces, starts, True)
+    depths = ends.select("file", "split", F.coalesce(F.sum("delta").over(earlier), F.lit(0)).alias("depth"))
+    starts = starts.drop("depth").join(depths, ["file", "split"])
+    ends = _scanned(pieces, starts, True)
+    sections = ends.select("file", "split", F.last("own", True).over(earlier).alias("own"))
+    return starts.drop("own").join(sections, ["file", "split"])
 
 
 def export_units(spark: SparkSession, *paths: str) -> DataFrame:
-    """file, unit (its place), section, opened, text: each row of a section, and what stands between the sections."""
+    """file, unit (its place), section, row, between: each row of a section, and what stands between the sections."""
     raw = spark.read.option("lineSep", "}").text(list(paths))
-    pieces = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), "value")
-    pieces = pieces.withColumn("plain", F.regexp_replace("value", r"(?s)\\.", "")).withColumn("quotes", _count(F.col("plain"), '"').cast("long"))
-    pieces = running(pieces, ["file"], "split", "place", ("quotes",))
-    inside = F.col("total_quotes") % 2 == 1
-    pieces = pieces.withColumn("plain", F.concat(F.when(inside, '"').otherwise(""), "plain")).withColumn("ends", (F.col("total_quotes") + F.col("quotes")) % 2 == 0)
-    bare = F.regexp_replace("plain", r'"[^"]*(?:"|\z)', "")
-    delta = _count(bare, "{") + _count(bare, "[") - _count(bare, "]") - F.col("ends").cast("int")
-    pieces = running(pieces.withColumn("delta", delta.cast("long")), ["file"], "split", "place", ("delta",))
-    tokens = F.regexp_extract_all("plain", F.lit(TOKEN), F.lit(0))
-    pieces = pieces.withColumn("own", F.when((F.col("total_delta") <= 3) & F.col("plain").rlike(r"[\[\]]"), _section(tokens, F.col("total_delta"))))
-    pieces = running(pieces, ["file"], "split", "place", lasts=("own",))
-    after, at = F.col("total_delta") + F.col("delta"), F.col("last_own.at")
-    within = F.coalesce((at >= 0) & (after > at), F.lit(False))
-    pieces = pieces.withColumn("within", within).withColumn("ended", (F.col("ends") & (after <= F.when(within, at + 1).otherwise(1))).cast("long"))
-    pieces = running(pieces, ["file"], "split", "place", ("ended",))
-    ordered = F.array_sort(F.collect_list(F.struct("split", "place", "value")))  # the pieces of one row
-    units = pieces.groupBy("file", F.col("total_ended").alias("unit")).agg(
-        F.concat(F.array_join(F.transform(ordered, lambda p: p["value"]), "}"), F.lit("}")).alias("text"),
-        F.max_by(F.when(F.col("within"), F.col("last_own.name")), F.struct("split", "place")).alias("section"),
-        F.max_by("own.name", F.when(F.col("own.name").isNotNull(), F.struct("split", "place"))).alias("opened"),
-    )
+    alone = F.col("_metadata.file_block_length") >= F.col("_metadata.file_size")
+    pieces = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), alone.alias("alone"), "value")
+    cut = pieces.where("NOT alone")
+    starts = _starts(cut)
+    whole = _scanned(pieces, starts).where("whole").select("file", "split", "unit", "section", "opened", "text")
+    # rows that a split cuts: where they go on is told by how many pieces of this kind ended before, two a split at most
+    before = Window.partitionBy("file").orderBy("split", "unit").rowsBetween(Window.unboundedPreceding, -1)
+    parts = _scanned(cut, starts).where("NOT whole").withColumn("row", F.coalesce(F.sum(F.col("ended").cast("int")).over(before), F.lit(0)))
+    place = F.struct("split", "unit")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "unit", "text"))), lambda p: p["text"]), "")
+    joined = parts.groupBy("file", "row").agg(F.min(place).alias("at"), F.max_by("section", place).alias("section"), F.max_by("opened", F.when(F.col("opened").isNotNull(), place)).alias("opened"), text.alias("text"))
+    units = whole.unionByName(joined.select("file", "at.split", "at.unit", "section", "opened", "text"))
     head = F.regexp_extract("text", r'(?s)^(.*?"(?:logs|ledger)"\s*:\s*\[)', 1)
     own = F.when(F.col("opened").isin(*SECTIONS), F.substring(F.col("text"), F.length(head) + 1, F.length("text"))).otherwise(F.regexp_replace("text", r"^\s*,?\s*", ""))
-    return units.select("file", "unit", "section", F.when(F.col("section").isin(*SECTIONS), own).alias("row"), F.when(~F.coalesce(F.col("section").isin(*SECTIONS), F.lit(False)), F.col("text")).otherwise(head).alias("between"))
+    return units.select("file", F.struct("split", "unit").alias("unit"), "section", F.when(F.col("section").isin(*SECTIONS), own).alias("row"), F.when(~F.coalesce(F.col("section").isin(*SECTIONS), F.lit(False)), F.col("text")).otherwise(head).alias("between"))
 
 
 def export_headers(units: DataFrame) -> DataFrame:
@@ -79,9 +152,9 @@ def export_headers(units: DataFrame) -> DataFrame:
 def export_rows(units: DataFrame, headers: DataFrame) -> DataFrame:
     """file, org_id and the rows of all files, whatever the files' order. Of a file's sections the first present wins."""
     rows = units.where("row IS NOT NULL").withColumn("rank", F.when(F.col("section") == "logs", 0).otherwise(1))
-    best = rows.groupBy("file").agg(F.min("rank").alias("rank"))
-    parsed = rows.join(best, ["file", "rank"], "left_semi").select("file", F.from_json("row", EXPORT_ROW).alias("r"))
-    return parsed.join(headers.select("file", "org_id"), "file", "left").select("file", "org_id", "r.*")
+    best = rows.groupBy("file").agg(F.min("rank").alias("rank")).join(headers.select("file", "org_id"), "file", "left")
+    parsed = rows.join(F.broadcast(best), ["file", "rank"])  # one row a file: rows stay where they are
+    return parsed.select("file", "org_id", F.from_json("row", EXPORT_ROW).alias("r")).select("file", "org_id", "r.*")
 
 
 def page_summaries(headers: DataFrame, rows: DataFrame) -> DataFrame:

@@ -64,10 +64,11 @@ def page_manifest(rows: DataFrame, key: str = "org_id", most_rows: int = PAGE_RO
     )
 
 
-def write_pages(rows: DataFrame, manifest: DataFrame, folder: str, key: str = "org_id", shape: Callable[[DataFrame], DataFrame] | None = None) -> None:
+def write_pages(rows: DataFrame, manifest: DataFrame, folder: str, key: str = "org_id", shape: Callable[[DataFrame], DataFrame] | None = None, codec: str = "none") -> None:
     """Each page as a JSON document of its own with its statement of coverage before the rows; what is gathered for one is a page.
 
-    Rows are dealt by page before they are made into texts, and ``shape`` widens them there to what is exported; a page is one row and so one file.
+    Rows are dealt by page before they are made into texts, and ``shape`` widens them there to what is exported, leaving key and part as they are, so that
+    texts are not dealt again; a page is one row and so one file. ``codec`` compresses files, which are then read whole by one task: a page is bounded.
     """
     dealt = rows.repartition(key, "part")
     texts = export_projection(shape(dealt) if shape else dealt, key, "part")
@@ -79,7 +80,7 @@ def write_pages(rows: DataFrame, manifest: DataFrame, folder: str, key: str = "o
         F.lit(', "count": '), F.col("count"), F.lit(', "page": '), statement, F.lit(', "anchor": null, "logs": [\n'), F.array_join(F.transform("rows", lambda r: r["row"]), ",\n"), F.lit("\n]}"),
     )
     pages = manifest.join(logs, [key, "part"]).select(F.col(key), "page_no", body.alias("value"))
-    pages.write.mode("overwrite").partitionBy(key, "page_no").text(folder)
+    pages.write.mode("overwrite").option("compression", codec).partitionBy(key, "page_no").text(folder)
 
 
 def write_json_export(page: DataFrame, folder: str, has_more: bool = False) -> None:

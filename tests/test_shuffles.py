@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallymark.operators import chain as C
 from tallymark.operators import ranges
 from tallymark.schemas import GENESIS
+from tallymark.sources import exports as X
 from tallymark.sources import sinks as K
 
 
@@ -77,3 +78,24 @@ def test_site_without_a_chain_has_no_published_root(spark, tmp_path):
     events.withColumn("user_id", F.when(F.row_number().over(Window.orderBy("event_id")) <= 2, 1).otherwise(5).cast("long")).write.parquet(f"{tmp_path}/events.parquet")
     got = {r["client_id"]: (r["head_seq"], r["anchored_seq"], r["kind"]) for r in QUERIES["staff_anchor_check"](spark, str(tmp_path)).collect()}
     assert got == {1: (None, None, None), 5: (2, 1, None)}
+
+
+def test_documents_are_read_and_written_where_their_rows_are(spark, tmp_path):
+    """Pages are compressed, made where their rows were dealt, and read without windows over their pieces."""
+    rows = spark.createDataFrame([(k, n, GENESIS if n == 1 else f"h{n - 1}", f"h{n}", 10) for k in (1, 2) for n in range(1, 30)], "org_id long, seq long, prev_hash string, chain_hash string, size long")
+    paged = K.paged(rows, most_rows=7, size=F.col("size"))
+    K.write_pages(paged, K.page_manifest(paged, most_rows=7), str(tmp_path / "pages"), shape=lambda r: r.withColumn("agent", F.lit("a}{")), codec="gzip")
+    assert len(list((tmp_path / "pages").glob("*/*/*.txt.gz"))) == 10
+    units = X.export_units(spark, str(tmp_path / "pages"))
+    assert "MapInArrow" in plan(units) and not re.search(r"Window \[.*\[file#\d+, split#", plan(units))
+    got = X.export_rows(units, X.export_headers(units))
+    assert re.search(r"BroadcastHashJoin \[file#\d+, rank#", plan(got))
+    assert {(r["org_id"], r["seq"], r["chain_hash"], r["agent"]) for r in got.collect()} == {(str(k), n, f"h{n}", "a}{") for k in (1, 2) for n in range(1, 30)}
+
+
+def test_rows_made_for_export_keep_what_they_were_dealt_by(spark):
+    from tallymark.plans import evidence as E
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("org_id", F.col("user_id") % 8).withColumn("seq", F.col("event_id"))
+    done = E.exported(events.repartition("org_id")).groupBy("org_id").count()
+    assert len(re.findall(r"Exchange hashpartitioning", plan(done))) == 1

@@ -61,6 +61,19 @@ def utc_iso(raw: pd.Series) -> pd.Series:
     return raw.map(one)
 
 
+#: A time without zone that exists in every month.
+PLAIN_TIME = r"^(?!0000)[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|1[0-9]|2[0-8])[ T](?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]{1,6})?\z"
+
+
+def utc_of(raw: Column) -> Column:
+    """``utc_iso`` of a text, natively where it is a plain time."""
+    plain = F.coalesce(raw.rlike(PLAIN_TIME), F.lit(False))
+    fraction = F.rpad(F.substring(raw, 20, 7), 7, "0")
+    fraction = F.when((F.length(raw) == 19) | (fraction == ".000000"), "").otherwise(fraction)
+    own = F.concat(F.substring(raw, 1, 10), F.lit("T"), F.substring(raw, 12, 8), fraction, F.lit("+00:00"))
+    return F.when(plain, own).otherwise(utc_iso(F.when(~plain, raw)))
+
+
 def pads(key: str) -> tuple[str, str]:
     """The two blocks, as hexadecimal digits, that a key is folded into."""
     raw = key.encode()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 from pyspark.sql import Window
@@ -99,3 +100,32 @@ def test_rows_made_for_export_keep_what_they_were_dealt_by(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("org_id", F.col("user_id") % 8).withColumn("seq", F.col("event_id"))
     done = E.exported(events.repartition("org_id")).groupBy("org_id").count()
     assert len(re.findall(r"Exchange hashpartitioning", plan(done))) == 1
+
+
+def test_plain_rows_have_their_canonical_form_natively(spark, monkeypatch):
+    """Every kind of text: what Python gives of a whole event is what is put together; only documents and other than plain texts go through it."""
+    kinds = ["plain", 'q"u\\o', "tab\t\n", "\\u0041", "\x01", "\x7f", "é", "\U0001f600", "", None, "a/b", "\u2028", "\\", '"\\u"']
+    times = ["2024-02-03 04:05:06", "2024-02-03T04:05:06.5", "2024-02-30 00:00:00", "2024-01-31 23:59:59.000", "0000-01-01 00:00:00", "2024-02-03 24:00:00", "2024-02-03T04:05:06Z", "no time", None, "2024-02-03 04:05:06.1234567", " 2024-02-03 04:05:06"]
+    documents = [None, "{}", '{"b": "é", "a": [1, 2.50]}', "null", '"x"', "[]"]
+    names = "agent string, client_id string, client_seq long, commitment_alg string, event_id string, event_type string, occurred_at string, org_id long, pii_signals array<string>, policy_tag string, prompt_hash string, response_hash string, seq long, token_count double, verdict_hash string, event_metadata string, chain_version int"
+    rows = [(t, "c", k, None, "e", None, times[k % len(times)], 1, [t, None] if k % 3 else None, "p", "q", "r", k, 1e7 + k, "v", documents[k % len(documents)], 2 + k % 4) for k, t in enumerate(kinds * 12)]
+    for kind in ("double", "int"):
+        df = spark.createDataFrame(rows, names).withColumn("token_count", F.col("token_count").cast(kind))
+        got = {r["seq"]: r["blob"] for r in C.with_blob(df).collect()}
+        for r in df.collect():
+            at = r["occurred_at"]
+            if r["chain_version"] == 5:
+                at = {"2024-02-03 04:05:06": "2024-02-03T04:05:06+00:00", "2024-02-03T04:05:06.5": "2024-02-03T04:05:06.500000+00:00", "2024-01-31 23:59:59.000": "2024-01-31T23:59:59+00:00", "2024-02-03T04:05:06Z": "2024-02-03T04:05:06+00:00", " 2024-02-03 04:05:06": "2024-02-03T04:05:06+00:00", "2024-02-03 04:05:06.1234567": "2024-02-03T04:05:06.123456+00:00"}.get(at, at)
+            event = {c: r[c] for c in C.EVENT_FIELDS} | {"org_id": "1", "occurred_at": at, "event_type": "interaction", "commitment_alg": "sha256-legacy", "event_metadata": r["event_metadata"] and json.loads(r["event_metadata"])}
+            event |= {"chain_version": r["chain_version"]} if r["chain_version"] >= 3 else {}
+            event |= {"verdict_hash": "v"} if r["chain_version"] >= 4 else {}
+            assert got[r["seq"]] == json.dumps(event, sort_keys=True, separators=(",", ":"))
+
+    @F.pandas_udf("string")
+    def put(event, document):
+        if event.notna().any():
+            raise ValueError("Python was asked for")
+        return event
+
+    monkeypatch.setattr(C, "canonical_event", put)
+    assert C.with_blob(spark.createDataFrame([r for r in rows if r[0] == "plain" and r[15] is None], names).withColumn("token_count", F.lit(1))).where("blob IS NULL").count() == 0

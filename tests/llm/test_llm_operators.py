@@ -322,6 +322,26 @@ def test_pieces_agree_with_the_library(spark):
     assert all(sha(back[i]) == got[i].decoded_sha256 for i in back)
 
 
+def test_new_words_merge_side_by_side(monkeypatch):
+    """Thousands of new words need no agenda of their own, and the columns give what each agenda gives, also where scores are equal."""
+    own = pieces.MergeCodec(piece_model())
+    agenda, calls = own.merge, []
+    monkeypatch.setattr(own, "merge", lambda chunk: calls.append(chunk) or agenda(chunk))
+    rng = random.Random(4)
+    bits = ["th", "ing", "e", "é", "ß", ".", ",\n", "0", "&&&", "Sch", "qu", "'", "x", "\0", "▁"]
+    words = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 9))) for _ in range(6000)]
+    texts = [" ".join(words[k : k + 50]) for k in range(0, len(words), 50)]
+    assert own.encode_all(texts) == own.library.encode(texts, add_eos=True)
+    assert len(calls) < 300, "each new word has an agenda of its own"
+    odd = ["中" + w for w in words[:500]] + [w * 9 for w in words[:200]]  # characters that are no piece, long words
+    assert own.encode_all([" ".join(odd)]) == own.library.encode([" ".join(odd)], add_eos=True)
+    own.rank = {piece: k // 50 for piece, k in own.rank.items()}  # ranks shared by many
+    own._number_pairs()
+    own.cache.clear(), own.inner.clear()
+    own.encode_all(texts)
+    assert len(own.cache) > 4000 and all(list(ids) == agenda(pieces.SPACE + w) for w, ids in own.cache.items())
+
+
 def ppm_bits(text: bytes, counts: dict[bytes, dict[int, int]]) -> float:
     """The definition, byte by byte."""
     total, padded = 0.0, b"\n" * language.ORDER + text

@@ -117,6 +117,9 @@ def redact_text(text: str, tag: str | None) -> str:
     return text
 
 
+#: Texts should come to the functions below in Arrow batches of so many bytes: a Python worker holds a few batches and what is made of
+#: them, and Spark's own limit of 64 MB or 10 000 rows is a limit for one worker, not for all that an executor has cores for.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 SLICE = 256  # rows that are Python objects at a time: of the others an Arrow batch holds the bytes only
 
 

@@ -29,7 +29,7 @@ from ..streaming import ingest as S
 from ..streaming import lifecycle as Y
 from .dialect import fired_sql
 from .registry import query
-from .texts import _shared
+from .texts import _shared, made
 from .views import ledger, over_ledger, over_orgs, table
 
 NOW = "2024-01-25 12:00:00"
@@ -327,7 +327,8 @@ def lettered(spark, sf) -> DataFrame:
 def redacted_documents(spark, sf):
     body = F.col("body")
     raw = F.concat(F.lit('[{"text": "'), body, F.lit(' a.b@c-d.ef", "n": '), F.col("doc_id").cast("string"), F.lit('}, "123-45-6789", null]'))
-    return lettered(spark, sf).select("doc_id", F.sha2(R.redacted_document(raw, F.lit("gdpr")), 256).alias("redacted"), F.sha2(R.pii_redacted(F.concat(F.lit("10.1.2.3 and 4111-1111-1111-1111 of "), body)), 256).alias("plain"))
+    plain = R.pii_redacted(F.concat(F.lit("10.1.2.3 and 4111-1111-1111-1111 of "), body))
+    return made(spark, lettered(spark, sf).select("doc_id", F.sha2(R.redacted_document(raw, F.lit("gdpr")), 256).alias("redacted"), F.sha2(plain, 256).alias("plain")), "documents")
 
 
 @query(f"""WITH {LETTERS_SQL} SELECT doc_id, sha256(body || CASE WHEN doc_id % 4 < 2 THEN ' [REDACTED:ignore_previous] now, [REDACTED:bearer_token] [REDACTED:prompt_injection] tel [REDACTED:phone] ' || CASE doc_id % 4 WHEN 0 THEN '[REDACTED:ignore_previous]' ELSE '[REDACTED:reveal_system_prompt]' END || ' end' ELSE '' END) AS redacted,
@@ -341,7 +342,7 @@ def redacted_prompts(spark, sf):
     rows = lettered(spark, sf).select("doc_id", F.concat("body", F.when(n % 4 < 2, triggers).otherwise("")).alias("prompt"))
     rows = rows.withColumn("redacted", R.redacted(F.col("prompt"), F.lit("gdpr"))).withColumn("rules", D.prompt_rules(F.col("prompt"), F.lit("gdpr")))
     quoted = F.concat("redacted", F.when(n % 12 == 0, " and bearer zyxwvutsrqponmlkjihgfedc").otherwise(""))
-    return rows.select("doc_id", F.sha2("redacted", 256).alias("redacted"), "rules", R.surviving_rules(F.col("rules"), quoted, F.lit("gdpr")).alias("surviving"))
+    return made(spark, rows.select("doc_id", F.sha2("redacted", 256).alias("redacted"), "rules", R.surviving_rules(F.col("rules"), quoted, F.lit("gdpr")).alias("surviving")), "prompts")
 
 
 @query(over_ledger("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 3 <> 0 END AS verdict_ok FROM l"))

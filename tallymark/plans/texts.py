@@ -11,6 +11,7 @@ from ..functions import nested, numbers
 from ..operators import detect as D
 from ..operators import grading as G
 from ..operators import redact as R
+from ..session import during
 from ..sources.sinks import upsert_days
 from ..streaming import ingest as S
 from ..operators import rulesets
@@ -123,11 +124,20 @@ def text_views(spark, sf):
     return rows.select("doc_id", F.size(D.views(F.col("text"))).alias("n_views"), D.injections(F.col("text")).alias("rules"))
 
 
+def made(spark, rows: DataFrame, name: str) -> DataFrame:
+    """Rows that Python functions make of whole texts, made in small Arrow batches and kept as a table: the session's settings stay."""
+    path = f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+    with during(spark, R.SMALL_BATCHES):
+        rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 @query()
 def redact_text(spark, sf):
     rows = documents(spark, sf).withColumn("redacted", R.redacted(F.col("text"), F.lit("gdpr")))
     rules = D.prompt_rules(F.col("text"), F.lit("gdpr"))
-    return rows.withColumn("rules", rules).select("doc_id", "rules", R.surviving_rules(F.col("rules"), F.col("redacted"), F.lit("gdpr")).alias("surviving"), F.sha2("redacted", 256).alias("redacted_sha256"))
+    surviving = R.surviving_rules(F.col("rules"), F.col("redacted"), F.lit("gdpr"))
+    return made(spark, rows.withColumn("rules", rules).select("doc_id", "rules", surviving.alias("surviving"), F.sha2("redacted", 256).alias("redacted_sha256")), "redacted")
 
 
 @query()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -14,6 +17,19 @@ DEFAULTS = {
 }
 
 
+@contextmanager
+def during(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings of a session for a while, then what was set before."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def session(app: str = "tallymark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the defaults; keyword names use ``_`` for the dots of a setting."""
     builder = SparkSession.builder.appName(app)

@@ -144,7 +144,8 @@ def redact_text(spark, sf):
 def replay_versions(spark, sf):
     version = F.element_at(F.array(*[F.lit(v) for v in (*R.RULESETS, "2031.01.1")]), (F.col("doc_id") % 6 + 1).cast("int"))
     rows = documents(spark, sf).withColumn("version", version).withColumn("matches", R.replayed(F.col("text"), F.col("version"), F.lit("gdpr")))
-    return rows.select("doc_id", "version", F.col("matches").isNull().alias("unknown"), F.explode_outer("matches").alias("m")).select("doc_id", "version", "unknown", "m.*")
+    matches = rows.select("doc_id", "version", F.col("matches").isNull().alias("unknown"), F.explode_outer("matches").alias("m"))
+    return made(spark, matches.select("doc_id", "version", "unknown", "m.*"), "replayed")
 
 
 def replay_sql() -> str:

@@ -581,7 +581,7 @@ def test_texts_come_to_python_in_small_batches(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
 
 
-@pytest.mark.parametrize("name", ["redacted_documents", "redacted_prompts", "redact_text"])
+@pytest.mark.parametrize("name", ["redacted_documents", "redacted_prompts", "redact_text", "replay_versions", "replay_counts"])
 def test_redaction_and_replay_leave_no_python_to_later_settings(spark, name):
     """Their Python runs under the query's own batch size, not under that of whoever reads the rows."""
     assert "Python" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
